@@ -19,8 +19,89 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive every page, read the archives back."""
+    from sparrowgrid.llm import warc
+
+    return warc.read(warc.write(read(spark, sf_dir, "pages"), least=0)).drop("url")
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), d AS (
+  SELECT page_id, body, strlen(body) AS n, sha1(body) || '0' AS h FROM p
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY body) AS first_id FROM d
+)
+SELECT page_id, n AS payload_bytes,
+  list_aggregate([
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((((instr('0123456789abcdef', substr(h, CAST(1 + (5 * i) // 4 AS INT), 1)) - 1) * 16
+      + instr('0123456789abcdef', substr(h, CAST(2 + (5 * i) // 4 AS INT), 1)) - 1) >> CAST(3 - (5 * i) % 4 AS INT)) & 31 AS INT), 1)
+    FOR i IN range(32)], 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all conversations and conversation -7, and read them back from the formatted text."""
+    from sparrowgrid.llm import chat
+
+    said = "\\### Assistant: </turn> ok"
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chat.digests(chat.format_conversations(rows.unionByName(more)))
+
+
+OP5_SQL = r"""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(15 + length(role) + length(text) + length(text) - length(translate(text, '\<#', '')))::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+""".replace("\\\\", "\\")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and verdict of the line-first rules for every document."""
+    from sparrowgrid.llm import quality
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.quality(docs, cleaned=False).drop("text")
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from sparrowgrid.llm import extract
+
+    return extract.main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in bins of 2,048 words, no two of a source or of a copy group in one bin."""
+    from sparrowgrid.llm import packing
+
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op4_warc": op4_warc,
+    "op5_chat_format": op5_chat_format,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_html_text": op9_html_text,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": OP4_SQL,
+    "op5_chat_format": OP5_SQL,
+}
