@@ -99,6 +99,29 @@ FROM m GROUP BY conv_id
 """
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of embeddings with a cosine of nine tenths or more."""
+    from sparrowgrid.llm import pivots
+
+    return pivots.near_duplicates(read(spark, sf_dir, "embeddings"), limit=0.9)
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+), e AS (
+  SELECT a.vec_id AS p, b.vec_id AS q FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.x, b.x) >= 0.9 * sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))
+    AND list_dot_product(a.x, a.x) > 0 AND list_dot_product(b.x, b.x) > 0
+), r(vec_id, reach) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, e.q FROM r JOIN e ON r.reach = e.p
+)
+SELECT c.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM (SELECT vec_id, min(reach) AS component_id FROM r GROUP BY vec_id) c
+LEFT JOIN (SELECT p, count(*) AS n FROM e GROUP BY p) n ON n.p = c.vec_id
+"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base figures and verdict of the line-first rules for every document."""
     from sparrowgrid.llm import quality
@@ -126,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op4_warc": op4_warc,
     "op5_chat_format": op5_chat_format,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_html_text": op9_html_text,
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -135,4 +159,5 @@ ORACLES: dict[str, str] = {
     "op2_ngram_jaccard": OP2_SQL,
     "op4_warc": OP4_SQL,
     "op5_chat_format": OP5_SQL,
+    "op7_embedding_near_dedup": OP7_SQL,
 }
