@@ -99,6 +99,13 @@ FROM m GROUP BY conv_id
 """
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-bilinear and unigram scores of every document, a fifth of them held out."""
+    from sparrowgrid.llm import neural_lm
+
+    return neural_lm.score(read(spark, sf_dir, "documents"))
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and groups of embeddings with a cosine of nine tenths or more."""
     from sparrowgrid.llm import pivots
@@ -149,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op4_warc": op4_warc,
     "op5_chat_format": op5_chat_format,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_html_text": op9_html_text,
