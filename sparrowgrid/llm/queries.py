@@ -48,6 +48,13 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reach) AS component_i
 """
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings of smaller ones."""
+    from sparrowgrid.llm import repeats
+
+    return repeats.digests(repeats.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), length=50))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive every page, read the archives back."""
     from sparrowgrid.llm import warc
@@ -154,6 +161,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_warc": op4_warc,
     "op5_chat_format": op5_chat_format,
     "op6_lm_scoring": op6_lm_scoring,
