@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 from sparrowgrid.llm.common import bounded, written
 
 #: Length of the sub-strings that minimisers are taken from.
-GRAM = 12
-#: Bytes of text that a task works on at once, and that a bucket stands for.
-SLICE, BUCKET = 2 << 20, 4 << 20
+GRAM = 8
+#: Bytes of text that a task works on at once, and that a bucket stands for; a bucket is worked on in so many parts.
+SLICE, BUCKET, PARTS = 2 << 20, 8 << 20, 8
 _P = 0x9E3779B97F4A7C15
 _WRAP = 2**64 - 1
 
@@ -148,7 +148,7 @@ def repeats(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.nd
     """(string, offset, size) of what repeats from a smaller document, over all strings of a bucket."""
     none = np.zeros(0, np.int64)
     counts = sizes - length + 1
-    at, owner = ranges(starts, counts), np.repeat(np.arange(len(starts)), counts)
+    at = ranges(starts, counts).astype(np.int32)
     h = _mix(rolling(data, length)[at])
     ordered = np.sort(h)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
@@ -157,8 +157,10 @@ def repeats(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.nd
     bits = max(10, int(len(twice)).bit_length() + 3)
     met = np.zeros(1 << bits, bool)
     met[twice >> np.uint64(64 - bits)] = True
+    del ordered
     some = met[h >> np.uint64(64 - bits)]
-    at, owner, h = at[some], owner[some], h[some]
+    at, h = at[some].astype(np.int64), h[some]
+    owner = np.searchsorted(starts, at, "right") - 1
     order = np.argsort(h, kind="stable")
     at, owner, h = at[order], owner[order], h[order]
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -184,9 +186,9 @@ def repeats(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.nd
     return owner[found], (at - starts[owner])[found], cover[found]
 
 
-def _pack(*columns: np.ndarray) -> bytes:
+def _pack(*columns: np.ndarray, level: int = 1) -> bytes:
     sizes = np.array([x.nbytes for x in columns], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(x.tobytes() for x in columns))
+    return zstandard.ZstdCompressor(level=level).compress(sizes + b"".join(x.tobytes() for x in columns))
 
 
 def _unpack(blob: bytes, *types) -> list[np.ndarray]:
@@ -197,14 +199,14 @@ def _unpack(blob: bytes, *types) -> list[np.ndarray]:
     return [np.frombuffer(raw, t, (e - e0) // np.dtype(t).itemsize, e0) for t, e, e0 in zip(types, ends.tolist(), (ends - sizes).tolist(), strict=True)]
 
 
-_SPANS = (np.int64, np.int64, np.int64, np.int64)  # id, text hash, start, end
-_STRINGS = (np.uint8, np.uint32, np.int64, np.int64, np.int64)  # bytes, sizes, ids, text hashes, starts
+_SPANS = (np.int64, np.int16, np.int64, np.int64)  # id, text hash, start, end
+_STRINGS = (np.int64, np.uint8, np.uint16, np.int64, np.int16, np.int64)  # strings in each part, bytes, sizes, steps between ids, text hashes, steps between starts
 
 
 def _dealt(spans: list[np.ndarray], buckets: int):
     """Spans as (bucket, blob) by document."""
     ids, hashes, starts, ends = spans
-    place = (_mix(ids.view(np.uint64) ^ hashes.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    place = (_mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(place, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
         if len(part):
@@ -233,9 +235,14 @@ def _cut(batches, length: int):
         yield texts, ids, hashes, offsets
 
 
+def _text_hash(text: str):
+    """Tells texts under one id apart."""
+    return F.shiftright(F.hash(F.col(text).cast("string")), 16).cast("smallint")
+
+
 def repeat_spans(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
-    """(id, hash, starts, ends): the maximal removed byte runs of every document that has any; hash is xxhash64 of the text."""
-    rows = df.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.col(text).cast("string").alias("text"))
+    """(id, hash, starts, ends): the maximal removed byte runs of every document that has any; hash is 16 bits of the text's."""
+    rows = df.select(F.col(id).cast("long").alias("id"), _text_hash(text).alias("hash"), F.col(text).cast("string").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-total // BUCKET))
@@ -243,7 +250,7 @@ def repeat_spans(df: DataFrame, id: str = "doc_id", text: str = "text", length:
     def deal(batches):
         for texts, ids, hashes, offsets in _cut(batches, length):
             data, bounds = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
-            ids, hashes, offsets = (np.array(x, np.int64) for x in (ids, hashes, offsets))
+            ids, hashes, offsets = np.array(ids, np.int64), np.array(hashes, np.int16), np.array(offsets, np.int64)
             starts, sizes, owner, least = strings_of(data, bounds, length)
             if not len(starts):
                 continue
@@ -258,24 +265,44 @@ def repeat_spans(df: DataFrame, id: str = "doc_id", text: str = "text", length:
             out = []
             if again.any():
                 o = owner[again]
-                out += [(0, b, blob) for b, blob in _dealt([ids[o], hashes[o], begin[again], (begin + sizes)[again]], buckets)]
+                # settled spans take the same way as strings, under negative numbers
+                out += [(-1 - b, blob) for b, blob in _dealt([ids[o], hashes[o], begin[again], (begin + sizes)[again]], buckets)]
             starts, sizes, owner, begin, least = (x[~again] for x in (starts, sizes, owner, begin, least))
-            place = (least % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(place, kind="stable")
+            place, part = (least % np.uint64(buckets)).astype(np.int64), (least // np.uint64(buckets) % np.uint64(PARTS)).astype(np.int64)
+            order = np.lexsort((begin, ids[owner], part, place))
             for one in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
-                body = data[ranges(starts[one], sizes[one])]
-                out.append((1, int(place[one[0]]), _pack(body, sizes[one].astype(np.uint32), ids[owner[one]], hashes[owner[one]], begin[one])))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["kind", "bucket", "blob"])
+                if len(one):
+                    o = owner[one]
+                    steps = (np.diff(x, prepend=0) for x in (ids[o], begin[one]))
+                    counts = np.bincount(part[one], minlength=PARTS)
+                    body = data[ranges(starts[one], sizes[one])]
+                    id_steps, start_steps = steps
+                    out.append((int(place[one[0]]), _pack(counts, body, sizes[one].astype(np.uint16), id_steps, hashes[o], start_steps, level=6)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary()))], names=["bucket", "blob"])
 
     def find(table: pa.Table) -> pa.Table:
-        columns = [_unpack(x.as_py(), *_STRINGS) for x in table.column("blob")]
-        body, sizes, ids, hashes, begin = (np.concatenate(c) for c in zip(*columns, strict=True))
-        sizes = sizes.astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
-        which, offset, size = repeats(body, starts, sizes, ids, length)
-        begin = begin[which] + offset
-        out = list(_dealt([ids[which], hashes[which], begin, begin + size], buckets))
-        return pa.table({"kind": pa.array([0] * len(out), pa.int32()), "bucket": pa.array([b for b, _ in out], pa.int64()), "blob": pa.array([x for _, x in out], pa.binary())})
+        bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:
+            return pa.table({"bucket": pa.array([-1 - bucket] * len(table), pa.int64()), "blob": table.column("blob")})
+        parts: list[list[tuple]] = [[] for _ in range(PARTS)]
+        for blob in table.column("blob"):
+            counts, body, sizes, id_steps, hashes, start_steps = _unpack(blob.as_py(), *_STRINGS)
+            sizes, ids, starts = sizes.astype(np.int64), np.cumsum(id_steps), np.cumsum(start_steps)
+            ends, at, byte = np.cumsum(counts), 0, 0
+            bytes_at = np.concatenate([[0], np.cumsum(sizes)])
+            for k, end in enumerate(ends.tolist()):
+                if end > at:
+                    parts[k].append((body[byte : bytes_at[end]], sizes[at:end], ids[at:end], hashes[at:end], starts[at:end]))
+                at, byte = end, int(bytes_at[end])
+        out = []
+        for part in parts:
+            if part:
+                body, sizes, ids, hashes, begin = (np.concatenate(c) for c in zip(*part, strict=True))
+                part.clear()
+                which, offset, size = repeats(body, np.cumsum(sizes) - sizes, sizes, ids, length)
+                begin = begin[which] + offset
+                out += _dealt([ids[which], hashes[which], begin, begin + size], buckets)
+        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int64()), "blob": pa.array([x for _, x in out], pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
         columns = [_unpack(x.as_py(), *_SPANS) for x in table.column("blob")]
@@ -295,11 +322,9 @@ def repeat_spans(df: DataFrame, id: str = "doc_id", text: str = "text", length:
         lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (run_starts, run_ends)]
         return pa.table({"id": pa.array(ids[at[firsts]]), "hash": pa.array(hashes[at[firsts]]), "starts": lists[0], "ends": lists[1]})
 
-    blobs = "kind int, bucket long, blob binary"
-    dealt = written(rows.mapInArrow(deal, blobs), "strings")
-    found = dealt.where("kind = 1").groupBy("bucket").applyInArrow(find, blobs)
-    spans = dealt.where("kind = 0").unionByName(found)
-    return spans.groupBy("bucket").applyInArrow(merge, "id long, hash long, starts array<long>, ends array<long>")
+    blobs = "bucket long, blob binary"
+    spans = rows.mapInArrow(deal, blobs).groupBy("bucket").applyInArrow(find, blobs)
+    return spans.groupBy("bucket").applyInArrow(merge, "id long, hash smallint, starts array<long>, ends array<long>")
 
 
 def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
@@ -313,7 +338,7 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
     """
     keep = [c for c in df.columns if c not in ("starts", "ends", "kept")]
     spans = written(repeat_spans(df, id, text, length), "spans").withColumnsRenamed({"id": "__id", "hash": "__hash"})
-    joined = df.select(*keep).join(spans, (F.col(id) == F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left").drop("__id", "__hash")
+    joined = df.select(*keep).join(spans, (F.col(id) == F.col("__id")) & (_text_hash(text) == F.col("__hash")), "left").drop("__id", "__hash")
     schema = T.StructType([*joined.schema.fields, T.StructField("kept", T.BinaryType())])
 
     def cut(batches):
