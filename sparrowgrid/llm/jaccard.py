@@ -9,8 +9,10 @@
 3. Every signature's smallest document is a query against the others: a star,
    linear in the postings, not all pairs of a group.  Components of the found
    links are made; only pairs of one signature that are still in different
-   components are queried as well.  No link that could join two components is
-   left out, and no pairs within a group of copies are made.
+   components are queried as well, and of these only pairs that can link given
+   how each differs from the signature's smallest document: elements that no
+   other document of the star has can't be common.  No link that could join two
+   components is left out, and no pairs within a group of copies are made.
 4. Queries run against blocks of candidates: a T-occurrence search with
    DivideSkip over the block's inverted lists.
 """
@@ -189,20 +191,42 @@ def divide_skip(query: np.ndarray, block: list[np.ndarray], limit: Limit) -> lis
     return sorted(found)
 
 
-def links(pairs: DataFrame, sets: DataFrame, limit: Limit) -> DataFrame:
-    """The pairs (a, b) that link; a is the query.  ``sets`` has id and tokens array<long>."""
+def links(pairs: DataFrame, sets: DataFrame, limit: Limit, differences: bool = False) -> DataFrame:
+    """The pairs (a, b) that link; a is the query.  ``sets`` has id and tokens array<long>.
+
+    With ``differences`` all pairs come back, with linked, the numbers of
+    elements that b has more (fresh) and less (gone) than a, and the fresh
+    elements themselves where the two share half of their union.
+    """
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")))
     candidates = dealt.join(sets.select(F.col("id").alias("b"), "tokens"), "b").select("a", "block", F.lit(1).alias("side"), "b", "tokens")
     queries = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     queries = queries.join(sets.select(F.col("id").alias("a"), "tokens"), "a").select("a", "block", F.lit(0).alias("side"), F.col("a").alias("b"), "tokens")
+    names = ["a", "b", "linked", "fresh", "gone", "tokens"] if differences else ["a", "b"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names=names)
+
+    def answer(a, query, ids, block):
+        found = divide_skip(query, block, limit)
+        if not differences:
+            return [(a, ids[i]) for i in found]
+        linked, out = set(found), []
+        for i, tokens in enumerate(block):
+            new = tokens[query[np.minimum(np.searchsorted(query, tokens), len(query) - 1)] != tokens]
+            common = len(tokens) - len(new)
+            near = 2 * common >= len(query) + len(new)
+            out.append((a, ids[i], i in linked, len(new), len(query) - common, new.view(np.int64) if near else None))
+        return out
 
     def run(batches):
         key, asked, ids, block, out = None, [], [], [], []
 
         def close():
             for query in asked:
-                out.extend((key[0], ids[i]) for i in divide_skip(query, block, limit))
+                out.extend(answer(key[0], query, ids, block))
 
         for batch in batches:
             a, of, side, b = (batch.column(i).to_pylist() for i in range(4))
@@ -221,15 +245,26 @@ def links(pairs: DataFrame, sets: DataFrame, limit: Limit) -> DataFrame:
                 else:
                     asked.append(tokens)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                yield batch_of(out)
                 out = []
         if key is not None:
             close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+            yield batch_of(out)
 
     ordered = candidates.unionByName(queries).repartition("a", "block").sortWithinPartitions("a", "block", "side")
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, "a long, b long" + ", linked boolean, fresh long, gone long, tokens array<long>" * differences)
+
+
+def _bounds(stars: DataFrame) -> DataFrame:
+    """(p, id, fresh, gone, common): how a document differs from its star's centre, and how many of its fresh elements another one of the star has."""
+    each = stars.select("a", "b", F.explode("tokens").alias("t"))
+    met = each.groupBy("a", "t").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low < high").select("a", "t")
+    common = each.join(met, ["a", "t"]).groupBy("a", "b").agg(F.count("*").alias("common"))
+    told = stars.withColumn("near", F.col("tokens").isNotNull()).join(common, ["a", "b"], "left")
+    return told.select(
+        F.col("a").alias("p"), F.col("b").alias("id"), "fresh", "gone", F.when(F.col("near"), F.coalesce("common", F.lit(0))).otherwise(F.col("fresh")).alias("common")
+    )
 
 
 def jaccard_groups(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -247,19 +282,26 @@ def jaccard_groups(df: DataFrame, id: str = "doc_id", text: str = "text", n: int
     with_words = sets.where("n > 0 and id is not null")
     classes = with_words.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
     posts = with_words.join(classes, ["n", "d1", "d2"]).where("id = rep").select(F.explode("sigs").alias("sig"), "id", "n")
-    stars = posts.groupBy("sig").agg(F.min("id").alias("p"), F.max("id").alias("last")).where("p < last").select("sig", "p")
-    shared = written(posts.join(stars, "sig"), "shared")
+    centres = posts.groupBy("sig").agg(F.min("id").alias("p"), F.max("id").alias("last")).where("p < last").select("sig", "p")
+    shared = written(posts.join(centres, "sig"), "shared")
     tokens = written(_tokens(df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")), shared, n), "tokens")
     tested = written(shared.where("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    found = written(links(tested, tokens, limit), "links")
+    stars = written(links(tested, tokens, limit, differences=True), "links")
+    found = stars.where("linked").select("a", "b")
     first = written(components(found).withColumnRenamed("node", "id"), "components")
-    placed = shared.join(first, "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("c"))
+    placed = shared.join(first, "id", "left").select("sig", "p", "id", "n", F.coalesce("component", "id").alias("c"))
     split = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig")
-    open_ = written(placed.join(split, "sig"), "open")
-    other = open_.select("sig", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+    zero = F.lit(0).cast("long")
+    differ = placed.join(split, "sig").join(_bounds(stars), ["p", "id"], "left")
+    # the centre itself differs in nothing
+    open_ = written(differ.select("sig", "id", "n", "c", *[F.coalesce(x, zero).alias(x) for x in ("fresh", "gone", "common")]), "open")
+    other = open_.select("sig", *[F.col(x).alias(x + "2") for x in ("id", "n", "c", "fresh", "gone", "common")])
+    # the least number of elements in which the two can differ
+    apart = F.expr("fresh + fresh2 + gone + gone2 - 2 * (least(common, common2) + least(gone, gone2))")
     rest = (
         open_.join(other, "sig")
         .where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & (F.least("n", "n2") * den >= F.greatest("n", "n2") * num))
+        .where(apart * (den + num) <= (F.col("n") + F.col("n2")) * (den - num))
         .select(F.col("id").alias("a"), F.col("id2").alias("b"))
         .distinct()
         .join(tested, ["a", "b"], "left_anti")

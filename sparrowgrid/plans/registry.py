@@ -5,10 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from sparrowgrid.session import read
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -25,16 +21,6 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-@query(
-    "register_page",
-    """SELECT o_orderkey, o_orderstatus, o_totalprice, c_name, c_mktsegment
-       FROM orders JOIN customer ON o_custkey = c_custkey
-       WHERE o_orderstatus <> 'P'
-       ORDER BY o_totalprice DESC NULLS LAST, o_orderkey ASC LIMIT 50 OFFSET 50""",
-)
-def register_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second register page: filter, sort with nulls last and an id tie-break, then 50 rows."""
-    orders = read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
-    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
-    page = orders.orderBy(F.desc_nulls_last("o_totalprice"), F.asc("o_orderkey")).offset(50).limit(50)
-    return page.join(customers, "o_custkey").select("o_orderkey", "o_orderstatus", "o_totalprice", "c_name", "c_mktsegment")
+
+# each module registers its queries as it is imported
+from sparrowgrid.plans import aggregates, changes, ranked, register, relations, reports, streams, texts  # noqa: E402, F401
