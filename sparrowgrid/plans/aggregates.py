@@ -18,7 +18,7 @@ def at(day: str):
 @query(
     "coverage_by_nation",
     """SELECT n_name, count(o_orderkey) AS records, count(DISTINCT CASE WHEN o_orderstatus <> 'F' THEN o_custkey END) AS live_projects,
-       count(DISTINCT CASE WHEN o_totalprice > 400000 THEN o_custkey END) AS naming, CAST(max(o_orderdate) AS DATE) AS newest
+       count(DISTINCT CASE WHEN o_totalprice > 400000 THEN o_custkey END) AS naming, CAST(max(o_orderdate) AS DATE)::VARCHAR AS newest
        FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""",
 )
 def coverage_by_nation(spark, sf_dir):
@@ -31,7 +31,7 @@ def coverage_by_nation(spark, sf_dir):
         F.count("*").alias("records"), F.bool_or(F.col("o_orderstatus") != "F").alias("live"), F.bool_or(F.col("o_totalprice") > 400000).alias("naming"), F.max("o_orderdate").alias("newest")
     )
     per = customer.join(project, "o_custkey").groupBy("n_nationkey").agg(
-        F.sum("records").alias("records"), F.count_if("live").alias("live_projects"), F.count_if("naming").alias("naming"), F.max("newest").cast("date").alias("newest")
+        F.sum("records").alias("records"), F.count_if("live").alias("live_projects"), F.count_if("naming").alias("naming"), F.max("newest").cast("date").cast("string").alias("newest")
     )
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return nation.join(per, "n_nationkey", "left").select("n_name", zero("records"), zero("live_projects"), zero("naming"), "newest")
@@ -61,10 +61,11 @@ def coverage_verdict(spark, sf_dir):
     return per.select("p_brand", "records", "projects", "named", state.alias("state"))
 
 
-@query("latest_run_per_unit", "SELECT user_id, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS event_id, max(ts) AS run_at FROM events GROUP BY 1")
+@query("latest_run_per_unit", "SELECT user_id, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS event_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS run_at FROM events GROUP BY 1")
 def latest_run_per_unit(spark, sf_dir):
     """The newest run of each unit."""
-    return K.last_wins(read(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").alias("run_at")), "user_id", "run_at", "event_id")
+    last = K.last_wins(read(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", "ts", "event_id")
+    return last.select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("run_at"))
 
 
 _BASE = """SELECT user_id, event_id, CAST(round(value * 100) AS BIGINT) AS cents, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events"""
@@ -93,11 +94,11 @@ def health_verdict(spark, sf_dir):
     return per.select("user_id", verdict.alias("verdict"))
 
 
-@query("source_silence", f"SELECT event_type, max(ts) AS last_seen, date_diff('day', max(ts), {NOW}) AS days_silent, count(*) AS n FROM events GROUP BY 1")
+@query("source_silence", f"SELECT event_type, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, date_diff('day', max(ts), {NOW}) AS days_silent, count(*) AS n FROM events GROUP BY 1")
 def source_silence(spark, sf_dir):
     """When each source was last heard."""
     days = F.datediff(F.lit("2024-01-31").cast("date"), F.max("ts").cast("date")).cast("long")
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.max("ts").alias("last_seen"), days.alias("days_silent"), F.count("*").alias("n"))
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_seen"), days.alias("days_silent"), F.count("*").alias("n"))
 
 
 @query(

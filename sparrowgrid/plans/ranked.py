@@ -16,13 +16,13 @@ def first_wins_dedupe(spark, sf_dir):
 
 @query(
     "latest_child",
-    """SELECT l_orderkey, CAST(l_shipdate AS DATE) AS day, l_linenumber FROM
+    """SELECT l_orderkey, CAST(l_shipdate AS DATE)::VARCHAR AS day, l_linenumber FROM
        (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC) AS r FROM lineitem) WHERE r = 1""",
 )
 def latest_child(spark, sf_dir):
     """The newest record of each project."""
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_linenumber", "l_partkey")
-    return K.last_wins(rows, "l_orderkey", "l_shipdate", "l_linenumber", "l_partkey").select("l_orderkey", F.col("l_shipdate").cast("date").alias("day"), "l_linenumber")
+    return K.last_wins(rows, "l_orderkey", "l_shipdate", "l_linenumber", "l_partkey").select("l_orderkey", F.col("l_shipdate").cast("date").cast("string").alias("day"), "l_linenumber")
 
 
 @query(
@@ -117,9 +117,9 @@ def round_robin_spread(spark, sf_dir):
 
 @query(
     "earliest_causing_record",
-    """SELECT l_orderkey, arg_min(l_linenumber, struct_pack(a := l_shipdate, b := l_linenumber, c := l_partkey)) AS l_linenumber, CAST(min(l_shipdate) AS DATE) AS day FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1""",
+    """SELECT l_orderkey, arg_min(l_linenumber, struct_pack(a := l_shipdate, b := l_linenumber, c := l_partkey)) AS l_linenumber, CAST(min(l_shipdate) AS DATE)::VARCHAR AS day FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1""",
 )
 def earliest_causing_record(spark, sf_dir):
     """The first record that carries the new stage."""
     rows = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey")
-    return rows.agg(F.min_by("l_linenumber", F.struct("l_shipdate", "l_linenumber", "l_partkey")).alias("l_linenumber"), F.min("l_shipdate").cast("date").alias("day"))
+    return rows.agg(F.min_by("l_linenumber", F.struct("l_shipdate", "l_linenumber", "l_partkey")).alias("l_linenumber"), F.min("l_shipdate").cast("date").cast("string").alias("day"))

@@ -76,14 +76,14 @@ def folded_post_filter(spark, sf_dir):
 
 @query(
     "stream_date_column",
-    """SELECT l_returnflag, count(*) AS n, CAST(max(CASE WHEN l_returnflag = 'R' THEN l_shipdate + INTERVAL 30 DAY ELSE l_shipdate END) AS DATE) AS newest
+    """SELECT l_returnflag, count(*) AS n, CAST(max(CASE WHEN l_returnflag = 'R' THEN l_shipdate + INTERVAL 30 DAY ELSE l_shipdate END) AS DATE)::VARCHAR AS newest
        FROM lineitem WHERE (CASE WHEN l_returnflag = 'R' THEN l_shipdate + INTERVAL 30 DAY ELSE l_shipdate END) >= TIMESTAMP '1998-01-01' GROUP BY 1""",
 )
 def stream_date_column(spark, sf_dir):
     """The date a stream is sorted and filtered by: the deadline of one, the published day of the others."""
     day = F.when(F.col("l_returnflag") == "R", F.col("l_shipdate") + F.expr("interval 30 days")).otherwise(F.col("l_shipdate"))
     rows = read(spark, sf_dir, "lineitem").select("l_returnflag", day.alias("day")).where(F.col("day") >= F.lit("1998-01-01").cast("timestamp_ntz"))
-    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.max("day").cast("date").alias("newest"))
+    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.max("day").cast("date").cast("string").alias("newest"))
 
 
 @query(

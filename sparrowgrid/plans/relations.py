@@ -165,13 +165,13 @@ def group_has_both(spark, sf_dir):
 
 @query(
     "milestone_lookup",
-    """SELECT o_orderkey, CAST(max(l_shipdate) AS DATE) AS latest, CAST(min(l_shipdate) FILTER (WHERE l_shipdate > TIMESTAMP '2000-01-01') AS DATE) AS next_date,
+    """SELECT o_orderkey, CAST(max(l_shipdate) AS DATE)::VARCHAR AS latest, CAST(min(l_shipdate) FILTER (WHERE l_shipdate > TIMESTAMP '2000-01-01') AS DATE)::VARCHAR AS next_date,
        count(l_orderkey) > 0 AS there FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""",
 )
 def milestone_lookup(spark, sf_dir):
     """Projects with aggregates of their milestones, and whether they have any."""
     future = F.when(F.col("l_shipdate") > F.lit("2000-01-01").cast("timestamp_ntz"), F.col("l_shipdate"))
-    by = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").cast("date").alias("latest"), F.min(future).cast("date").alias("next_date"), F.lit(True).alias("there"))
+    by = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").cast("date").cast("string").alias("latest"), F.min(future).cast("date").cast("string").alias("next_date"), F.lit(True).alias("there"))
     return read(spark, sf_dir, "orders").select("o_orderkey").join(by, "o_orderkey", "left").select("o_orderkey", "latest", "next_date", F.coalesce("there", F.lit(False)).alias("there"))
 
 

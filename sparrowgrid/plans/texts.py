@@ -88,14 +88,14 @@ def extract_money_max(spark, sf_dir):
 
 @query(
     "extract_iso_dates",
-    """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS first_date, CAST(o_orderdate + INTERVAL 40 DAY AS DATE) AS last_date, 2 AS n FROM orders""",
+    """SELECT o_orderkey, CAST(o_orderdate AS DATE)::VARCHAR AS first_date, CAST(o_orderdate + INTERVAL 40 DAY AS DATE)::VARCHAR AS last_date, 2 AS n FROM orders""",
 )
 def extract_iso_dates(spark, sf_dir):
     """The days a text names, in order; impossible ones are left out."""
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     text = F.concat(F.lit("hearing "), day(F.col("o_orderdate") + F.expr("interval 40 days")), F.lit(", filed "), day("o_orderdate"), F.lit(" (not 1999-02-31, nor "), day("o_orderdate"), F.lit(")"))
     dates = X.iso_dates("text")
-    return read(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")).select("o_orderkey", dates[0].alias("first_date"), F.element_at(dates, -1).alias("last_date"), F.size(dates).alias("n"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")).select("o_orderkey", dates[0].cast("string").alias("first_date"), F.element_at(dates, -1).cast("string").alias("last_date"), F.size(dates).alias("n"))
 
 
 @query(
@@ -173,8 +173,8 @@ def press_facts(spark, sf_dir):
     """Quantities and phone numbers a text states."""
     return read(spark, sf_dir, "documents").select(
         "doc_id",
-        F.regexp_count("text", F.lit(r"(?i)\b[0-9]+ (rooms|floors|seats|acres)\b")).alias("facts"),
-        F.regexp_count("text", F.lit(r"\+?[0-9][0-9 ()-]{8,}[0-9]")).alias("phones"),
+        F.regexp_count("text", F.lit(r"(?i)\b[0-9]+ (rooms|floors|seats|acres)\b")).cast("long").alias("facts"),
+        F.regexp_count("text", F.lit(r"\+?[0-9][0-9 ()-]{8,}[0-9]")).cast("long").alias("phones"),
     )
 
 
@@ -182,4 +182,4 @@ def press_facts(spark, sf_dir):
 def sentences(spark, sf_dir):
     """How many sentences and lines a text has."""
     parts = F.split("text", r"[.!?][ \n]+|\n+")
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(parts, lambda x: F.trim(x) != "")).alias("n"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(parts, lambda x: F.trim(x) != "")).cast("long").alias("n"))
