@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
@@ -14,6 +15,15 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+def settle(spark: SparkSession) -> None:
+    """What the operators ask of a session: small Arrow batches, and workers that find this package in local mode.
+
+    On a cluster the package is shipped as usual (--py-files) and the path does no harm.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)

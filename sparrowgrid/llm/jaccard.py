@@ -36,7 +36,7 @@ from sparrowgrid.llm.common import bounded, components, written
 #: Candidates in one block of a query.
 BLOCK = 256
 #: Distinct words whose hashes a worker remembers.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -327,7 +327,9 @@ def _tokens(rows: DataFrame, shared: DataFrame, n: int) -> DataFrame:
             flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "tokens"])
 
-    return rows.join(shared.select("id").distinct(), "id", "left_semi").mapInArrow(run, "id long, tokens array<long>")
+    # one plan at every size: the ids grow with the rows
+    wanted = shared.select("id").distinct().hint("merge")
+    return rows.join(wanted, "id", "left_semi").mapInArrow(run, "id long, tokens array<long>")
 
 
 def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:

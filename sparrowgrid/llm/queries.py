@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrowgrid.session import read
+from sparrowgrid.llm.common import settle
+from sparrowgrid.session import read as read_table
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """One of the driver's tables, in a session set for the operators."""
+    settle(spark)
+    return read_table(spark, sf_dir, table)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
