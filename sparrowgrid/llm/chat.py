@@ -64,15 +64,11 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     jumps = [written(links, "jump")]
     limit = max(1, jumps[0].count()).bit_length() + 1
     while len(jumps) <= limit and not jumps[-1].where("up is not null").isEmpty():
-        above = jumps[-1].select("conv", F.col("msg").alias("up"), F.col("up").alias("up2"), F.col("total").alias("more"))
-        jumps.append(
-            written(
-                jumps[-1].join(above, ["conv", "up"], "left").select(
-                    "conv", "msg", F.col("up2").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")
-                ),
-                "jump",
-            )
-        )
+        now = jumps[-1]
+        above = now.select("conv", F.col("msg").alias("up"), F.col("up").alias("up2"), F.col("total").alias("more"))
+        # messages that have reached their root are done
+        further = now.where("up is not null").join(above, ["conv", "up"]).select("conv", "msg", F.col("up2").alias("up"), (F.col("total") + F.col("more")).alias("total"))
+        jumps.append(written(now.where("up is null").unionByName(further), "jump"))
     parents = nodes.where("parent is not null").select("conv", F.col("parent").alias("msg"))
     leaves = jumps[-1].where("up is null").join(parents, ["conv", "msg"], "left_anti")
     if branches == 1:
