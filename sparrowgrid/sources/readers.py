@@ -57,7 +57,7 @@ def numbered_items(documents: DataFrame, text: str = "text") -> DataFrame:
     """Agenda text cut into its numbered items: number, item."""
     items = F.split(text, r"(?m)^(?=\s*[0-9]{1,3}[.)]\s)")
     rows = documents.withColumn("__item", F.explode(items)).withColumn("number", F.regexp_extract("__item", r"^\s*([0-9]{1,3})[.)]\s", 1).try_cast("int"))
-    return rows.where("number is not null").select(*[c for c in documents.columns if c != text], "number", F.trim(F.regexp_replace("__item", r"^\s*[0-9]{1,3}[.)]\s+", "")).alias("item"))
+    return rows.where("number is not null").select(*[c for c in documents.columns if c != text], "number", F.regexp_replace("__item", r"^\s*[0-9]{1,3}[.)]\s+|\s+$", "").alias("item"))
 
 
 def validated(rows: DataFrame, rules: dict[str, Column], samples: int = 3) -> tuple[DataFrame, DataFrame]:
