@@ -2,10 +2,13 @@
 
 1. Each text becomes its set of distinct word n-grams (64-bit hashes).  Equal
    sets are one class, represented by its smallest id.
-2. Candidates: sets are grouped by size; in each size group the universe is
-   split by hash into one segment more than two linked sets may differ in, so
-   linked sets agree on at least one whole segment.  A signature is a segment's
-   content; documents under one signature may be linked, others are not.
+2. Candidates: linked sets have a signature in common.  For long n-grams the
+   signatures are a set's first elements in order of their hashes, as many as
+   the limit lets two linked sets differ in, and one more.  Short n-grams are
+   common by chance, so their sets are grouped by size and the universe is
+   split by hash into one segment more than two linked sets of the group may
+   differ in; linked sets agree on at least one whole segment, and a signature
+   is a segment's content.
 3. Every signature's smallest document is a query against the others: a star,
    linear in the postings, not all pairs of a group.  Components of the found
    links are made; only pairs of one signature that are still in different
@@ -105,11 +108,13 @@ def size_groups() -> np.ndarray:
     return np.array(bounds)
 
 
-def signatures(tokens: np.ndarray, limit: Limit) -> np.ndarray:
-    """Signatures of a set, in its own size group and in those of larger sets it can link with."""
+def signatures(tokens: np.ndarray, limit: Limit, prefix: bool) -> np.ndarray:
+    """Signatures of a sorted set: its first elements, or its segments in its own size group and in those of larger sets it can link with."""
     size = len(tokens)
     if not size:
         return np.zeros(0, np.int64)
+    if prefix:
+        return tokens[: size + limit.num * size // -limit.den + 1].view(np.int64)
     bounds = size_groups()
     first = int(np.searchsorted(bounds, size, "right")) - 1
     last = int(np.searchsorted(bounds, limit.largest(size), "right")) - 1
@@ -124,13 +129,13 @@ def signatures(tokens: np.ndarray, limit: Limit) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def shingle_sets(df: DataFrame, id: str, text: str, n: int, limit: Limit) -> DataFrame:
+def shingle_sets(df: DataFrame, id: str, text: str, n: int, limit: Limit, prefix: bool) -> DataFrame:
     """(id, n, d1, d2, sigs): set size, 128-bit digest and signatures of every row."""
 
     def run(batches):
         for part in bounded(batches, "text"):
             sets = [shingles(x, n) for x in part.column(1).to_pylist()]
-            sigs = [signatures(s, limit) for s in sets]
+            sigs = [signatures(s, limit, prefix) for s in sets]
             offsets = np.zeros(len(sigs) + 1, np.int32)
             np.cumsum([len(x) for x in sigs], out=offsets[1:])
             d1 = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
@@ -196,11 +201,12 @@ def links(pairs: DataFrame, sets: DataFrame, limit: Limit, differences: bool = F
 
     With ``differences`` all pairs come back, with linked, the numbers of
     elements that b has more (fresh) and less (gone) than a, and the fresh
-    elements themselves where the two share half of their union.
+    elements themselves for the pairs marked ``told``.
     """
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")))
-    candidates = dealt.join(sets.select(F.col("id").alias("b"), "tokens"), "b").select("a", "block", F.lit(1).alias("side"), "b", "tokens")
+    side = F.when(F.col("told"), 2).otherwise(1) if differences else F.lit(1)
+    candidates = dealt.join(sets.select(F.col("id").alias("b"), "tokens"), "b").select("a", "block", side.alias("side"), "b", "tokens")
     queries = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     queries = queries.join(sets.select(F.col("id").alias("a"), "tokens"), "a").select("a", "block", F.lit(0).alias("side"), F.col("a").alias("b"), "tokens")
     names = ["a", "b", "linked", "fresh", "gone", "tokens"] if differences else ["a", "b"]
@@ -209,7 +215,7 @@ def links(pairs: DataFrame, sets: DataFrame, limit: Limit, differences: bool = F
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names=names)
 
-    def answer(a, query, ids, block):
+    def answer(a, query, ids, told, block):
         found = divide_skip(query, block, limit)
         if not differences:
             return [(a, ids[i]) for i in found]
@@ -217,16 +223,15 @@ def links(pairs: DataFrame, sets: DataFrame, limit: Limit, differences: bool = F
         for i, tokens in enumerate(block):
             new = tokens[query[np.minimum(np.searchsorted(query, tokens), len(query) - 1)] != tokens]
             common = len(tokens) - len(new)
-            near = 2 * common >= len(query) + len(new)
-            out.append((a, ids[i], i in linked, len(new), len(query) - common, new.view(np.int64) if near else None))
+            out.append((a, ids[i], i in linked, len(new), len(query) - common, new.view(np.int64) if told[i] else None))
         return out
 
     def run(batches):
-        key, asked, ids, block, out = None, [], [], [], []
+        key, asked, ids, told, block, out = None, [], [], [], [], []
 
         def close():
             for query in asked:
-                out.extend(answer(key[0], query, ids, block))
+                out.extend(answer(key[0], query, ids, told, block))
 
         for batch in batches:
             a, of, side, b = (batch.column(i).to_pylist() for i in range(4))
@@ -234,14 +239,15 @@ def links(pairs: DataFrame, sets: DataFrame, limit: Limit, differences: bool = F
                 if now != key:
                     if key is not None:
                         close()
-                    key, asked, ids, block = now, [], [], []
+                    key, asked, ids, told, block = now, [], [], [], []
                 tokens = batch.column(4)[i].values.to_numpy().view(np.uint64)
                 if side[i]:
                     ids.append(b[i])
+                    told.append(side[i] == 2)
                     block.append(tokens)
                     if len(block) >= 2 * BLOCK:
                         close()
-                        ids, block = [], []
+                        ids, told, block = [], [], []
                 else:
                     asked.append(tokens)
             if out:
@@ -261,13 +267,11 @@ def _bounds(stars: DataFrame) -> DataFrame:
     each = stars.select("a", "b", F.explode("tokens").alias("t"))
     met = each.groupBy("a", "t").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low < high").select("a", "t")
     common = each.join(met, ["a", "t"]).groupBy("a", "b").agg(F.count("*").alias("common"))
-    told = stars.withColumn("near", F.col("tokens").isNotNull()).join(common, ["a", "b"], "left")
-    return told.select(
-        F.col("a").alias("p"), F.col("b").alias("id"), "fresh", "gone", F.when(F.col("near"), F.coalesce("common", F.lit(0))).otherwise(F.col("fresh")).alias("common")
-    )
+    told = stars.where("tokens is not null").join(common, ["a", "b"], "left")
+    return told.select(F.col("a").alias("p"), F.col("b").alias("id"), "fresh", "gone", F.coalesce("common", F.lit(0)).alias("common"))
 
 
-def jaccard_groups(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def jaccard_groups(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, prefix: bool | None = None) -> DataFrame:
     """(id, n_shingles, component_id) for every row.
 
     Two documents link when ``den * intersection >= num * union`` of their sets
@@ -275,17 +279,20 @@ def jaccard_groups(df: DataFrame, id: str = "doc_id", text: str = "text", n: int
     by links.  Null, empty and wordless texts have no set and link with
     nothing.  Repeated rows give repeated results; rows that share an id are
     one document.  A null id takes part in no link and is its own null
-    component.  Other columns are ignored.
+    component.  ``prefix`` chooses the signatures (default: for n-grams of five
+    words or more); results are the same.  Other columns are ignored.
     """
     limit = Limit(num, den)
-    sets = written(shingle_sets(df, id, text, n, limit), "sets")
+    sets = written(shingle_sets(df, id, text, n, limit, n >= 5 if prefix is None else prefix), "sets")
     with_words = sets.where("n > 0 and id is not null")
     classes = with_words.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
     posts = with_words.join(classes, ["n", "d1", "d2"]).where("id = rep").select(F.explode("sigs").alias("sig"), "id", "n")
-    centres = posts.groupBy("sig").agg(F.min("id").alias("p"), F.max("id").alias("last")).where("p < last").select("sig", "p")
+    lists = posts.groupBy("sig").agg(F.min("id").alias("p"), F.max("id").alias("last"), F.count("*").alias("size"))
+    centres = lists.where("p < last").select("sig", "p", (F.col("size") > 2).alias("many"))
     shared = written(posts.join(centres, "sig"), "shared")
     tokens = written(_tokens(df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")), shared, n), "tokens")
-    tested = written(shared.where("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    # in a list of two nothing is left to compare, so how its second differs from its first isn't asked
+    tested = written(shared.where("id <> p").groupBy(F.col("p").alias("a"), F.col("id").alias("b")).agg(F.bool_or("many").alias("told")), "stars")
     stars = written(links(tested, tokens, limit, differences=True), "links")
     found = stars.where("linked").select("a", "b")
     first = written(components(found).withColumnRenamed("node", "id"), "components")
@@ -304,7 +311,7 @@ def jaccard_groups(df: DataFrame, id: str = "doc_id", text: str = "text", n: int
         .where(apart * (den + num) <= (F.col("n") + F.col("n2")) * (den - num))
         .select(F.col("id").alias("a"), F.col("id2").alias("b"))
         .distinct()
-        .join(tested, ["a", "b"], "left_anti")
+        .join(tested.select("a", "b"), ["a", "b"], "left_anti")
     )
     found = found.unionByName(links(written(rest, "rest"), tokens, limit))
     final = components(found).select(F.col("node").alias("rep"), "component")
@@ -333,7 +340,8 @@ def _tokens(rows: DataFrame, shared: DataFrame, n: int) -> DataFrame:
 
 
 def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``df`` whose document is the smallest of its group; repeated rows of it shrink to one."""
+    """The rows of ``df`` whose document is the smallest of its group; repeated rows of it shrink to one, rows with a null id all stay."""
     groups = jaccard_groups(df, id, text, n, num, den)
     dropped = groups.where(F.col(id) != F.col("component_id")).select(id).distinct()
-    return df.join(dropped, id, "left_anti").dropDuplicates([id])
+    known = df.where(F.col(id).isNotNull()).join(dropped, id, "left_anti").dropDuplicates([id])
+    return known.select(*df.columns).unionByName(df.where(F.col(id).isNull()))
