@@ -168,3 +168,83 @@ def significance(points: dict[str, Column], penalty: Column, most: float = 100.0
     total = sum(points.values(), F.lit(0.0)) + penalty
     score = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(most), total)) * 10 + 0.5) / 10
     return score, F.map_from_arrays(F.array(*map(F.lit, [*points, "penalty"])), F.array(*points.values(), penalty))
+
+
+def single_entity_hits(records: DataFrame, entities: DataFrame, id: str, text: str, market: str, entity: str) -> DataFrame:
+    """(id, entity): records with the one known entity of their market that their text holds; texts with several are ambiguous and left out.
+
+    The text test is part of the join's condition, so only hits become rows.
+    """
+    known = entities.select(F.col(market).alias("__market"), F.lower(entity).alias("entity")).distinct()
+    hits = records.join(known, (F.col(market) == F.col("__market")) & F.contains(F.lower(F.col(text)), F.col("entity")))
+    per = hits.groupBy(id).agg(F.min("entity").alias("entity"), F.max("entity").alias("__last"))
+    return per.where(F.col("entity") == F.col("__last")).select(id, "entity")
+
+
+def without_contained(rows: DataFrame, group: str, value: str, least: int = 6) -> DataFrame:
+    """Rows whose value isn't a part of a longer value of the same group; values under ``least`` characters stay."""
+    longer = rows.groupBy(group).agg(F.collect_set(value).alias("__all"))
+    inside = F.exists("__all", lambda x: (F.length(x) > F.length(F.col(value))) & F.contains(x, F.col(value)))
+    return rows.join(longer, group).where((F.length(value) < least) | ~inside).drop("__all")
+
+
+def merge_prefixes(keys: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, key, merged): each key with the longest key of its group that it begins, at a word's end."""
+    all_ = keys.groupBy(group).agg(F.collect_set(key).alias("__all"))
+    longest = F.array_max(F.transform(F.filter("__all", lambda x: x.startswith(F.concat(F.col(key), F.lit(" ")))), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
+    return keys.select(group, key).distinct().join(all_, group).select(group, key, F.coalesce(longest["x"], F.col(key)).alias("merged"))
+
+
+def richest(rows: DataFrame, key: str, id: str, *columns: str) -> DataFrame:
+    """Of rows that share a key the one with most columns filled; ties to the smaller id."""
+    filled = sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
+    rest = [c for c in rows.columns if c != key]
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(filled, -F.col(id))).alias("__row"))
+    return best.select(*[F.col(c) if c == key else F.col(f"__row.{c}").alias(c) for c in rows.columns])
+
+
+def near_duplicate_records(records: DataFrame, id: str, block: list[str], words: str, least: float = 0.6, shared: int = 4) -> DataFrame:
+    """(id, kept_id): records of one block (project and day) merged greedily.
+
+    Two are the same if their word sets are equal or share ``shared`` words or
+    more and that is ``least`` of the smaller set; the record with more words
+    stays, ties to the smaller id.
+    """
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(__n=[len(set(w)) for w in rows[words]]).sort_values(["__n", id], ascending=[False, True])
+        kept: list[tuple] = []
+        out = []
+        for i, w in zip(rows[id], rows[words], strict=True):
+            w = set(w)
+            same = next((k for k, x in kept if x == w or len(x & w) >= shared and len(x & w) >= least * min(len(x), len(w))), None)
+            if same is None:
+                kept.append((i, w))
+            out.append((i, i if same is None else same))
+        return pd.DataFrame(out, columns=[id, "kept_id"])
+
+    kind = dict(records.dtypes)[id]
+    return records.groupBy(*block).applyInPandas(fold, f"{id} {kind}, kept_id {kind}")
+
+
+def project_name(rungs: dict[str, Column], least: int = 1) -> Column:
+    """struct<name, rung>: the first rung that gives a name."""
+    found = [F.when(F.length(F.trim(c)) >= least, F.struct(F.trim(c).alias("name"), F.lit(k).alias("rung"))) for k, c in rungs.items()]
+    return F.coalesce(*found)
+
+
+def parties(records: DataFrame, id: str, roles: dict[str, str], key) -> DataFrame:
+    """(id, role, party, key): named parties of every record, one row a role and key; generic public bodies are refused."""
+    generic = r"^(city|county|town|village|state|board|department|office) of |^(city|county|state|council|commission|authority)$"
+    told = F.array(*[F.struct(F.lit(r).alias("role"), F.trim(F.col(c)).alias("party")) for c, r in roles.items()])
+    rows = records.select(id, F.inline(told)).where(F.length("party") > 0).withColumn("key", key("party"))
+    return rows.where((F.length("key") >= 4) & ~F.col("key").rlike(generic)).groupBy(id, "role", "key").agg(F.min("party").alias("party")).select(id, "role", "party", "key")
+
+
+def party_blocks(parties_: DataFrame, id: str) -> DataFrame:
+    """(id, key, display, roles, mentions): a project's parties folded by key, most mentioned first by ``place``; the least shouted name shows."""
+    shouted = F.length(F.regexp_replace("party", "[^A-Z]", ""))
+    per = parties_.groupBy(id, "key").agg(F.min_by("party", F.struct(shouted, "party")).alias("display"), F.array_join(F.sort_array(F.collect_set("role")), ",").alias("roles"), F.count("*").alias("mentions"))
+    from pyspark.sql import Window
+
+    return per.withColumn("place", F.row_number().over(Window.partitionBy(id).orderBy(F.desc("mentions"), "key")))
