@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparrowgrid.operators.tables import written
+
 
 def first_wins(df: DataFrame, key: str | Sequence[str], *order: str | Column) -> DataFrame:
     """The first row of each key in the given order.
@@ -45,17 +47,27 @@ def frequency_guard(df: DataFrame, key: str, least: int = 1, most: int | None =
     return df.join(kept.select(key), key, "left_semi")
 
 
-def strided(df: DataFrame, size: int, *order: Column) -> DataFrame:
-    """A systematic sample: the rows at floor(i * n / size) of each stratum ``df`` orders, over all rows."""
-    numbered = df.withColumn("__i", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(Window.partitionBy()))
-    return numbered.where(_on_stride(F.col("__i"), F.col("__n"), size)).drop("__i", "__n")
-
+def ranked(df: DataFrame, stratum: str, *order: str) -> DataFrame:
+    """``rank`` from 0 and ``size`` within the stratum, for strata that no task could hold.
 
-def strided_by(df: DataFrame, stratum: str, size: int, *order: Column) -> DataFrame:
-    """A systematic sample of each stratum."""
+    Rows are dealt by ranges of (stratum, order) and written; a row's rank is
+    its place in its partition and the rows of its stratum in the partitions
+    before.  Only a row for each partition and stratum is broadcast.
+    """
+    rows = df.repartitionByRange(stratum, *order).sortWithinPartitions(stratum, *order)
+    placed = written(rows.withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("__part"), stratum).agg(F.count("*").alias("__n"), F.min(place).alias("__first"))
     w = Window.partitionBy(stratum)
-    numbered = df.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(w))
-    return numbered.where(_on_stride(F.col("__i"), F.col("__n"), size)).drop("__i", "__n")
+    before = F.sum("__n").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__part", F.col(stratum).alias("__stratum"), (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__offset"), F.sum("__n").over(w).alias("size"))
+    joined = placed.withColumn("__p", part).join(F.broadcast(offsets), (F.col("__p") == F.col("__part")) & F.col(stratum).eqNullSafe(F.col("__stratum")))
+    return joined.select(*df.columns, (place + F.col("__offset")).alias("rank"), "size")
+
+
+def strided_by(df: DataFrame, stratum: str, size: int, *order: str) -> DataFrame:
+    """A systematic sample of each stratum: the rows at floor(i * n / size)."""
+    return ranked(df, stratum, *order).where(_on_stride(F.col("rank"), F.col("size"), size)).select(*df.columns)
 
 
 def _on_stride(i: Column, n: Column, size: int) -> Column:
@@ -80,10 +92,15 @@ def mode_first_seen(df: DataFrame, key: str, value: str, ordinal: str) -> DataFr
 
 
 def disambiguate(df: DataFrame, name: str, *suffixes: str) -> DataFrame:
-    """``label``: the name, with the first suffix that is set and unique within its group of equal names if the name repeats."""
-    w = Window.partitionBy(name)
+    """``label``: the name, with the first suffix that is set and unique within its group of equal names if the name repeats.
+
+    Counts are aggregates joined back, so one very common name is no single task's work.
+    """
+    out = df.join(df.groupBy(name).agg(F.count("*").alias("__all")), name)
     labels = []
-    for s in suffixes:
-        alone = F.count("*").over(Window.partitionBy(name, s)) == 1
-        labels.append(F.when(F.col(s).isNotNull() & alone, F.concat(F.col(name), F.lit(" ("), F.col(s).cast("string"), F.lit(")"))))
-    return df.withColumn("label", F.when(F.count("*").over(w) > 1, F.coalesce(*labels, F.col(name))).otherwise(F.col(name)))
+    for k, s in enumerate(suffixes):
+        alone = df.where(F.col(s).isNotNull()).groupBy(name, s).agg(F.count("*").alias(f"__n{k}")).where(F.col(f"__n{k}") == 1)
+        out = out.join(alone, [name, s], "left")
+        labels.append(F.when(F.col(f"__n{k}").isNotNull(), F.concat(F.col(name), F.lit(" ("), F.col(s).cast("string"), F.lit(")"))))
+    label = F.when(F.col("__all") > 1, F.coalesce(*labels, F.col(name))).otherwise(F.col(name))
+    return out.select(*df.columns, label.alias("label"))

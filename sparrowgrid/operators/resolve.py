@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-import tempfile
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowgrid.functions.rules import STAGES, UNPROVEN, stage_rank
 from sparrowgrid.functions.text import similarity
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again."""
-    spark = df.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    path = f"{found.rstrip('/')}/resolve-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from sparrowgrid.operators.tables import written
 
 
 def connected(signals: DataFrame, record: str, key: str) -> DataFrame:
@@ -32,15 +18,15 @@ def connected(signals: DataFrame, record: str, key: str) -> DataFrame:
     none changes; each key first points at its smallest record, so a key with
     very many records costs one row each and is never gathered.
     """
-    edges = _cut(signals.select(F.col(record).alias("r"), F.col(key).alias("k")).distinct())
-    labels = _cut(edges.groupBy("r").agg(F.min("r").alias("c")))
+    edges = written(signals.select(F.col(record).alias("r"), F.col(key).alias("k")).distinct(), "signals")
+    labels = written(edges.groupBy("r").agg(F.min("r").alias("c")), "labels")
     while True:
         of_key = edges.join(labels, "r").groupBy("k").agg(F.min("c").alias("c"))
         spread = edges.join(of_key, "k").groupBy("r").agg(F.min("c").alias("c2"))
         # the label's own label: halves the way to the smallest record
         jump = labels.select(F.col("r").alias("c2"), F.col("c").alias("c3"))
         new = labels.join(spread, "r").join(jump, "c2").select("r", F.least("c2", "c3").alias("c"), F.col("c").alias("was"))
-        new = _cut(new)
+        new = written(new, "labels")
         if new.where("c <> was").isEmpty():
             return new.select(F.col("r").alias(record), F.col("c").alias("component"))
         labels = new.select("r", "c")
@@ -245,6 +231,4 @@ def party_blocks(parties_: DataFrame, id: str) -> DataFrame:
     """(id, key, display, roles, mentions): a project's parties folded by key, most mentioned first by ``place``; the least shouted name shows."""
     shouted = F.length(F.regexp_replace("party", "[^A-Z]", ""))
     per = parties_.groupBy(id, "key").agg(F.min_by("party", F.struct(shouted, "party")).alias("display"), F.array_join(F.sort_array(F.collect_set("role")), ",").alias("roles"), F.count("*").alias("mentions"))
-    from pyspark.sql import Window
-
     return per.withColumn("place", F.row_number().over(Window.partitionBy(id).orderBy(F.desc("mentions"), "key")))

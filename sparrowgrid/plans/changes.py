@@ -1,5 +1,7 @@
 """Write and resolution queries: upserts, events, clusters, names, stages, scores."""
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as X
@@ -104,7 +106,7 @@ def version_diff(spark, sf_dir):
 def lifecycle_sweep(spark, sf_dir):
     """Rows that a notice ended, or whose deadline passed."""
     rows = read(spark, sf_dir, "part").select("p_partkey", "p_name", F.date_add(F.lit("2000-01-01").cast("date"), F.col("p_size")).alias("deadline"))
-    return W.lifecycle(rows, __import__("datetime").date(2000, 1, 26), "p_name", "deadline", "red").select("p_partkey", "lifecycle")
+    return W.lifecycle(rows, date(2000, 1, 26), "p_name", "deadline", "red").select("p_partkey", "lifecycle")
 
 
 _SIGNALS = """s AS (SELECT doc_id AS r, 'p' || substr(text, 1, 12) AS k FROM documents UNION ALL SELECT doc_id, 's' || substr(text, length(text) - 11, 12) FROM documents),

@@ -60,7 +60,7 @@ def cap_with_held(spark, sf_dir):
 )
 def strided_sample(spark, sf_dir):
     """A systematic sample of forty from each stratum."""
-    return K.strided_by(read(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), "o_orderpriority", 40, F.asc("o_orderkey"))
+    return K.strided_by(read(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), "o_orderpriority", 40, "o_orderkey")
 
 
 @query(
@@ -81,10 +81,9 @@ def stratified_quotas(spark, sf_dir):
 )
 def disjoint_samples(spark, sf_dir):
     """Even and odd rows of each stratum, two samples that share no row."""
-    from pyspark.sql import Window
-
-    rows = read(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", (F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")) % 2).alias("odd"))
-    return rows.groupBy("o_orderpriority").agg(F.count_if(F.col("odd") == 0).alias("first_half"), F.count_if(F.col("odd") == 1).alias("second_half"), F.sum(F.when(F.col("odd") == 1, F.col("o_orderkey")).otherwise(0)).alias("id_sum"))
+    odd = F.col("rank") % 2 == 0  # ranks count from 0
+    rows = K.ranked(read(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), "o_orderpriority", "o_orderkey")
+    return rows.groupBy("o_orderpriority").agg(F.count_if(~odd).alias("first_half"), F.count_if(odd).alias("second_half"), F.sum(F.when(odd, F.col("o_orderkey")).otherwise(0)).alias("id_sum"))
 
 
 @query("frequency_guard", "SELECT l_orderkey, l_partkey FROM (SELECT l_orderkey, l_partkey, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem) WHERE n BETWEEN 2 AND 25")

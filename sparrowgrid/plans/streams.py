@@ -1,21 +1,12 @@
 """Streaming queries over the event table, run to the end of what is there."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from sparrowgrid.operators.tables import shared_dir
 from sparrowgrid.plans.registry import query
 from sparrowgrid.streaming import events as V
 
 
-def _folder(spark) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def _stream(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
@@ -24,14 +15,14 @@ def _stream(spark, sf_dir):
 @query("stream_weekly_counts", "SELECT CAST(date_trunc('week', ts) AS DATE)::VARCHAR AS week, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_weekly_counts(spark, sf_dir):
     """Weekly counts by a stream with a watermark, complete mode."""
-    return V.drain(V.weekly_counts(_stream(spark, sf_dir)), _folder(spark), "complete")
+    return V.drain(V.weekly_counts(_stream(spark, sf_dir)), shared_dir(spark), "complete")
 
 
 @query("stream_dedupe_watermark", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events) GROUP BY 1, 2")
 def stream_dedupe_watermark(spark, sf_dir):
     """Events once a user, type and day, by a stream's state."""
     rows = _stream(spark, sf_dir).withColumn("day", F.col("ts").cast("date").cast("string"))
-    once = V.drain(V.once_each(rows, ["user_id", "event_type", "day"]).select("user_id", "event_type", "day"), _folder(spark))
+    once = V.drain(V.once_each(rows, ["user_id", "event_type", "day"]).select("user_id", "event_type", "day"), shared_dir(spark))
     return once.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 

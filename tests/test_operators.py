@@ -1,6 +1,5 @@
 """Operators and functions on small rows."""
 
-import json
 from datetime import datetime
 
 import pytest
@@ -85,9 +84,9 @@ def test_mode_ties_go_to_the_first_seen(spark):
 
 def test_strided_sample_sizes(spark):
     df = spark.range(103).withColumn("g", F.lit("g"))
-    got = sorted(r.id for r in ranking.strided_by(df, "g", 10, F.asc("id")).collect())
+    got = sorted(r.id for r in ranking.strided_by(df, "g", 10, "id").collect())
     assert got == [int(k * 103 / 10) for k in range(10)]
-    assert ranking.strided_by(df, "g", 500, F.asc("id")).count() == 103
+    assert ranking.strided_by(df, "g", 500, "id").count() == 103
 
 
 def test_upsert_is_idempotent_and_never_revives(spark):
@@ -200,7 +199,6 @@ def test_entry_without_training_data_operators():
         for node in ast.walk(ast.parse(p.read_text())):
             names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
             assert not any("llm" in n.split(".") for n in names), p
-    assert json.loads("{}") == {}
 
 
 @pytest.mark.parametrize("hits, n", [(0, 10), (5, 10), (10, 10)])
