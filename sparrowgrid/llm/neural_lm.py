@@ -33,8 +33,8 @@ class Settings:
     classes: int = 1024
     dim: int = 16
     noise: int = 16
-    batch: int = 4096
-    rate: float = 0.1
+    batch: int = 1024
+    rate: float = 0.03
     rounds: int = 1
     #: The most frequent words, whose counts every worker has; others' counts are joined.
     frequent: int = 131_072
