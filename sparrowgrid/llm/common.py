@@ -9,9 +9,9 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowgrid.operators.tables import shared_dir, written
+from sparrowgrid.operators.tables import drop, shared_dir, written
 
-__all__ = ["bounded", "components", "settle", "shared_dir", "written"]
+__all__ = ["bounded", "components", "drop", "settle", "shared_dir", "written"]
 
 #: Text bytes that one Arrow slice hands to a Python helper at a time.
 SLICE_BYTES = 4 << 20
@@ -56,13 +56,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        seen = state
+            roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            out = written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+            drop(now)
+            return out
+        seen, before = state, now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop(before)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm.common import bounded, components, written
+from sparrowgrid.llm.common import bounded, components, drop, written
 
 #: Candidates in one block of a query.
 BLOCK = 256
@@ -295,7 +295,8 @@ def jaccard_groups(df: DataFrame, id: str = "doc_id", text: str = "text", n: int
     tested = written(shared.where("id <> p").groupBy(F.col("p").alias("a"), F.col("id").alias("b")).agg(F.bool_or("many").alias("told")), "stars")
     stars = written(links(tested, tokens, limit, differences=True), "links")
     found = stars.where("linked").select("a", "b")
-    first = written(components(found).withColumnRenamed("node", "id"), "components")
+    parts = components(found)
+    first = parts.withColumnRenamed("node", "id")
     placed = shared.join(first, "id", "left").select("sig", "p", "id", "n", F.coalesce("component", "id").alias("c"))
     split = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig")
     zero = F.lit(0).cast("long")
@@ -313,14 +314,20 @@ def jaccard_groups(df: DataFrame, id: str = "doc_id", text: str = "text", n: int
         .distinct()
         .join(tested.select("a", "b"), ["a", "b"], "left_anti")
     )
-    found = found.unionByName(links(written(rest, "rest"), tokens, limit))
-    final = components(found).select(F.col("node").alias("rep"), "component")
+    rest = written(rest, "rest")
+    found = found.unionByName(links(rest, tokens, limit))
+    whole = components(found)
+    drop(shared, tokens, tested, stars, parts, open_, rest)
+    final = whole.select(F.col("node").alias("rep"), "component")
     reps = classes.join(final, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    out = sets.join(reps, ["n", "d1", "d2"], "left")
-    return out.select(
+    out = sets.join(reps, ["n", "d1", "d2"], "left").select(
         F.col("id").alias(id), F.col("n").alias("n_shingles"),
         F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"),
     )
+    # the result is small; what it was made from isn't
+    out = written(out, "groups")
+    drop(sets, whole)
+    return out
 
 
 def _tokens(rows: DataFrame, shared: DataFrame, n: int) -> DataFrame:
