@@ -206,9 +206,10 @@ def links(pairs: DataFrame, sets: DataFrame, limit: Limit, differences: bool = F
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")))
     side = F.when(F.col("told"), 2).otherwise(1) if differences else F.lit(1)
-    candidates = dealt.join(sets.select(F.col("id").alias("b"), "tokens"), "b").select("a", "block", side.alias("side"), "b", "tokens")
+    # merge joins at every size: the pairs grow with the rows
+    candidates = dealt.hint("merge").join(sets.select(F.col("id").alias("b"), "tokens"), "b").select("a", "block", side.alias("side"), "b", "tokens")
     queries = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    queries = queries.join(sets.select(F.col("id").alias("a"), "tokens"), "a").select("a", "block", F.lit(0).alias("side"), F.col("a").alias("b"), "tokens")
+    queries = queries.hint("merge").join(sets.select(F.col("id").alias("a"), "tokens"), "a").select("a", "block", F.lit(0).alias("side"), F.col("a").alias("b"), "tokens")
     names = ["a", "b", "linked", "fresh", "gone", "tokens"] if differences else ["a", "b"]
     types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
