@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
 
 def get_session(app: str = "sparrowgrid", cores: str = "*", partitions: int = 8, **more: str) -> SparkSession:
     """A local session with the settings the queries assume: UTC and adaptive execution."""
@@ -21,6 +26,15 @@ def get_session(app: str = "sparrowgrid", cores: str = "*", partitions: int = 8,
     return builder.getOrCreate()
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers find this package in local mode; on a cluster it is shipped (--py-files) and the path does no harm."""
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the driver's tables, by Spark's own reader."""
+    share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
