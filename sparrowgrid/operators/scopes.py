@@ -52,6 +52,20 @@ def related(edges: DataFrame, a: str, b: str) -> DataFrame:
     return counted.join(other, b).where(F.col(a) != F.col("other")).groupBy(a, "other").agg(F.count("*").alias("shared"), F.sum("w2").alias("links"))
 
 
+def history(edges: DataFrame, project: str, party: str) -> DataFrame:
+    """(project, party, others, first_other): how many other projects each party of a project has, and the smallest of them.
+
+    A party's count and its two smallest projects say it for all its projects, so no pairs are made.
+    """
+    known = edges.select(project, party).dropna().distinct()
+    per = known.groupBy(party).agg(F.count("*").alias("__n"), F.min(project).alias("__first"))
+    second = known.join(per, party).where(F.col(project) > F.col("__first")).groupBy(party).agg(F.min(project).alias("__second"))
+    # a party without a second project is no one's history
+    rows = known.join(per.join(second, party), party)
+    other = F.when(F.col(project) == F.col("__first"), F.col("__second")).otherwise(F.col("__first"))
+    return rows.select(project, party, (F.col("__n") - 1).alias("others"), other.alias("first_other"))
+
+
 def repoint(edges: DataFrame, merges: DataFrame, node: str, rest: Sequence[str]) -> DataFrame:
     """Edges after losers are merged into winners: repointed, or gone where the winner has the same edge already.
 

@@ -146,6 +146,18 @@ def players_summary(spark, sf_dir):
     return rows.agg(F.count("*").alias("total"), F.count("roles").alias("attached"), F.count_if(F.col("roles") > 1).alias("multi_role"), F.count_if(F.col("markets") > 1).alias("multi_market"))
 
 
+@query(
+    "players_summary_all",
+    """WITH p AS (SELECT l_suppkey, count(DISTINCT l_returnflag) AS roles, count(DISTINCT l_linestatus) AS markets, count(*) AS n FROM lineitem GROUP BY 1)
+       SELECT count(*) AS total, count(*) FILTER (WHERE n IS NOT NULL) AS attached, count(*) FILTER (WHERE roles > 1) AS multi_role, count(*) FILTER (WHERE markets > 1) AS multi_market FROM supplier LEFT JOIN p ON l_suppkey = s_suppkey""",
+)
+def players_summary_all(spark, sf_dir):
+    """How many companies are attached, in several roles, in several markets, by all records."""
+    per = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.countDistinct("l_returnflag").alias("roles"), F.countDistinct("l_linestatus").alias("markets"))
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey").join(per, "s_suppkey", "left")
+    return rows.agg(F.count("*").alias("total"), F.count("roles").alias("attached"), F.count_if(F.col("roles") > 1).alias("multi_role"), F.count_if(F.col("markets") > 1).alias("multi_market"))
+
+
 @query(
     "summary_from_newest",
     """WITH r AS (SELECT l_orderkey, l_shipdate, l_linenumber, l_partkey, 'requests approval of part ' || l_partkey || ' at quantity ' || CAST(l_quantity AS INT) AS said FROM lineitem WHERE l_returnflag <> 'N')

@@ -111,6 +111,17 @@ def party_history(spark, sf_dir):
     return rows.groupBy("project", "l_suppkey").agg(F.count("*").alias("others"), F.min("l_orderkey").alias("first_other"))
 
 
+@query(
+    "party_history_all",
+    """WITH e AS (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem), n AS (SELECT l_suppkey, l_orderkey, count(*) OVER s AS n, min(l_orderkey) OVER s AS a,
+         nth_value(l_orderkey, 2) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS b FROM e WINDOW s AS (PARTITION BY l_suppkey))
+       SELECT l_orderkey AS project, l_suppkey, n - 1 AS others, CASE WHEN l_orderkey = a THEN b ELSE a END AS first_other FROM n WHERE n > 1""",
+)
+def party_history_all(spark, sf_dir):
+    """The other projects of a project's parties, for every project."""
+    return S.history(read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "project"), "project", "l_suppkey")
+
+
 @query(
     "players",
     """SELECT s_suppkey, count(DISTINCT l_orderkey) AS projects, coalesce(string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag), '') AS roles,
