@@ -35,44 +35,47 @@ def connected(signals: DataFrame, record: str, key: str) -> DataFrame:
 def guarded_components(signals: DataFrame, record: str, key: str, target: str) -> DataFrame:
     """(record, component) where no component holds two targets.
 
-    Plain components with one target at most are exact.  In the others the
-    unions are replayed in order of record and key, and one that would join two
-    targets is refused; such components go to a task each, with their edges.
+    Each key links its records to the smallest of them; links are taken in
+    order of record and key, and one that would join two targets is refused.
+    Plain components with one target at most take all their links.  In the
+    others that order is kept without replaying it: nothing happens to a
+    cluster before its first link, so one without a target surely takes that,
+    and at most one cluster of a chain of such links has a target.  This halves
+    the clusters without a target each round; then links within one target are
+    all taken and the others refused.  A record has its smallest target.  Null
+    keys link nothing.
     """
-    plain = connected(signals, record, key)
-    placed = signals.join(plain, record)
-    many = placed.groupBy("component").agg(F.countDistinct(target).alias("targets")).where("targets > 1").select("component")
-    exact = plain.join(many, "component", "left_anti").select(record, "component")
-
-    def replay(edges: pd.DataFrame) -> pd.DataFrame:
-        root, targets = {}, {}
-        for r, t in zip(edges[record], edges[target], strict=True):
-            root.setdefault(r, r)
-            if t is not None and t == t:
-                targets.setdefault(r, t)
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        first = {}
-        for r, k in edges.sort_values([record, key])[[record, key]].itertuples(index=False):
-            if k not in first:
-                first[k] = r
-                continue
-            a, b = sorted((find(first[k]), find(r)))
-            if a == b or a in targets and b in targets and targets[a] != targets[b]:
-                continue
-            root[b] = a
-            if b in targets:
-                targets.setdefault(a, targets[b])
-        return pd.DataFrame({record: list(root), "component": [find(x) for x in root]})
-
-    kind = dict(plain.dtypes)[record]
-    split = placed.join(many, "component", "left_semi").groupBy("component").applyInPandas(replay, f"{record} {kind}, component {kind}")
-    return exact.unionByName(split)
+    rows = signals.select(F.col(record).alias("r"), F.col(key).alias("k"), F.col(target).alias("t"))
+    # a key of its own keeps a record without any other
+    own = rows.select("r", F.struct(F.lit(None).cast(rows.schema["k"].dataType).alias("k"), F.col("r").alias("own")).alias("k"))
+    named = rows.where(F.col("k").isNotNull()).select("r", F.struct("k", F.lit(None).cast(rows.schema["r"].dataType).alias("own")).alias("k"))
+    plain = connected(named.unionByName(own), "r", "k")
+    nodes = written(rows.groupBy("r").agg(F.min("t").alias("t")).join(plain, "r"), "nodes")
+    many = nodes.groupBy("component").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("component")
+    exact = nodes.join(many, "component", "left_anti").select("r", "component")
+    # (r, c, t): a record, its cluster's smallest record and the cluster's target
+    state = written(nodes.join(many, "component", "left_semi").select("r", F.col("r").alias("c"), "t"), "clusters")
+    edges = rows.where(F.col("k").isNotNull()).join(state.select("r"), "r", "left_semi").select("r", "k")
+    first = edges.groupBy("k").agg(F.min("r").alias("a"))
+    links = written(edges.join(first, "k").where("r <> a").select("a", F.col("r").alias("b"), F.struct("r", "k").alias("at")).distinct(), "links")
+    while True:
+        clusters = state.select("c", "t").where("r = c")
+        end = lambda x: clusters.select(F.col("c").alias(x), F.col("t").alias(f"t{x}"))
+        links = links.join(end("a"), "a").join(end("b"), "b").where("a <> b and (ta is null or tb is null or ta = tb)").select("a", "b", "at", "ta", "tb")
+        links = written(links, "links")
+        both = links.select(F.col("a").alias("x"), F.col("ta").alias("t"), F.col("b").alias("y"), "at").unionByName(links.select(F.col("b").alias("x"), F.col("tb").alias("t"), F.col("a").alias("y"), "at"))
+        picks = written(both.where("t is null").groupBy("x").agg(F.min_by("y", "at").alias("y")), "picks")
+        last = picks.isEmpty()
+        taken = links.select(F.col("a").alias("x"), F.col("b").alias("y")) if last else picks
+        joined = connected(taken.select(F.col("x").alias("c"), F.col("y").alias("k")).unionByName(taken.select(F.col("y").alias("c"), F.col("y").alias("k"))), "c", "k")
+        into = joined.select("c", F.col("component").alias("new"))
+        moved = state.join(into, "c", "left").select("r", F.coalesce("new", "c").alias("c"), "t")
+        targets = moved.groupBy("c").agg(F.min("t").alias("t"))
+        state = written(moved.drop("t").join(targets, "c").select("r", "c", "t"), "clusters")
+        if last:
+            return exact.unionByName(state.select("r", F.col("c").alias("component"))).withColumnRenamed("r", record)
+        at = lambda x: into.select(F.col("c").alias(x), F.col("new").alias(f"n{x}"))
+        links = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"), "at")
 
 
 def fuzzy_pairs(df: DataFrame, id: str, name: str, block: Column, least: float = 0.9, chars: int = 10) -> DataFrame:
@@ -193,24 +196,42 @@ def near_duplicate_records(records: DataFrame, id: str, block: list[str], words:
     """(id, kept_id): records of one block (project and day) merged greedily.
 
     Two are the same if their word sets are equal or share ``shared`` words or
-    more and that is ``least`` of the smaller set; the record with more words
-    stays, ties to the smaller id.
-    """
+    more (one at least) and that is ``least`` of the smaller set; the record
+    with more words stays, ties to the smaller id, and the others go to the
+    first that stays.  Ids are unique; null words are ignored.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(__n=[len(set(w)) for w in rows[words]]).sort_values(["__n", id], ascending=[False, True])
-        kept: list[tuple] = []
-        out = []
-        for i, w in zip(rows[id], rows[words], strict=True):
-            w = set(w)
-            same = next((k for k, x in kept if x == w or len(x & w) >= shared and len(x & w) >= least * min(len(x), len(w))), None)
-            if same is None:
-                kept.append((i, w))
-            out.append((i, i if same is None else same))
-        return pd.DataFrame(out, columns=[id, "kept_id"])
-
-    kind = dict(records.dtypes)[id]
-    return records.groupBy(*block).applyInPandas(fold, f"{id} {kind}, kept_id {kind}")
+    Equal sets are one row.  Pairs are sets that meet in one of the rarest
+    words of the smaller, of which one must be shared.  In rounds over the
+    pairs, sets that no undecided one is before stay, and those like them go.
+    """
+    if shared < 1:
+        raise ValueError("shared must be 1 or more")
+    at = F.struct(*[F.col(c) for c in block]).alias("block")
+    rows = records.select(F.col(id).alias("id"), at, F.array_sort(F.array_distinct(F.array_compact(F.coalesce(words, F.array())))).alias("w"))
+    sets = written(rows.groupBy("block", "w").agg(F.min("id").alias("s")), "sets")
+    each = sets.select("s", F.explode("w").alias("word"))
+    ranks = each.groupBy("word").agg(F.count("*").alias("n"))
+    by_rank = each.join(ranks, "word").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("rare"))
+    need = F.greatest(F.lit(shared), F.ceil(F.lit(float(least)) * F.size("w")))
+    small = sets.join(by_rank, "s").withColumn("need", need.cast("int")).where(F.col("need") <= F.size("w"))
+    small = small.withColumn("rare", F.slice(F.col("rare.word"), F.lit(1), F.size("w") - F.col("need") + 1))
+    small = small.select("block", F.col("s").alias("y"), F.col("w").alias("v"), "rare", "need", F.explode("rare").alias("word"))
+    large = sets.select("block", F.col("s").alias("x"), "w", F.explode("w").alias("word"))
+    before = (F.size("w") > F.size("v")) | (F.size("w") == F.size("v")) & (F.col("x") < F.col("y"))
+    once = F.array_intersect("rare", "w")[0] == F.col("word")
+    near = small.join(large, ["block", "word"]).where(before & once & (F.size(F.array_intersect("v", "w")) >= F.col("need")))
+    pairs = written(near.select("x", "y", F.struct(-F.size("w"), "x").alias("place")), "pairs")
+    gone, left = None, pairs.select("x", "y")
+    while not left.isEmpty():
+        stay = left.select("x").distinct().join(left.select(F.col("y").alias("x")).distinct(), "x", "left_anti")
+        lost = written(left.join(stay, "x", "left_semi").select("y").distinct(), "lost")
+        gone = lost if gone is None else gone.unionByName(lost)
+        left = written(left.join(lost, "y", "left_anti").join(lost.select(F.col("y").alias("x")), "x", "left_anti"), "pairs")
+    kept = sets.select("block", "w", "s", F.col("s").alias("kept_id"))
+    if gone is not None:
+        into = pairs.join(gone, "y", "left_semi").join(gone.select(F.col("y").alias("x")), "x", "left_anti").groupBy("y").agg(F.min_by("x", "place").alias("into"))
+        kept = kept.join(into.withColumnRenamed("y", "s"), "s", "left").select("block", "w", F.coalesce("into", "s").alias("kept_id"))
+    return rows.join(kept.select("block", "w", "kept_id"), ["block", "w"]).select(F.col("id").alias(id), "kept_id")
 
 
 def project_name(rungs: dict[str, Column], least: int = 1) -> Column:

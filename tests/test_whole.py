@@ -1,10 +1,11 @@
 """Operators and queries that answer for all rows, against brute force."""
 
 import os
+import random
 
 import pytest
 
-from sparrowgrid.operators import scopes
+from sparrowgrid.operators import resolve, scopes
 from sparrowgrid.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +25,61 @@ def test_party_history_all_leaves_no_project_out(spark):
     # each of the ten suppliers has several projects, so every pair has a history
     assert registry.QUERIES["party_history_all"](spark, SF).count() == items.count()
     assert registry.QUERIES["players_summary_all"](spark, SF).first().attached == items.select("l_suppkey").distinct().count()
+
+
+def replayed(rows):
+    """Components by replaying the links of rows (record, key, target) one by one."""
+    root, targets, first = {}, {}, {}
+    for r, _, t in rows:
+        root[r] = r
+        if t is not None:
+            targets[r] = min(t, targets.get(r, t))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r, k in sorted({(r, k) for r, k, _ in rows if k is not None}):
+        a, b = sorted((find(first.setdefault(k, r)), find(r)))
+        if a != b and not (a in targets and b in targets and targets[a] != targets[b]):
+            root[b] = a
+            if b in targets:
+                targets[a] = targets[b]
+    return {r: find(r) for r in root}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_guard_is_the_replay(spark, seed):
+    rng = random.Random(seed)
+    target = {r: rng.choice("XYZ") for r in range(120) if rng.random() < (0.5, 0.1, 0.3, 0.9)[seed]}
+    rows = [(r, f"k{rng.randrange((40, 60, 90, 30)[seed])}", target.get(r)) for r in range(120) for _ in range(rng.choice([1, 1, 2, 3]))] + [(500, None, None), (501, None, "X")]
+    rng.shuffle(rows)
+    got = resolve.guarded_components(spark.createDataFrame(rows, "r long, k string, t string"), "r", "k", "t").collect()
+    assert {r.r: r.component for r in got} == replayed(rows) and len(got) == 122
+
+
+def folded(rows, least, shared):
+    out, kept = {}, []
+    for i, b, w in sorted(((i, b, set(w)) for i, b, w in rows), key=lambda x: (-len(x[2]), x[0])):
+        same = next((k for k, c, x in kept if c == b and (x == w or len(x & w) >= shared and len(x & w) >= least * min(len(x), len(w)))), None)
+        if same is None:
+            kept.append((i, b, w))
+        out[i] = i if same is None else same
+    return out
+
+
+@pytest.mark.parametrize("least, shared", [(0.6, 2), (0.6, 4), (0.34, 1), (1.0, 1)])
+def test_near_duplicates_are_the_fold(spark, least, shared):
+    rng = random.Random(int(least * 100) + shared)
+    rows = [(i, rng.choice([1, 2, None]), [rng.choice("abcdefghijklm") for _ in range(rng.randrange(8))]) for i in range(200)]
+    got = resolve.near_duplicate_records(spark.createDataFrame(rows, "i long, b int, w array<string>"), "i", ["b"], "w", least, shared).collect()
+    assert {r.i: r.kept_id for r in got} == folded(rows, least, shared) and len(got) == 200
+
+
+def test_no_group_meets_in_a_python_task(spark):
+    """Neither operator hands a component or a block to one task."""
+    signals = spark.createDataFrame([(1, "a", "X"), (2, "a", "Y")], "r long, k string, t string")
+    records = spark.createDataFrame([(1, 1, ["a", "b"]), (2, 1, ["a", "b"])], "i long, b int, w array<string>")
+    for df in (resolve.guarded_components(signals, "r", "k", "t"), resolve.near_duplicate_records(records, "i", ["b"], "w", shared=1)):
+        assert "Pandas" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
