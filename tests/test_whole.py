@@ -83,3 +83,23 @@ def test_no_group_meets_in_a_python_task(spark):
     records = spark.createDataFrame([(1, 1, ["a", "b"]), (2, 1, ["a", "b"])], "i long, b int, w array<string>")
     for df in (resolve.guarded_components(signals, "r", "k", "t"), resolve.near_duplicate_records(records, "i", ["b"], "w", shared=1)):
         assert "Pandas" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+
+
+def test_clusters_keep_every_document(spark, tmp_path):
+    # one line on 300 documents, lines of pairs, and texts without any line
+    texts = {i: f"one opening line of all\nbody {i}" for i in range(300)} | {i: f"begin {i // 2} of a pair\n  end {i}" for i in range(300, 320)} | {400: None, 401: "", 402: " \n "}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, x.strip(" ") or None, str(i % 3) if i % 50 == 0 else None) for i, t in texts.items() for x in (t or "").split("\n")]
+    for name, given in {"cluster_components_all": [(i, k, None) for i, k, _ in rows], "cluster_guarded": rows}.items():
+        got = registry.QUERIES[name](spark, str(tmp_path)).collect()
+        if name == "cluster_components_all":
+            assert {r.doc_id: r.component for r in got} == replayed(given)
+        else:
+            # keys are hashes, so the order of links and with it the place of a document may differ
+            of = {r.doc_id: r.component for r in got}
+            held = {}
+            for i in range(0, 300, 50):
+                held.setdefault(of[i], set()).add(i % 3)
+            assert all(len(x) == 1 for x in held.values()) and len(held) >= 3
+            assert all(of[i] == i // 2 * 2 for i in range(300, 320))
+        assert len(got) == len(texts)
