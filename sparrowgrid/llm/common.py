@@ -9,9 +9,9 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowgrid.operators.tables import drop, shared_dir, written
+from sparrowgrid.operators.tables import drop, release, shared_dir, written
 
-__all__ = ["bounded", "components", "drop", "settle", "shared_dir", "written"]
+__all__ = ["bounded", "components", "drop", "release", "settle", "shared_dir", "written"]
 
 #: Text bytes that one Arrow slice hands to a Python helper at a time.
 SLICE_BYTES = 4 << 20

@@ -103,7 +103,7 @@ def test_divide_skip():
     base = np.unique(rng.integers(0, 1000, 120)).astype(np.uint64)
     block = [np.unique(np.concatenate([rng.permutation(base)[k:], rng.integers(1000, 2000, k // 2).astype(np.uint64)])) for k in range(0, 60)]
     want = [i for i, s in enumerate(block) if 10 * len(np.intersect1d(s, base)) >= 8 * len(np.union1d(s, base))]
-    assert jaccard.divide_skip(base, block, limit) == want and 0 < len(want) < 60
+    assert jaccard.divide_skip(base, len(base), block, [len(s) for s in block], limit) == want and 0 < len(want) < 60
 
 
 def test_components(spark):
