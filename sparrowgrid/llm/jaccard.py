@@ -43,7 +43,7 @@ from sparrowgrid.llm.common import bounded, components, drop, release, written
 #: Candidates in one block of a query.
 BLOCK = 256
 #: Bytes of text whose elements are sent together, and that a hash range stands for.
-SLICE, RANGE = 8 << 20, 16 << 20
+SLICE, RANGE = 4 << 20, 8 << 20
 #: Documents of a slice at most: they are numbered in 16 bits.
 SLICE_ROWS = 50_000
 #: Distinct words whose hashes a worker remembers.
