@@ -31,6 +31,8 @@ MARK = "▁"
 NORMAL, BYTE, USER = 1, 6, 4
 #: Distinct units a worker remembers; beyond it the memory starts anew.
 UNITS_KEPT = 200_000
+#: Characters of remembered stretches, likewise.
+CHARS_KEPT = 8_000_000
 
 
 class PrefixTable:
@@ -67,7 +69,7 @@ class PrefixTable:
         self.units = re.compile(f"{MARK}*[^{MARK}{apart}]+|{MARK}+" + (f"|{apart}+" if apart else "")).findall
         self.splits_at_marks = not any(MARK in t.lstrip(MARK) for t in self.ids)
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.known = _Units(self)
+        self.parts, self.known = _Units(self), _Stretches(self)
 
     def _merged(self, word: str) -> list[int]:
         """Merge one vocabulary entry as the model's rule says and note its last merge."""
@@ -147,18 +149,35 @@ class PrefixTable:
         out.reverse()
         return tuple(out)
 
-    def encode_array(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        marked = text.replace(" ", MARK)
-        if self.dummy_prefix:
-            marked = MARK + marked
+    def encode_arrays(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of the texts in them)."""
+        known, codes, ends = self.known, [], [0]
+        for text in texts:
+            if text:
+                # between single spaces every stretch has its own units; other texts take the general way
+                stretches = text.split(" ") if self.splits_at_marks and self.dummy_prefix else [""]
+                if "" in stretches or MARK in text:
+                    stretches = [(text,)]
+                codes.append(np.fromiter(map(known.__getitem__, stretches), np.int64, len(stretches)))
+                ends.append(ends[-1] + len(stretches))
+            else:
+                ends.append(ends[-1])
+        codes = np.concatenate([np.zeros(0, np.int64), *codes])
+        flat, starts, lengths = known.table()
+        sizes = lengths[codes]
+        stops = np.cumsum(sizes)
+        ids = flat[np.repeat(starts[codes] - (stops - sizes), sizes) + np.arange(len(codes) and stops[-1])]
+        known.shrink()
+        return ids, np.append(0, stops)[np.array(ends)]
+
+    def encode_units(self, marked: str) -> list[int]:
+        """Ids of a text whose spaces are marks."""
         units = self.units(marked) if self.splits_at_marks else [marked]
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, units)), np.int32)
+        return list(chain.from_iterable(map(self.parts.__getitem__, units)))
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of ``text``; none for null or empty text."""
-        return self.encode_array(text).tolist()
+        return self.encode_arrays([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The library's own decoding."""
@@ -166,12 +185,14 @@ class PrefixTable:
 
 
 class _Units(dict):
+    """Ids of single units."""
+
     def __init__(self, table: PrefixTable):
         super().__init__()
-        self.table = table
+        self.owner = table
 
     def __missing__(self, unit: str) -> tuple[int, ...]:
-        ids = self.table.encode_unit(unit)
+        ids = self.owner.encode_unit(unit)
         if len(unit) <= 48:
             if len(self) >= UNITS_KEPT:
                 self.clear()
@@ -179,6 +200,37 @@ class _Units(dict):
         return ids
 
 
+class _Stretches(dict):
+    """Numbers of stretches of text, whose ids lie in one array; a whole text that isn't cut stands as a tuple."""
+
+    def __init__(self, table: PrefixTable):
+        super().__init__()
+        self.owner, self.new, self.chars = table, [], 0
+        self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, stretch: str | tuple[str]) -> int:
+        plain = stretch if isinstance(stretch, str) else stretch[0].replace(" ", MARK)
+        marked = MARK + plain if self.owner.dummy_prefix else plain
+        self.new.append(self.owner.encode_units(marked))
+        self.chars += len(plain)
+        self[stretch] = number = len(self.lengths) + len(self.new) - 1
+        return number
+
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each stretch's begin, how many it has)."""
+        if self.new:
+            self.lengths = np.append(self.lengths, [len(x) for x in self.new])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(self.new), np.int32)])
+            self.starts = np.cumsum(self.lengths) - self.lengths
+            self.new = []
+        return self.flat, self.starts, self.lengths
+
+    def shrink(self) -> None:
+        if len(self) > UNITS_KEPT or self.chars > CHARS_KEPT:
+            self.clear()
+            self.__init__(self.owner)
+
+
 @lru_cache(maxsize=2)
 def table(model_file: str) -> PrefixTable:
     """One table per worker process and model."""
@@ -200,13 +252,11 @@ def encode_decode(df: DataFrame, model_file: str, text: str = "text", ids: str =
     def run(batches):
         t = table(model_file)
         for part in bounded(batches, text):
-            arrays = [t.encode_array(x) for x in part.column(part.schema.get_field_index(text)).to_pylist()]
-            offsets = np.zeros(len(arrays) + 1, np.int32)
-            np.cumsum([len(x) for x in arrays], out=offsets[1:])
-            flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
-            texts = pa.array([t.decode(x.tolist()) for x in arrays], pa.string())
+            flat, offsets = t.encode_arrays(part.column(part.schema.get_field_index(text)).to_pylist())
+            bounds, listed = offsets.tolist(), flat.tolist()
+            texts = pa.array([t.decode(listed[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())), texts],
+                [*part.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())), texts],
                 names=[*keep, ids, decoded],
             )
 
