@@ -7,27 +7,32 @@ that a slice of documents holds several times are settled on the spot and sent
 once, so a passage that a third of all documents share reaches a bucket once a
 slice.
 
-A bucket groups its windows by a rolling hash and drops groups that a common
-left byte extends.  What is left is sorted into a suffix array with the lengths
-of common prefixes; a scan with a stack turns these into the tree of
-common-prefix intervals, and an interval of ``length`` or more bytes whose
-occurrences have different left bytes is a maximal repeat with all its
-occurrences.  Occurrences in documents other than the smallest are removed.
+A bucket sets suffixes aside that nobody else has or that a common left byte
+extends.  The others are sorted into a suffix array with the lengths of common
+prefixes; a scan with a stack turns these into the tree of common-prefix
+intervals, and an interval of ``length`` or more bytes whose occurrences have
+different left bytes is a maximal repeat group with all its occurrences.  Those
+in documents other than the smallest are removed.
+
+The slices' own rows travel beside their strings, compressed, and meet the
+spans that the buckets found: no text is shuffled a second time in full.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparrowgrid.llm.common import bounded, written
+from sparrowgrid.llm.common import bounded
 
-#: Length of the sub-strings that minimisers are taken from.
-GRAM = 8
+#: Length of the sub-strings that minimisers are taken from: long enough that a common word alone is none.
+GRAM = 16
 #: Bytes of text that a task works on at once, and that a bucket stands for; a bucket is worked on in so many parts.
 SLICE, BUCKET, PARTS = 2 << 20, 8 << 20, 8
 _P = 0x9E3779B97F4A7C15
@@ -144,8 +149,12 @@ def suffix_array(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[n
     return order, np.minimum(lcp, np.minimum(sizes[1:], sizes[:-1]))
 
 
-def repeats(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, offset, size) of what repeats from a smaller document, over all strings of a bucket."""
+def repeat_groups_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int):
+    """Maximal repeat groups of a bucket's strings: (strings, offsets, sizes and bounds of the groups), groups over different documents only.
+
+    Group k has the occurrences ``bounds[k]:bounds[k + 1]``, each a string's
+    number and an offset in it, and ``sizes[k]`` bytes.
+    """
     none = np.zeros(0, np.int64)
     counts = sizes - length + 1
     at = ranges(starts, counts).astype(np.int32)
@@ -153,7 +162,8 @@ def repeats(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.nd
     ordered = np.sort(h)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
     if not len(twice):
-        return none, none, none
+        return none, none, none, np.zeros(1, np.int64)
+    # suffixes whose first bytes nobody else has are no repeats: they need no place in the array
     bits = max(10, int(len(twice)).bit_length() + 3)
     met = np.zeros(1 << bits, bool)
     met[twice >> np.uint64(64 - bits)] = True
@@ -167,23 +177,31 @@ def repeats(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.nd
     group_docs = docs[owner]
     left = np.where(at > starts[owner], data[at - 1].astype(np.int64), -1)
     low, high = np.where(left < 0, -1, left), np.where(left < 0, 256, left)
+    # suffixes that one left byte extends repeat from a place before them
     kept = np.minimum.reduceat(group_docs, first) < np.maximum.reduceat(group_docs, first)
     kept &= np.minimum.reduceat(low, first) < np.maximum.reduceat(high, first)
     member = np.repeat(kept, np.diff(np.append(first, len(h))))
     at, owner, left = at[member], owner[member], left[member]
     if not len(at):
-        return none, none, none
-    sizes_left = starts[owner] + sizes[owner] - at
-    order, lcp = suffix_array(data, at, sizes_left)
+        return none, none, none, np.zeros(1, np.int64)
+    order, lcp = suffix_array(data, at, starts[owner] + sizes[owner] - at)
     at, owner, left = at[order], owner[order], left[order]
-    member_docs = docs[owner]
-    cover = np.zeros(len(at), np.int64)
-    for size, i, j, least in interval_tree(lcp, length, left, member_docs):
-        # inner intervals come first and are longer
-        here = cover[i : j + 1]
-        np.copyto(here, size, where=(member_docs[i : j + 1] > least) & (here < size))
-    found = cover > 0
-    return owner[found], (at - starts[owner])[found], cover[found]
+    found = [(size, i, j) for size, i, j, _ in interval_tree(lcp, length, left, docs[owner])]
+    if not found:
+        return none, none, none, np.zeros(1, np.int64)
+    size, i, j = np.array(found, np.int64).T
+    members = ranges(i, j - i + 1)
+    return owner[members], (at - starts[owner])[members], size, np.append(0, np.cumsum(j - i + 1))
+
+
+def repeats(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, offset, size) of what repeats from a smaller document: the occurrences of each group but those in its smallest document."""
+    owner, offset, size, bounds = repeat_groups_of(data, starts, sizes, docs, length)
+    if not len(owner):
+        return owner, offset, size
+    least = np.repeat(np.minimum.reduceat(docs[owner], bounds[:-1]), np.diff(bounds))
+    later = docs[owner] > least
+    return owner[later], offset[later], np.repeat(size, np.diff(bounds))[later]
 
 
 def _pack(*columns: np.ndarray, level: int = 1) -> bytes:
@@ -199,132 +217,138 @@ def _unpack(blob: bytes, *types) -> list[np.ndarray]:
     return [np.frombuffer(raw, t, (e - e0) // np.dtype(t).itemsize, e0) for t, e, e0 in zip(types, ends.tolist(), (ends - sizes).tolist(), strict=True)]
 
 
-_SPANS = (np.int64, np.int16, np.int64, np.int64)  # id, text hash, start, end
-_STRINGS = (np.int64, np.uint8, np.uint16, np.int64, np.int16, np.int64)  # strings in each part, bytes, sizes, steps between ids, text hashes, steps between starts
-
-
-def _dealt(spans: list[np.ndarray], buckets: int):
-    """Spans as (bucket, blob) by document."""
-    ids, hashes, starts, ends = spans
-    place = (_mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(place, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
-        if len(part):
-            yield int(place[part[0]]), _pack(ids[part], hashes[part], starts[part], ends[part])
-
-
-def _cut(batches, length: int):
-    """(texts as bytes, ids, hashes, offsets in their documents): long texts in overlapping segments, about SLICE bytes at a time."""
-    texts, ids, hashes, offsets, held = [], [], [], [], 0
-    for part in bounded(batches, "text", SLICE):
-        for id_, h, text in zip(*(part.column(i) for i in range(3)), strict=True):
-            data = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid and len(text.as_buffer()) else np.zeros(0, np.uint8)
-            if not id_.is_valid or len(data) < length:
-                continue
-            for start in range(0, len(data) - length + 1, SLICE):
-                piece = data[start : start + SLICE + length - 1]
-                texts.append(piece)
-                ids.append(id_.as_py())
-                hashes.append(h.as_py())
-                offsets.append(start)
-                held += len(piece)
-                if held >= SLICE:
-                    yield texts, ids, hashes, offsets
-                    texts, ids, hashes, offsets, held = [], [], [], [], 0
+_STRINGS = (np.int64, np.uint8, np.uint16, np.int64, np.int32, np.int64)  # strings in each part, bytes, sizes, steps between ids, rows, steps between starts
+_SPANS = (np.int32, np.int64, np.int64)  # row, start, end
+_ROW = "key long, slice long, blob binary"
+
+
+def _segments(values: pa.Array, ids: pa.Array, length: int):
+    """(texts as bytes, their rows, offsets in them): long texts in overlapping segments, about SLICE bytes at a time."""
+    texts, rows, offsets, held = [], [], [], 0
+    known = ids.is_valid().to_pylist()
+    for row, text in enumerate(values):
+        data = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid and known[row] and len(text.as_buffer()) else ()
+        for start in range(0, len(data) - length + 1, SLICE):
+            texts.append(data[start : start + SLICE + length - 1])
+            rows.append(row)
+            offsets.append(start)
+            held += len(texts[-1])
+            if held >= SLICE:
+                yield texts, np.array(rows, np.int32), np.array(offsets, np.int64)
+                texts, rows, offsets, held = [], [], [], 0
     if texts:
-        yield texts, ids, hashes, offsets
-
-
-def _text_hash(text: str):
-    """Tells texts under one id apart."""
-    return F.shiftright(F.hash(F.col(text).cast("string")), 16).cast("smallint")
-
-
-def repeat_spans(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
-    """(id, hash, starts, ends): the maximal removed byte runs of every document that has any; hash is 16 bits of the text's."""
-    rows = df.select(F.col(id).cast("long").alias("id"), _text_hash(text).alias("hash"), F.col(text).cast("string").alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, -(-total // BUCKET))
+        yield texts, np.array(rows, np.int32), np.array(offsets, np.int64)
+
+
+def _deal(texts: list[np.ndarray], rows: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int, buckets: int):
+    """(settled spans, [(bucket, blob)]) of some texts; ``ids`` are those of all rows of the slice."""
+    data, bounds = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    starts, sizes, owner, least = strings_of(data, bounds, length)
+    none = [np.zeros(0, t) for t in _SPANS]
+    if not len(starts):
+        return none, []
+    # what the texts can settle among themselves: equal strings, all but those of their smallest document
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(rolling(data, length)))])
+    key = _mix((sums[starts + sizes - length + 1] - sums[starts]) * np.uint64(_P) + sizes.astype(np.uint64))
+    owner_ids = ids[rows[owner]]
+    order = np.lexsort((owner_ids, key))
+    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    smallest = np.empty(len(key), np.int64)
+    smallest[order] = np.repeat(order[first], np.diff(np.append(first, len(order))))
+    again = np.flatnonzero((owner_ids > owner_ids[smallest]) & (sizes == sizes[smallest]))
+    if len(again):
+        # equal byte for byte
+        same = data[ranges(starts[again], sizes[again])] == data[ranges(starts[smallest[again]], sizes[again])]
+        again = again[np.logical_and.reduceat(same, np.cumsum(sizes[again]) - sizes[again])]
+    begin = starts - bounds[owner] + offsets[owner]
+    settled = [rows[owner[again]], begin[again], (begin + sizes)[again]]
+    left = np.ones(len(starts), bool)
+    left[again] = False
+    starts, sizes, owner, begin, least, owner_ids = (x[left] for x in (starts, sizes, owner, begin, least, owner_ids))
+    place, part = (least % np.uint64(buckets)).astype(np.int64), (least // np.uint64(buckets) % np.uint64(PARTS)).astype(np.int64)
+    order = np.lexsort((begin, rows[owner], part, place))
+    out = []
+    for one in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+        if len(one):
+            counts = np.bincount(part[one], minlength=PARTS)
+            body = data[ranges(starts[one], sizes[one])]
+            steps = [np.diff(x[one], prepend=0) for x in (owner_ids, begin)]
+            out.append((int(place[one[0]]), _pack(counts, body, sizes[one].astype(np.uint16), steps[0], rows[owner[one]], steps[1], level=6)))
+    return settled, out
+
+
+def _strings(tables) -> list[tuple]:
+    """The strings of a bucket's blobs, by part: (bytes, sizes, ids, rows, starts, numbers of the blobs)."""
+    parts: list[list[tuple]] = [[] for _ in range(PARTS)]
+    for number, blob in enumerate(tables):
+        counts, body, sizes, id_steps, rows, start_steps = _unpack(blob.as_py(), *_STRINGS)
+        sizes, ids, starts = sizes.astype(np.int64), np.cumsum(id_steps), np.cumsum(start_steps)
+        bytes_at, at = np.concatenate([[0], np.cumsum(sizes)]), 0
+        for k, end in enumerate(np.cumsum(counts).tolist()):
+            if end > at:
+                cut = slice(at, end)
+                parts[k].append((body[bytes_at[at] : bytes_at[end]], sizes[cut], ids[cut], rows[cut], starts[cut], np.full(end - at, number)))
+            at = end
+    return [tuple(np.concatenate(c) for c in zip(*part, strict=True)) for part in parts if part]
+
+
+def _sent(df: DataFrame, id: str, text: str, length: int) -> DataFrame:
+    """(key, slice, blob): every slice's strings under their bucket, and under a negative key its rows with the spans it has settled."""
+    total = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string")).cast("long")), F.lit(0))).first()[0]
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    rows = df.withColumns({"__id": F.col(id).cast("long"), "__text": F.col(text).cast("string")})
 
     def deal(batches):
-        for texts, ids, hashes, offsets in _cut(batches, length):
-            data, bounds = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
-            ids, hashes, offsets = np.array(ids, np.int64), np.array(hashes, np.int16), np.array(offsets, np.int64)
-            starts, sizes, owner, least = strings_of(data, bounds, length)
-            if not len(starts):
-                continue
-            # what the slice itself can settle: equal strings, all but those of its smallest document
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(rolling(data, length)))])
-            key = _mix((sums[starts + sizes - length + 1] - sums[starts]) * np.uint64(_P) + sizes.astype(np.uint64))
-            _, inverse = np.unique(key, return_inverse=True)
-            smallest = np.full(int(inverse.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(smallest, inverse, ids[owner])
-            again = ids[owner] > smallest[inverse]
-            begin = starts - bounds[owner] + offsets[owner]
-            out = []
-            if again.any():
-                o = owner[again]
-                # settled spans take the same way as strings, under negative numbers
-                out += [(-1 - b, blob) for b, blob in _dealt([ids[o], hashes[o], begin[again], (begin + sizes)[again]], buckets)]
-            starts, sizes, owner, begin, least = (x[~again] for x in (starts, sizes, owner, begin, least))
-            place, part = (least % np.uint64(buckets)).astype(np.int64), (least // np.uint64(buckets) % np.uint64(PARTS)).astype(np.int64)
-            order = np.lexsort((begin, ids[owner], part, place))
-            for one in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
-                if len(one):
-                    o = owner[one]
-                    steps = (np.diff(x, prepend=0) for x in (ids[o], begin[one]))
-                    counts = np.bincount(part[one], minlength=PARTS)
-                    body = data[ranges(starts[one], sizes[one])]
-                    id_steps, start_steps = steps
-                    out.append((int(place[one[0]]), _pack(counts, body, sizes[one].astype(np.uint16), id_steps, hashes[o], start_steps, level=6)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary()))], names=["bucket", "blob"])
+        place, number = TaskContext.get().partitionId(), 0
+        for whole in batches:
+            for part in bounded([whole], "__text", SLICE):
+                ids = part.column(part.schema.get_field_index("__id"))
+                values = part.column(part.schema.get_field_index("__text"))
+                plain = pa.RecordBatch.from_arrays(part.columns[:-2], schema=pa.schema(list(part.schema)[:-2]))
+                raw = ids.fill_null(0).to_numpy(zero_copy_only=False)
+                spans, out = [[np.zeros(0, t)] for t in _SPANS], []
+                for texts, at, offsets in _segments(values, ids, length):
+                    settled, dealt = _deal(texts, at, offsets, raw, length, buckets)
+                    for held, new in zip(spans, settled, strict=True):
+                        held.append(new)
+                    out += dealt
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, plain.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(plain)
+                frame = sink.getvalue().to_pybytes()
+                # its content is part of a slice's name: what a lost task sends anew in another order doesn't mingle with the old
+                name = xxhash.xxh64_intdigest(frame, (place << 24) + number) - (1 << 63)
+                number += 1
+                head = np.array([len(out), len(frame)], np.int64).tobytes()
+                out.append((-((place << 24) + number), head + frame + _pack(*(np.concatenate(x) for x in spans))))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _ in out], pa.int64()), pa.array([name] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["key", "slice", "blob"]
+                )
+
+    return rows.mapInArrow(deal, _ROW)
+
+
+def repeat_groups(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
+    """(repeat, size, id, start): the maximal repeat groups over different documents, with all their occurrences.
+
+    A group is a string of ``size`` bytes that can't be extended to the left for
+    all its occurrences.  Strings are followed over one minimiser only, so a
+    long repeat comes as groups that overlap; of a slice's own copies one
+    stands for all.  Nulls and short texts are in no group.
+    """
 
     def find(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        if bucket < 0:
-            return pa.table({"bucket": pa.array([-1 - bucket] * len(table), pa.int64()), "blob": table.column("blob")})
-        parts: list[list[tuple]] = [[] for _ in range(PARTS)]
-        for blob in table.column("blob"):
-            counts, body, sizes, id_steps, hashes, start_steps = _unpack(blob.as_py(), *_STRINGS)
-            sizes, ids, starts = sizes.astype(np.int64), np.cumsum(id_steps), np.cumsum(start_steps)
-            ends, at, byte = np.cumsum(counts), 0, 0
-            bytes_at = np.concatenate([[0], np.cumsum(sizes)])
-            for k, end in enumerate(ends.tolist()):
-                if end > at:
-                    parts[k].append((body[byte : bytes_at[end]], sizes[at:end], ids[at:end], hashes[at:end], starts[at:end]))
-                at, byte = end, int(bytes_at[end])
-        out = []
-        for part in parts:
-            if part:
-                body, sizes, ids, hashes, begin = (np.concatenate(c) for c in zip(*part, strict=True))
-                part.clear()
-                which, offset, size = repeats(body, np.cumsum(sizes) - sizes, sizes, ids, length)
-                begin = begin[which] + offset
-                out += _dealt([ids[which], hashes[which], begin, begin + size], buckets)
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int64()), "blob": pa.array([x for _, x in out], pa.binary())})
-
-    def merge(table: pa.Table) -> pa.Table:
-        columns = [_unpack(x.as_py(), *_SPANS) for x in table.column("blob")]
-        ids, hashes, starts, ends = (np.concatenate(c) for c in zip(*columns, strict=True))
-        order = np.lexsort((starts, hashes, ids))
-        ids, hashes, starts, ends = ids[order], hashes[order], starts[order], ends[order]
-        fresh = np.r_[True, (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])]
-        number = np.cumsum(fresh) - 1
-        shift = number * (int(ends.max()) + 2)  # documents apart on one line
-        reach = np.maximum.accumulate(ends + shift)
-        begins = np.r_[True, (starts + shift)[1:] > reach[:-1]]
-        at = np.flatnonzero(begins)
-        last = np.append(at[1:], len(starts)) - 1
-        run_starts, run_ends = starts[at], reach[last] - shift[last]
-        firsts = np.flatnonzero(fresh[at])
-        offsets = pa.array(np.append(firsts, len(at)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (run_starts, run_ends)]
-        return pa.table({"id": pa.array(ids[at[firsts]]), "hash": pa.array(hashes[at[firsts]]), "starts": lists[0], "ends": lists[1]})
+        bucket = table.column("key")[0].as_py()
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        if bucket >= 0:
+            for k, (body, sizes, ids, _, begin, _) in enumerate(_strings(table.column("blob"))):
+                owner, offset, size, bounds = repeat_groups_of(body, np.cumsum(sizes) - sizes, sizes, ids, length)
+                number = ((bucket * PARTS + k) << 32) + np.arange(len(size))
+                for held, new in zip(out, (np.repeat(number, np.diff(bounds)), np.repeat(size, np.diff(bounds)), ids[owner], begin[owner] + offset), strict=True):
+                    held.append(new)
+        return pa.table({n: pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for n, c in zip(("repeat", "size", id, "start"), out, strict=True)})
 
-    blobs = "bucket long, blob binary"
-    spans = rows.mapInArrow(deal, blobs).groupBy("bucket").applyInArrow(find, blobs)
-    return spans.groupBy("bucket").applyInArrow(merge, "id long, hash smallint, starts array<long>, ends array<long>")
+    return _sent(df.select(id, text), id, text, length).groupBy("key").applyInArrow(find, f"repeat long, size long, `{id}` long, start long")
 
 
 def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
@@ -336,24 +360,57 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
     lose bytes nor make others lose them; repeated rows are one document and
     lose the same bytes.  Columns of ``df`` called like an output are replaced.
     """
-    keep = [c for c in df.columns if c not in ("starts", "ends", "kept")]
-    spans = written(repeat_spans(df, id, text, length), "spans").withColumnsRenamed({"id": "__id", "hash": "__hash"})
-    joined = df.select(*keep).join(spans, (F.col(id) == F.col("__id")) & (_text_hash(text) == F.col("__hash")), "left").drop("__id", "__hash")
-    schema = T.StructType([*joined.schema.fields, T.StructField("kept", T.BinaryType())])
-
-    def cut(batches):
-        for part in bounded(batches, text):
-            at = {n: part.schema.get_field_index(n) for n in (text, "starts", "ends")}
-            kept = []
-            for value, starts, ends in zip(*(part.column(i) for i in at.values()), strict=True):
-                data = bytes(value.as_buffer()) if value.is_valid else b""
-                if starts.is_valid:
-                    begins = [0, *ends.as_py()]
-                    data = b"".join(data[a:b] for a, b in zip(begins, [*starts.as_py(), len(data)], strict=True))
-                kept.append(data)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(kept, pa.binary())], names=[*part.schema.names, "kept"])
-
-    return joined.mapInArrow(cut, schema)
+    plain = df.select(*[c for c in df.columns if c not in ("starts", "ends", "kept")])
+    runs = T.ArrayType(T.LongType())
+    schema = T.StructType([*plain.schema.fields, T.StructField("starts", runs), T.StructField("ends", runs), T.StructField("kept", T.BinaryType())])
+
+    def find(table: pa.Table) -> pa.Table:
+        if table.column("key")[0].as_py() < 0:
+            return table
+        spans: list[list[list[np.ndarray]]] = [[] for _ in range(len(table))]
+        for body, sizes, ids, rows, begin, number in _strings(table.column("blob")):
+            which, offset, size = repeats(body, np.cumsum(sizes) - sizes, sizes, ids, length)
+            start = begin[which] + offset
+            order = np.argsort(number[which], kind="stable")
+            which, start, size = which[order], start[order], size[order]
+            for one in np.split(np.arange(len(which)), np.flatnonzero(np.diff(number[which])) + 1):
+                if len(one):
+                    spans[int(number[which[one[0]]])].append([rows[which[one]], start[one], start[one] + size[one]])
+        # every slice gets its answer, with spans or without
+        blobs = [_pack(*(np.concatenate([np.zeros(0, t), *c]) for t, c in zip(_SPANS, zip(*found, strict=True) if found else ((), (), ()), strict=True))) for found in spans]
+        return pa.table({"key": table.column("key"), "slice": table.column("slice"), "blob": pa.array(blobs, pa.binary())})
+
+    def cut(table: pa.Table) -> pa.Table:
+        keys = table.column("key").to_pylist()
+        least = min(range(len(keys)), key=keys.__getitem__)
+        head = table.column("blob")[least].as_py()
+        sent, size = np.frombuffer(head, np.int64, 2).tolist() if keys[least] < 0 else (-1, 0)
+        if sent != len(keys) - 1:
+            raise RuntimeError("a lost task's texts came back in another order; run the job again, on a written table")
+        batch = pa.ipc.open_stream(pa.py_buffer(head)[16 : 16 + size]).read_all().combine_chunks()
+        blobs = [head[16 + size :], *(table.column("blob")[i].as_py() for i in range(len(keys)) if i != least)]
+        rows, starts, ends = (np.concatenate(c) for c in zip(*(_unpack(x, *_SPANS) for x in blobs), strict=True))
+        order = np.lexsort((starts, rows))
+        rows, starts, ends = rows[order], starts[order], ends[order]
+        shift = rows.astype(np.int64) * (int(ends.max(initial=0)) + 2)  # rows apart on one line
+        reach = np.maximum.accumulate(ends + shift)
+        begins = np.r_[True, (starts + shift)[1:] > reach[:-1]][: len(rows)]
+        at = np.flatnonzero(begins)
+        last = np.append(at[1:], len(starts))[: len(at)] - 1
+        run_rows, run_starts, run_ends = rows[at], starts[at], (reach - shift)[last]
+        bounds = np.searchsorted(run_rows, np.arange(batch.num_rows + 1))
+        kept, lists = [], ([], [])
+        values = batch.column(text).cast(pa.string())
+        for k, value in enumerate(values):
+            data = bytes(value.as_buffer()) if value.is_valid else b""
+            a, b = run_starts[bounds[k] : bounds[k + 1]].tolist(), run_ends[bounds[k] : bounds[k + 1]].tolist()
+            lists[0].append(a or None)
+            lists[1].append(b or None)
+            kept.append(b"".join(data[x:y] for x, y in zip([0, *b], [*a, len(data)], strict=True)) if a else data)
+        made = [pa.array(x, pa.list_(pa.int64())) for x in lists] + [pa.array(kept, pa.binary())]
+        return pa.table([*batch.columns, *made], names=[*batch.column_names, "starts", "ends", "kept"])
+
+    return _sent(plain, id, text, length).groupBy("key").applyInArrow(find, _ROW).groupBy("slice").applyInArrow(cut, schema)
 
 
 def clean_documents(df: DataFrame, length: int = 50) -> DataFrame:
