@@ -2,17 +2,24 @@
 
 The standard library's parser streams events.  Each run of text between block
 tags is a line with its text length, its link text and the tags around it.
-The ratios are smoothed with a Gaussian over neighbouring lines and split into
-two clusters; the containers (article, section, div, ...) that hold lines of
-the upper cluster are the content regions, and all their lines are kept in
-page order, so that short paragraphs and headings beside long ones stay.
-Lines inside page furniture (navigation, header, footer, sidebar, notice,
-advert, form, comments; by tag, role or class name) are never content.
+The ratios of text to tags are smoothed with a Gaussian over neighbouring
+lines and split into two clusters.  The content region is the smallest
+container that holds most of the upper cluster's text (and the headings that
+stand right beside it); all its lines are kept in page order, so that short
+paragraphs and headings between long ones stay.
+
+Page furniture only assists: elements that HTML itself calls furniture (nav,
+footer, form, ...) are no content, and a class name that speaks of furniture
+tips the balance for a container that the ratios don't speak for: in the region
+it goes only if its lines lie in the lower cluster or stand before or after all
+other content, and never if it holds the region.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -22,43 +29,50 @@ from pyspark.sql import types as T
 
 from sparrowgrid.llm.common import bounded
 
-# Element names by their part in a page, and words in class names that mark furniture.
+#: Share of the upper cluster's text that the content region holds.
+MOST = 0.6
+# Element names by their part in a page, and class names that mark furniture.
 SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe", "object", "canvas", "textarea", "select"}
 FURNITURE = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "header"}
 CONTAINERS = {"html", "body", "article", "main", "section", "div", "table", "blockquote", "ul", "ol", "dl", "figure", "details", "fieldset", "center"}
-BLOCKS = CONTAINERS | FURNITURE | {
-    "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "dt", "dd",
-    "hr", "br", "address", "hgroup", "figcaption", "summary", "legend", "option", "label", "input",
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+BLOCKS = CONTAINERS | FURNITURE | HEADINGS | {
+    "p", "li", "pre", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "dt", "dd",
+    "hr", "br", "address", "figcaption", "summary", "legend", "option", "label", "input",
 }
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|header|masthead|footer|side-?bar\w*|aside|"
-    r"widget\w*|cookie\w*|consent|notice|notification|alert|popup|modal|newsletter|subscribe|signup|login|search|comments?|"
-    r"comment-\w+|disqus|replies|respond|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|hidden|legal)(?=$|[\s_-])",
-    re.I,
-)
-_PART = {"article", "main", "body", "html"}
+NAMES = {
+    "ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "promo", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb",
+    "breadcrumbs", "header", "masthead", "footer", "sidebar", "side-bar", "widget", "cookie", "cookies", "cookie-notice", "cookie-banner",
+    "consent", "notice", "notification", "alert", "popup", "modal", "newsletter", "subscribe", "signup", "login", "comments", "comment",
+    "comment-list", "disqus", "replies", "respond", "share", "sharing", "social", "related", "related-posts", "recommended", "pagination",
+    "pager", "toolbar",
+}
 
 
 class Events(HTMLParser):
-    """Turns parser events into lines: (text, link characters, tags since the last line, region, in furniture).
+    """Turns parser events into lines and the tree of containers they stand in.
 
-    A region is an (article or main element or else the innermost plain container, its number) pair.
+    A line is (text, link characters, tags since the last line, container,
+    whether it is a heading).  A container is (container around it, tag,
+    whether it is furniture, whether a class name says so).
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[bool, int], bool]] = []
-        self.open: list[tuple[str, bool, tuple[bool, int]]] = []  # tag, whether it hides what it holds, the region outside it
-        self.region = (False, 0)
-        self.hidden = self.links = self.tags = self.link_chars = self.next = 0
+        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.containers: list[tuple[int, str, bool, bool]] = [(-1, "", False, False)]
+        self.titled: list[int] = []  # containers of articles and page titles
+        self.open: list[tuple[str, int]] = []  # tag, the container outside it
+        self.counts: Counter = Counter()  # open elements by tag
+        self.here = self.links = self.tags = self.link_chars = self.silent = self.heading = 0
         self.parts: list[str] = []
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.link_chars, self.tags, self.region, self.hidden > 0))
+            self.lines.append((text, self.link_chars, self.tags, self.here, self.heading > 0))
             self.tags = 0
         self.parts, self.link_chars = [], 0
 
@@ -66,25 +80,33 @@ class Events(HTMLParser):
         self.tags += 1
         if tag in BLOCKS or tag in SILENT:
             self.flush()
+        if tag in BLOCKS and tag != "br":
+            while self.counts["head"]:  # its end can be left out
+                self._close()
+            if self.open and (self.open[-1][0] == "p" or self.open[-1][0] in HEADINGS):  # these end where the next block begins
+                self._close()
         if tag == "a":
             self.links += 1
-        if tag in VOID or not (tag in CONTAINERS or tag in FURNITURE or tag in SILENT or tag in ("p", "li")):
+        if tag in VOID:
             return
-        if tag in ("p", "li"):
-            while self.open and self.open[-1][0] == "p":  # a paragraph ends where the next begins
-                self._close()
         named = dict(attrs)
-        said = f"{named.get('class') or ''} {named.get('id') or ''}"
-        hinted = tag not in _PART and bool(_HINT.search(said))
-        hides = tag in FURNITURE or tag in SILENT or hinted or (named.get("role") or "").lower() in ROLES
-        hides = hides or "hidden" in named or named.get("aria-hidden") == "true"
-        if tag == "header" and self.region[0] and not hinted:
-            hides = False  # an article's own heading
-        self.open.append((tag, hides, self.region))
-        self.hidden += hides
-        if tag in ("article", "main") or not self.region[0] and tag in ("body", "div", "section", "center"):
-            self.next += 1
-            self.region = (tag in ("article", "main"), self.next)
+        hidden = "hidden" in named or named.get("aria-hidden") == "true"
+        box = tag in CONTAINERS or tag in FURNITURE
+        if not (box or hidden or tag in SILENT or tag in HEADINGS):
+            return
+        self.open.append((tag, self.here))
+        self.counts[tag] += 1
+        self.silent += tag in SILENT
+        self.heading += tag in HEADINGS
+        if box or hidden:
+            # the heading of an article or a section is its own
+            own = tag == "header" and self.counts["article"] + self.counts["main"] + self.counts["section"] > 0
+            furniture = hidden or tag in FURNITURE and not own or (named.get("role") or "").lower() in ROLES
+            said = f"{named.get('class') or ''} {named.get('id') or ''}".lower().split()
+            self.containers.append((self.here, tag, furniture, not NAMES.isdisjoint(said)))
+            self.here = len(self.containers) - 1
+        if tag in ("article", "main", "h1"):
+            self.titled.append(self.here)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -97,22 +119,34 @@ class Events(HTMLParser):
             self.flush()
         if tag == "a" and self.links:
             self.links -= 1
-        if any(t == tag for t, _, _ in self.open):
+        if self.counts[tag]:
             while self._close() != tag:
                 pass
 
     def _close(self) -> str:
-        tag, hides, self.region = self.open.pop()
-        self.hidden -= hides
+        tag, self.here = self.open.pop()
+        self.counts[tag] -= 1
+        self.silent -= tag in SILENT
+        self.heading -= tag in HEADINGS
         return tag
 
     def handle_data(self, data):
-        if self.open and self.open[-1][0] in SILENT:
+        if self.silent:
             return
         self.parts.append(data)
         if self.links:
             self.link_chars += len(data)
 
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i, 0)  # HTML has no marked sections
+
+    def finish(self):
+        """The end of the page: plain text that is left counts, an unfinished tag or comment doesn't."""
+        rest, self.rawdata = self.rawdata, ""
+        if rest and not re.match(r"<[A-Za-z/!?]", rest):
+            self.handle_data(unescape(rest))
+        self.flush()
+
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     """Gaussian smoothing with a window of three deviations, normalised at the ends."""
@@ -137,28 +171,73 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _region(events: Events, weights: np.ndarray) -> int:
+    """The smallest container that holds most of the lines' weight."""
+    held, best = np.zeros(len(events.containers)), {}
+    for (_, _, _, where, _), w in zip(events.lines, weights.tolist(), strict=True):
+        held[where] += w
+    for k in range(len(held) - 1, 0, -1):  # a container's number is larger than that of the one around it
+        up = events.containers[k][0]
+        held[up] += held[k]
+        if up not in best or held[k] >= held[best[up]]:
+            best[up] = k
+    region = 0
+    while region in best and held[best[region]] >= MOST * held[0]:
+        region = best[region]
+    return region
+
+
 def extract(html: str | None) -> str:
     """The main text of one page; empty for null, for empty pages and for pages without text."""
     if not html:
         return ""
     events = Events()
     events.feed(html)
-    events.close()
-    events.flush()
-    lines = events.lines
-    if not lines:
-        return ""
-    ratios = np.array([0.0 if hidden else max(0, len(text) - links) / (tags + 1) for text, links, tags, _, hidden in lines])
-    score = smoothed(ratios)
-    shown = [i for i, x in enumerate(lines) if not x[4]]
-    if not shown:
+    events.finish()
+    lines, containers = events.lines, events.containers
+    # furniture and named containers, with all they hold; one that holds an article or a title isn't named
+    titled = set()
+    for k in events.titled:
+        while k not in titled and k >= 0:
+            titled.add(k)
+            k = containers[k][0]
+    furniture, named = [False], [False]
+    for k, (up, _, own, said) in enumerate(containers[1:], 1):
+        furniture.append(own or furniture[up])
+        named.append(said and k not in titled or named[up])
+    shown = np.array([not furniture[x[3]] for x in lines], bool)
+    if not shown.any():
         return ""
-    border = threshold(score)
-    best = [i for i in shown if score[i] >= border] or [max(shown, key=lambda i: score[i])]
-    regions = {lines[i][3] for i in best}
-    if any(part for part, _ in regions):
-        regions = {r for r in regions if r[0]}
-    return "\n".join(lines[i][0] for i in shown if lines[i][3] in regions)
+    plain = shown & np.array([not named[x[3]] for x in lines])
+    if not plain.any():
+        plain = shown
+    score = smoothed(np.array([max(0, len(text) - links) / (tags + 1) for text, links, tags, _, _ in lines]))
+    upper = score >= threshold(score)
+    seeds = np.flatnonzero(upper & plain)
+    if not len(seeds):
+        seeds = np.flatnonzero(plain)[[np.argmax(score[plain])]]
+    weights = np.zeros(len(lines))
+    weights[seeds] = [len(lines[i][0]) for i in seeds]
+    region = _region(events, weights)
+    around = [region]
+    while around[-1] > 0:
+        around.append(containers[around[-1]][0])
+    region = next((k for k in around if containers[k][1] in ("article", "main")), region)
+    inside = [k == region for k in range(len(containers))]
+    for k in range(region + 1, len(containers)):
+        inside[k] = inside[k] or inside[containers[k][0]]
+    kept = shown & np.array([inside[x[3]] for x in lines])
+    # headings and content right beside the region belong to it
+    for step, i in ((-1, int(np.argmax(kept))), (1, len(kept) - 1 - int(np.argmax(kept[::-1])))):
+        i += step
+        while 0 <= i < len(lines) and (not shown[i] or plain[i] and (upper[i] or lines[i][4] and step < 0)):
+            kept[i] = shown[i]
+            i += step
+    seeds = seeds[kept[seeds]]
+    between = np.zeros(len(lines), bool)
+    between[seeds[0] : seeds[-1] + 1] = True
+    kept &= plain | between & upper
+    return "\n".join(x[0] for x, keep in zip(lines, kept.tolist(), strict=True) if keep)
 
 
 def main_text(df: DataFrame, html: str = "html") -> DataFrame:
