@@ -21,19 +21,28 @@ from sparrowgrid.llm.common import bounded
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
-# Phrases and words that mark boilerplate and navigation lines.
+# Phrases and words that mark boilerplate and navigation lines, in the languages of the corpus.
 BOILERPLATE = (
-    "all rights reserved", "licensed under", "license, version", "terms of service", "terms of use", "privacy policy",
-    "cookie policy", "uses cookies", "accept cookies", "subscribe to our", "sign up for", "enable javascript",
-    "copyright ©", "powered by", "click here",
+    "all rights reserved", "licensed under", "license, version", "terms of service", "terms of use", "terms and conditions", "privacy policy",
+    "cookie policy", "uses cookies", "use of cookies", "accept cookies", "subscribe to our", "sign up for our", "enable javascript",
+    "copyright ©", "© copyright", "powered by", "click here to", "distributed under the",
+    "tous droits réservés", "mentions légales", "politique de confidentialité", "conditions d'utilisation", "utilise des cookies",
+    "abonnez-vous à", "cliquez ici",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "allgemeine geschäftsbedingungen", "verwendet cookies",
+    "newsletter abonnieren", "klicken sie hier",
+    "todos los derechos reservados", "política de privacidad", "términos y condiciones", "condiciones de uso", "utiliza cookies",
+    "suscríbete a", "haga clic aquí",
 )
 NAVIGATION = {
     "home", "menu", "next", "previous", "prev", "login", "logout", "register", "search", "share", "contact", "about",
     "sitemap", "back", "top", "more", "skip", "print", "tweet", "comments",
+    "accueil", "suivant", "précédent", "connexion", "déconnexion", "inscription", "rechercher", "partager", "retour", "imprimer", "commentaires",
+    "startseite", "weiter", "zurück", "anmelden", "abmelden", "registrieren", "suche", "teilen", "kontakt", "drucken", "kommentare", "impressum",
+    "inicio", "menú", "siguiente", "anterior", "entrar", "salir", "registrarse", "buscar", "compartir", "contacto", "volver", "imprimir", "comentarios",
 }
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _SYMBOLS = re.compile("[" + re.escape(SYMBOLS) + "]")
-_ENDS = tuple(".!?…:;\"'”’»)]。！？")
+_ENDS = tuple(".!?…:;\"'”’»)]。！？؟۔।॥")
 
 
 @dataclass(frozen=True)
@@ -53,9 +62,18 @@ class Rules:
     max_lost: float = 0.4
 
 
-def line_fault(line: str, rules: Rules = Rules()) -> str | None:
-    """The first rule the line fails: navigation, punctuation or boilerplate; None for good and for empty lines."""
-    words = line.split()
+def has_end(line: str) -> bool:
+    """Whether a word of the line ends in punctuation that closes something."""
+    return any(w.endswith(_ENDS) for w in WORD.findall(line))
+
+
+def line_fault(line: str, rules: Rules = Rules(), wrapped: bool = False) -> str | None:
+    """The first rule the line fails: navigation, punctuation or boilerplate; None for good and for empty lines.
+
+    ``wrapped`` lines are parts of a paragraph whose neighbouring line closes a
+    sentence, and need not close one themselves.
+    """
+    words = WORD.findall(line)
     n = len(words)
     if not n:
         return None
@@ -69,7 +87,7 @@ def line_fault(line: str, rules: Rules = Rules()) -> str | None:
         noisy += sum(1 for w in words if _SYMBOLS.search(w))
     if noisy > rules.max_noisy * n:
         return "punctuation"
-    if n >= rules.prose_words and not any(w.endswith(_ENDS) for w in words):
+    if n >= rules.prose_words and not wrapped and not any(w.endswith(_ENDS) for w in words):
         return "punctuation"
     if _BOILERPLATE.search(line.lower()):
         return "boilerplate"
@@ -111,8 +129,10 @@ def judge(text: str | None, rules: Rules = Rules()) -> tuple:
     n_repeat = repeated_words(words)
     base_failed = n < rules.min_words or 100 * n_repeat > rules.max_repeat_percent * n
     good, lost, kinds = [], 0, Counter()
-    for line in lines:
+    for k, line in enumerate(lines):
         fault = line_fault(line, rules)
+        if fault == "punctuation" and any(has_end(x) for x in (*lines[max(0, k - 1) : k], *lines[k + 1 : k + 2])):
+            fault = line_fault(line, rules, wrapped=True)
         if fault:
             kinds[fault] += 1
             lost += len(WORD.findall(line))
