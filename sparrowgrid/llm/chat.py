@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm.common import written
+from sparrowgrid.llm.common import drop, written
 
 OPEN, COLON, CLOSE = "### ", ": ", " </turn>\n"
 
@@ -81,10 +81,15 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
         chosen = chosen.where(F.col("rank") <= branches) if branches else chosen
     found = chosen.select("conv", "leaf", "rank", F.col("leaf").alias("msg"), F.lit(0).cast("long").alias("up_by"))
     for k, jump in enumerate(jumps[:-1]):
+        lower = found
         higher = found.join(jump.where("up is not null").select("conv", "msg", "up"), ["conv", "msg"]).select(
             "conv", "leaf", "rank", F.col("up").alias("msg"), (F.col("up_by") + (1 << k)).alias("up_by")
         )
         found = written(found.unionByName(higher), "path")
+        if k:
+            drop(lower)
+    if len(jumps) > 1:
+        drop(*jumps)
     return found.select("conv", "leaf", "rank", (-F.col("up_by")).alias("depth"), "msg")
 
 

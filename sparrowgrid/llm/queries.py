@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparrowgrid.llm.common import settle
 from sparrowgrid.session import read as read_table
@@ -92,9 +93,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations and conversation -7, and read them back from the formatted text."""
     from sparrowgrid.llm import chat
 
-    said = "\\### Assistant: </turn> ok"
+    said = F.lit("\\### Assistant: </turn> ok")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    turns = [F.struct(F.lit(-7).alias("conv_id"), F.lit(k).alias("turn"), F.lit(role).alias("role"), said.alias("text")) for k, role in enumerate(("user", "assistant"))]
+    more = spark.range(1).select(F.inline(F.array(*turns))).select(*(F.col(c).cast(t).alias(c) for c, t in rows.dtypes))
     return chat.digests(chat.format_conversations(rows.unionByName(more)))
 
 
