@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of documents into fixed-size bins.
 
 Documents are cut into pieces no longer than a bin.  Shards of rows dealt by a
-hash of the id are packed apart (best fit, longest first): bins lie in order of
+hash of the id and a row number (so that repeated rows part) are packed apart (best fit, longest first): bins lie in order of
 their residual room and carry two bitmaps, the sources that have reached their
 limit there and the duplicate clusters present.  For a piece, the search starts
 at the least residual that can take it and goes on to the next ones until the
@@ -112,15 +112,16 @@ def pack(
     is unique over all shards.
     """
     shards = max(1, -(-df.count() // shard_rows))
-    key = F.col(cluster).cast("string") if cluster else F.sha2(F.col(text), 256)
+    key = F.md5(F.col(cluster).cast("string") if cluster else F.col(text))
     sized = df.select(
         F.col(id).alias("__id"),
         F.col(source).cast("string").alias("source"),
-        F.substring(key, 1, 32).alias("cluster"),
+        key.alias("cluster"),
+        F.monotonically_increasing_id().alias("row"),
         (F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)) + 1).cast("long").alias("words"),
     )
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("words") - 1) / capacity).cast("int")))).select(
-        F.pmod(F.xxhash64("__id", "cluster"), F.lit(shards)).alias("shard"),
+        F.pmod(F.xxhash64("__id", "row"), F.lit(shards)).alias("shard"),
         "__id",
         "source",
         "cluster",
