@@ -7,6 +7,7 @@ the register's server use the second; both are needed.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -59,9 +60,28 @@ def recent_or_undated(c: str | Column, cutoff) -> Column:
     return col(c).isNull() | (col(c) >= F.lit(cutoff))
 
 
+# Fixed value: punctuation that may stand inside a word without making it another.
+INTRA_WORD = "[-\u2010-\u2015_'\u2018\u2019./]"
+
+
+def fold_punctuation(c: str | Column) -> Column:
+    """Without the punctuation that stands inside words ('theme-park' and "O'Hare" as one word)."""
+    return F.regexp_replace(col(c), INTRA_WORD, "")
+
+
+def any_word(c: str | Column, words: Sequence[str]) -> Column:
+    """Whether one of the words stands alone in the text, in any case, as written or with punctuation folded on both sides."""
+
+    def pattern(found: Sequence[str]) -> str:
+        return r"(?i)\b(?:" + "|".join(re.escape(w) for w in found) + r")\b"
+
+    folded = [f for w in words if (f := re.sub(INTRA_WORD, "", w))]
+    return col(c).rlike(pattern(words)) | (fold_punctuation(c).rlike(pattern(folded)) if folded else F.lit(False))
+
+
 def whole_word(c: str | Column, word: str) -> Column:
     """The word stands alone in the text, in any case."""
-    return col(c).rlike(rf"(?i)\b\Q{word}\E\b")
+    return any_word(c, [word])
 
 
 def word_hits(c: str | Column, words: Sequence[str]) -> Column:

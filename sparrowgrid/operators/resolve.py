@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowgrid.functions.rules import STAGES, UNPROVEN, stage_rank
-from sparrowgrid.functions.text import similarity
+from sparrowgrid.functions.text import is_generic_party, money_points, similarity
 from sparrowgrid.operators.tables import written
 
 
@@ -152,11 +152,52 @@ def proven_stage(evidence: DataFrame, project: str, stage: str, filing: str, att
     )
 
 
-def significance(points: dict[str, Column], penalty: Column, most: float = 100.0) -> tuple[Column, Column]:
-    """(score, detail): the points' sum less the penalty, within 0 and ``most``, to one place, half up; and a map of the parts."""
-    total = sum(points.values(), F.lit(0.0)) + penalty
-    score = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(most), total)) * 10 + 0.5) / 10
-    return score, F.map_from_arrays(F.array(*map(F.lit, [*points, "penalty"])), F.array(*points.values(), penalty))
+# The weight of each signal, the penalty, points of stages, tiers of venues, sources by their authority.
+WEIGHTS = {"stage": 18, "target": 15, "money": 10, "party": 10, "depth": 12, "venue": 12, "representation": 8, "source": 8, "span": 3, "recency": 4}
+TRANSACTION = -12
+STAGE_POINTS = {"under construction": 18, "permitted": 16, "approved": 14, "hearing scheduled": 10, "filed": 6, "stalled": 2, "dormant": 0}
+TOP_VENUES = ("Integrated Resort", "Casino/Gaming", "Theme Park", "Amusement Park", "Waterpark", "Arena/Stadium", "Entertainment Destination", "Entertainment District", "Resort")
+MIDDLE_VENUES = ("Hotel", "Museum", "Convention/Expo", "Aquarium", "Science Center", "Zoo", "Family Entertainment Center", "Heritage/Cultural Site", "Master-Planned Community")
+FILING_SOURCES = ("nyc-zap", "nyc-ceqr", "agenda-portal", "legistar", "clark-tab", "ceqanet", "cftod-pdf", "sfwmd", "govdoc")
+NOTICE_SOURCES = ("nyc-city-record",)
+
+
+def source_share(source: Column) -> Column:
+    """How much of the source's weight a record of it earns."""
+    return F.when(source.isin(*FILING_SOURCES), 1.0).when(source.isin(*NOTICE_SOURCES), 0.6).otherwise(0.3)
+
+
+def significance(
+    *, amount: Column, private: Column, represented: Column, stage: Column, records: Column, span_days: Column, venue: Column, watched: Column,
+    source: Column, idle_days: Column, transactions: Column,
+) -> tuple[Column, Column]:
+    """(score, detail) of a project: ten signals less the penalty for pure transactions, within 0 and 100, to one place; and a map of the parts.
+
+    ``amount`` is the largest figure stated, ``records`` the number of live
+    records, ``span_days`` null under two dated ones, ``source`` the best
+    ``source_share``, ``idle_days`` since the last activity.  A project that is
+    no known kind of venue loses points; one record has no depth.
+    """
+    w = {k: float(v) for k, v in WEIGHTS.items()}
+    stages = F.create_map(*[F.lit(x) for k, v in STAGE_POINTS.items() for x in (k, float(v))])
+    points = {
+        "money": money_points(amount, w["money"]),
+        "party": F.when(private, w["party"]),
+        "representation": F.when(represented, w["representation"]),
+        "stage": F.element_at(stages, stage),
+        "depth": F.when(records > 1, F.least(F.lit(1.0), F.log10(records) / F.log10(F.lit(12.0))) * w["depth"]),
+        "span": F.when(span_days.isNotNull(), F.least(F.lit(1.0), span_days / 730.0) * w["span"]),
+        "venue": F.when(F.coalesce(venue, F.lit("")) == "", -0.5 * w["venue"]).when(venue.isin(*TOP_VENUES), w["venue"]).when(venue.isin(*MIDDLE_VENUES), 0.65 * w["venue"]).otherwise(0.3 * w["venue"]),
+        "target": F.when(watched, w["target"]),
+        "source": source * w["source"],
+        "recency": F.when(idle_days <= 90, w["recency"]).when(idle_days <= 365, 0.7 * w["recency"]).when(idle_days <= 730, 0.4 * w["recency"]),
+        "transaction": F.when(transactions, float(TRANSACTION)),
+    }
+    tenth = lambda x: F.floor(F.coalesce(x, F.lit(0.0)) * 10 + 0.5) / 10
+    rounded = {k: tenth(v) for k, v in points.items()}
+    total = sum(rounded.values(), F.lit(0.0))
+    score = tenth(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)))
+    return score, F.map_from_arrays(F.array(*map(F.lit, rounded)), F.array(*rounded.values()))
 
 
 def single_entity_hits(records: DataFrame, entities: DataFrame, id: str, text: str, market: str, entity: str) -> DataFrame:
@@ -171,17 +212,31 @@ def single_entity_hits(records: DataFrame, entities: DataFrame, id: str, text: s
 
 
 def without_contained(rows: DataFrame, group: str, value: str, least: int = 6) -> DataFrame:
-    """Rows whose value isn't a part of a longer value of the same group; values under ``least`` characters stay."""
-    longer = rows.groupBy(group).agg(F.collect_set(value).alias("__all"))
-    inside = F.exists("__all", lambda x: (F.length(x) > F.length(F.col(value))) & F.contains(x, F.col(value)))
-    return rows.join(longer, group).where((F.length(value) < least) | ~inside).drop("__all")
+    """Rows whose value isn't a part of a longer value of the same group; values under ``least`` characters stay.
+
+    A longer value offers each of its stretches of ``least`` characters; a value
+    asks with its first one, so only values that share it are compared.
+    """
+    values = rows.select(F.col(group).alias("__g"), F.col(value).alias("__v")).where(F.length("__v") >= least).distinct()
+    starts = F.sequence(F.lit(1), F.length("__v") - least + 1)
+    offered = values.select("__g", F.col("__v").alias("__long"), F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("__v", i, F.lit(least))))).alias("__gram"))
+    asked = values.withColumn("__gram", F.substring("__v", 1, least))
+    inside = (F.length("__long") > F.length("__v")) & F.contains(F.col("__long"), F.col("__v"))
+    parts = asked.join(offered, ["__g", "__gram"]).where(inside).select(F.col("__g").alias(group), F.col("__v").alias(value)).distinct()
+    return rows.join(parts, [group, value], "left_anti").select(*rows.columns)
 
 
 def merge_prefixes(keys: DataFrame, group: str, key: str) -> DataFrame:
-    """(group, key, merged): each key with the longest key of its group that it begins, at a word's end."""
-    all_ = keys.groupBy(group).agg(F.collect_set(key).alias("__all"))
-    longest = F.array_max(F.transform(F.filter("__all", lambda x: x.startswith(F.concat(F.col(key), F.lit(" ")))), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
-    return keys.select(group, key).distinct().join(all_, group).select(group, key, F.coalesce(longest["x"], F.col(key)).alias("merged"))
+    """(group, key, merged): each key with the longest key of its group that it begins, at a word's end.
+
+    Every key tells its own beginnings, so keys meet by equality.
+    """
+    each = keys.select(group, key).distinct()
+    words = F.split(key, " ")
+    begins = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+    longer = each.where(F.size(words) > 1).select(group, F.explode(begins).alias("__short"), F.col(key).alias("__long")).where(F.col("__long").startswith(F.concat(F.col("__short"), F.lit(" "))))
+    best = longer.groupBy(group, F.col("__short").alias(key)).agg(F.max_by("__long", F.struct(F.length("__long"), "__long")).alias("merged"))
+    return each.join(best, [group, key], "left").select(group, key, F.coalesce("merged", key).alias("merged"))
 
 
 def richest(rows: DataFrame, key: str, id: str, *columns: str) -> DataFrame:
@@ -242,10 +297,9 @@ def project_name(rungs: dict[str, Column], least: int = 1) -> Column:
 
 def parties(records: DataFrame, id: str, roles: dict[str, str], key) -> DataFrame:
     """(id, role, party, key): named parties of every record, one row a role and key; generic public bodies are refused."""
-    generic = r"^(city|county|town|village|state|board|department|office) of |^(city|county|state|council|commission|authority)$"
     told = F.array(*[F.struct(F.lit(r).alias("role"), F.trim(F.col(c)).alias("party")) for c, r in roles.items()])
     rows = records.select(id, F.inline(told)).where(F.length("party") > 0).withColumn("key", key("party"))
-    return rows.where((F.length("key") >= 4) & ~F.col("key").rlike(generic)).groupBy(id, "role", "key").agg(F.min("party").alias("party")).select(id, "role", "party", "key")
+    return rows.where(~is_generic_party("key")).groupBy(id, "role", "key").agg(F.min("party").alias("party")).select(id, "role", "party", "key")
 
 
 def party_blocks(parties_: DataFrame, id: str) -> DataFrame:

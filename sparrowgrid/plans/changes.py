@@ -193,24 +193,29 @@ def project_liveness(spark, sf_dir):
 
 @query(
     "significance_score",
-    """WITH a AS (SELECT l_orderkey, count(*) AS n, max(l_extendedprice) AS money, bool_or(l_returnflag = 'R') AS target, date_diff('day', min(l_shipdate), max(l_shipdate)) AS span, bool_and(l_linestatus = 'F') AS pen FROM lineitem GROUP BY 1),
-         p AS (SELECT l_orderkey, least(10.0, greatest(0.0, (log10(money) - 4) / 5 * 10)) AS money, CASE WHEN n <= 1 THEN 0 ELSE least(1.0, log10(n) / log10(12)) * 12 END AS depth,
-           CASE WHEN target THEN 15 ELSE 0 END AS target, CASE WHEN n >= 2 THEN least(1.0, span / 730.0::DOUBLE) * 3 ELSE 0 END AS span, CASE WHEN pen THEN -12 ELSE 0 END AS pen FROM a)
-       SELECT l_orderkey, floor(greatest(0, least(100, money + depth + target + span + pen)) * 10 + 0.5) / 10 AS score FROM p""",
+    """WITH a AS (SELECT l_orderkey, count(*) AS n, max(l_extendedprice) * 1000 AS money, bool_or(l_returnflag = 'R') AS target, date_diff('day', min(l_shipdate), max(l_shipdate)) AS span,
+           date_diff('day', max(l_shipdate), TIMESTAMP '1998-12-01') AS idle, bool_and(l_linestatus = 'F') AS pen, max(CASE l_suppkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 6 ELSE 3 END) AS src FROM lineitem GROUP BY 1),
+         b AS (SELECT a.*, o_custkey AS c, o_orderstatus AS s, o_orderpriority AS p FROM a JOIN orders ON o_orderkey = l_orderkey),
+         p AS (SELECT l_orderkey, CASE WHEN money < 1e5 THEN 0 ELSE least(1, (log10(money) - 5) / 4) * 10 END AS m, CASE WHEN c % 3 <> 0 THEN 10 ELSE 0 END AS party, CASE WHEN c % 2 = 0 THEN 8 ELSE 0 END AS rep,
+           CASE s WHEN 'F' THEN 14 WHEN 'O' THEN 6 ELSE 2 END AS stage, CASE WHEN n <= 1 THEN 0 ELSE least(1, log10(n) / log10(12)) * 12 END AS depth, CASE WHEN n >= 2 THEN least(1, span / 730.0::DOUBLE) * 3 ELSE 0 END AS spn,
+           CASE p WHEN '1-URGENT' THEN 12 WHEN '2-HIGH' THEN 7.8 WHEN '3-MEDIUM' THEN 3.6 ELSE -6 END AS venue, CASE WHEN target THEN 15 ELSE 0 END AS target, src * 0.8::DOUBLE AS source,
+           CASE WHEN idle <= 90 THEN 4 WHEN idle <= 365 THEN 2.8 WHEN idle <= 730 THEN 1.6 ELSE 0 END AS rec, CASE WHEN pen THEN -12 ELSE 0 END AS pen FROM b),
+         r AS (SELECT l_orderkey, floor(m * 10 + 0.5) / 10 + party + rep + stage + floor(depth * 10 + 0.5) / 10 + floor(spn * 10 + 0.5) / 10 + venue::DOUBLE + target + floor(source * 10 + 0.5) / 10 + rec::DOUBLE + pen AS total FROM p)
+       SELECT l_orderkey, floor(greatest(0, least(100, total)) * 10 + 0.5) / 10 AS score FROM r""",
 )
 def significance_score(spark, sf_dir):
-    """Projects scored by money, depth, target and span, less a penalty for pure transactions."""
-    n = F.count("*")
-    day = F.col("l_shipdate").cast("date")
+    """Projects scored by all ten signals, less a penalty for pure transactions."""
+    day, supp = F.col("l_shipdate").cast("date"), F.col("l_suppkey") % 3
+    source = F.when(supp == 0, "legistar").when(supp == 1, "nyc-city-record").otherwise("press")
     per = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        n.alias("n"), F.max("l_extendedprice").alias("money"), F.bool_or(F.col("l_returnflag") == "R").alias("target"), F.datediff(F.max(day), F.min(day)).alias("span"), F.bool_and(F.col("l_linestatus") == "F").alias("pen")
-    )
-    n = F.col("n")
-    points = {
-        "money": X.money_points(F.col("money")),
-        "depth": F.when(n <= 1, 0.0).otherwise(F.least(F.lit(1.0), F.log10(n) / F.log10(F.lit(12.0))) * 12),
-        "target": F.when(F.col("target"), 15.0).otherwise(0.0),
-        "span": F.when(n >= 2, F.least(F.lit(1.0), F.col("span") / 730.0) * 3).otherwise(0.0),
-    }
-    score, _ = E.significance(points, F.when(F.col("pen"), -12.0).otherwise(0.0))
-    return per.select("l_orderkey", score.alias("score"))
+        F.count("*").alias("n"), F.max("l_extendedprice").alias("price"), F.bool_or(F.col("l_returnflag") == "R").alias("target"), F.datediff(F.max(day), F.min(day)).alias("span"),
+        F.datediff(F.lit("1998-12-01").cast("date"), F.max(day)).alias("idle"), F.bool_and(F.col("l_linestatus") == "F").alias("pen"), F.max(E.source_share(source)).alias("source"),
+    )
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus", "o_orderpriority")
+    s, p = F.col("o_orderstatus"), F.col("o_orderpriority")
+    score, _ = E.significance(
+        amount=F.col("price") * 1000, private=F.col("o_custkey") % 3 != 0, represented=F.col("o_custkey") % 2 == 0, stage=F.when(s == "F", "approved").when(s == "O", "filed").otherwise("stalled"),
+        records=F.col("n"), span_days=F.when(F.col("n") >= 2, F.col("span")), venue=F.when(p == "1-URGENT", "Theme Park").when(p == "2-HIGH", "Hotel").when(p == "3-MEDIUM", "Mixed-Use Development"),
+        watched=F.col("target"), source=F.col("source"), idle_days=F.col("idle"), transactions=F.col("pen"),
+    )
+    return per.join(o, "l_orderkey").select("l_orderkey", score.alias("score"))

@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
 
 
 # each module registers its queries as it is imported
-from sparrowgrid.plans import aggregates, changes, entities, ranked, register, relations, reports, streams, texts  # noqa: E402, F401
+from sparrowgrid.plans import aggregates, changes, entities, facts, gates, places, ranked, register, relations, reports, streams, texts  # noqa: E402, F401
