@@ -14,8 +14,8 @@ intervals, and an interval of ``length`` or more bytes whose occurrences have
 different left bytes is a maximal repeat group with all its occurrences.  Those
 in documents other than the smallest are removed.
 
-The slices' own rows travel beside their strings, compressed, and meet the
-spans that the buckets found: no text is shuffled a second time in full.
+The spans that the buckets found are written; then the slices' own rows travel
+compressed and meet them, so that strings and rows are never on disk together.
 """
 
 from __future__ import annotations
@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparrowgrid.llm.common import bounded
+from sparrowgrid.llm.common import bounded, release, written
 
 #: Length of the sub-strings that minimisers are taken from: long enough that a common word alone is none.
 GRAM = 16
 #: Bytes of text that a task works on at once, and that a bucket stands for; a bucket is worked on in so many parts.
 SLICE, BUCKET, PARTS = 2 << 20, 8 << 20, 8
+#: The key of a slice's own rows.
+FRAME = -(1 << 62)
 _P = 0x9E3779B97F4A7C15
 _WRAP = 2**64 - 1
 
@@ -292,42 +294,64 @@ def _strings(tables) -> list[tuple]:
     return [tuple(np.concatenate(c) for c in zip(*part, strict=True)) for part in parts if part]
 
 
-def _sent(df: DataFrame, id: str, text: str, length: int) -> DataFrame:
-    """(key, slice, blob): every slice's strings under their bucket, and under a negative key its rows with the spans it has settled."""
-    total = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string")).cast("long")), F.lit(0))).first()[0]
-    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+def _parts(df: DataFrame, id: str, text: str):
+    """(rows with a plain id and text, a function that cuts their batches into named slices)."""
     rows = df.withColumns({"__id": F.col(id).cast("long"), "__text": F.col(text).cast("string")})
 
-    def deal(batches):
+    def named(batches):
+        """(name, number, slice) of all slices; the same in every job that reads the rows in the same order."""
         place, number = TaskContext.get().partitionId(), 0
         for whole in batches:
             for part in bounded([whole], "__text", SLICE):
-                ids = part.column(part.schema.get_field_index("__id"))
-                values = part.column(part.schema.get_field_index("__text"))
-                plain = pa.RecordBatch.from_arrays(part.columns[:-2], schema=pa.schema(list(part.schema)[:-2]))
-                raw = ids.fill_null(0).to_numpy(zero_copy_only=False)
-                spans, out = [[np.zeros(0, t)] for t in _SPANS], []
-                for texts, at, offsets in _segments(values, ids, length):
-                    settled, dealt = _deal(texts, at, offsets, raw, length, buckets)
-                    for held, new in zip(spans, settled, strict=True):
-                        held.append(new)
-                    out += dealt
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, plain.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                    writer.write_batch(plain)
-                frame = sink.getvalue().to_pybytes()
-                # its content is part of a slice's name: what a lost task sends anew in another order doesn't mingle with the old
-                name = xxhash.xxh64_intdigest(frame, (place << 24) + number) - (1 << 63)
                 number += 1
-                head = np.array([len(out), len(frame)], np.int64).tobytes()
-                out.append((-((place << 24) + number), head + frame + _pack(*(np.concatenate(x) for x in spans))))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in out], pa.int64()), pa.array([name] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["key", "slice", "blob"]
-                )
+                mark = xxhash.xxh64(seed=(place << 24) + number)
+                ids, texts = part.column(part.schema.get_field_index("__id")), part.column(part.schema.get_field_index("__text"))
+                mark.update(ids.fill_null(-1).to_numpy(zero_copy_only=False).tobytes())
+                for value in texts:
+                    if value.is_valid:
+                        mark.update(value.as_buffer())
+                yield mark.intdigest() - (1 << 63), -((place << 24) + number), part
+
+    return rows, named
+
+
+def _sent(df: DataFrame, id: str, text: str, length: int) -> DataFrame:
+    """(key, slice, blob): every slice's strings under their bucket, and under a negative key how many buckets it asked and the spans that it has settled."""
+    total = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string")).cast("long")), F.lit(0))).first()[0]
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    rows, named = _parts(df, id, text)
+
+    def deal(batches):
+        for name, key, part in named(batches):
+            ids = part.column(part.schema.get_field_index("__id"))
+            raw = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            spans, out = [[np.zeros(0, t)] for t in _SPANS], []
+            for texts, at, offsets in _segments(part.column(part.schema.get_field_index("__text")), ids, length):
+                settled, dealt = _deal(texts, at, offsets, raw, length, buckets)
+                for held, new in zip(spans, settled, strict=True):
+                    held.append(new)
+                out += dealt
+            out.append((key, np.array([len(out)], np.int64).tobytes() + _pack(*(np.concatenate(x) for x in spans))))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([name] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["key", "slice", "blob"])
 
     return rows.mapInArrow(deal, _ROW)
 
 
+def _frames(df: DataFrame, id: str, text: str) -> DataFrame:
+    """(key, slice, blob): the slices' own rows, compressed, under the key ``FRAME``."""
+    rows, named = _parts(df, id, text)
+
+    def frame(batches):
+        for name, _, part in named(batches):
+            plain = pa.RecordBatch.from_arrays(part.columns[:-2], schema=pa.schema(list(part.schema)[:-2]))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, plain.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(plain)
+            yield pa.RecordBatch.from_arrays([pa.array([FRAME]), pa.array([name], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["key", "slice", "blob"])
+
+    return rows.mapInArrow(frame, _ROW)
+
+
 def repeat_groups(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
     """(repeat, size, id, start): the maximal repeat groups over different documents, with all their occurrences.
 
@@ -382,13 +406,13 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
 
     def cut(table: pa.Table) -> pa.Table:
         keys = table.column("key").to_pylist()
-        least = min(range(len(keys)), key=keys.__getitem__)
-        head = table.column("blob")[least].as_py()
-        sent, size = np.frombuffer(head, np.int64, 2).tolist() if keys[least] < 0 else (-1, 0)
-        if sent != len(keys) - 1:
-            raise RuntimeError("a lost task's texts came back in another order; run the job again, on a written table")
-        batch = pa.ipc.open_stream(pa.py_buffer(head)[16 : 16 + size]).read_all().combine_chunks()
-        blobs = [head[16 + size :], *(table.column("blob")[i].as_py() for i in range(len(keys)) if i != least)]
+        own = [i for i, k in enumerate(keys) if k == FRAME]
+        told = [i for i, k in enumerate(keys) if FRAME < k < 0]
+        found = [table.column("blob")[i].as_py() for i, k in enumerate(keys) if k >= 0]
+        if len(own) != 1 or len(told) != 1 or np.frombuffer(head := table.column("blob")[told[0]].as_py(), np.int64, 1)[0] != len(found):
+            raise RuntimeError("texts came back in another order; run the job again, on a written table")
+        batch = pa.ipc.open_stream(table.column("blob")[own[0]].as_buffer()).read_all().combine_chunks()
+        blobs = [head[8:], *found]
         rows, starts, ends = (np.concatenate(c) for c in zip(*(_unpack(x, *_SPANS) for x in blobs), strict=True))
         order = np.lexsort((starts, rows))
         rows, starts, ends = rows[order], starts[order], ends[order]
@@ -410,7 +434,10 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
         made = [pa.array(x, pa.list_(pa.int64())) for x in lists] + [pa.array(kept, pa.binary())]
         return pa.table([*batch.columns, *made], names=[*batch.column_names, "starts", "ends", "kept"])
 
-    return _sent(plain, id, text, length).groupBy("key").applyInArrow(find, _ROW).groupBy("slice").applyInArrow(cut, schema)
+    # the strings are gone before the rows come
+    spans = written(_sent(plain, id, text, length).groupBy("key").applyInArrow(find, _ROW), "spans")
+    release(df.sparkSession)
+    return _frames(plain, id, text).unionByName(spans).groupBy("slice").applyInArrow(cut, schema)
 
 
 def clean_documents(df: DataFrame, length: int = 50) -> DataFrame:
