@@ -104,3 +104,10 @@ def disambiguate(df: DataFrame, name: str, *suffixes: str) -> DataFrame:
         labels.append(F.when(F.col(f"__n{k}").isNotNull(), F.concat(F.col(name), F.lit(" ("), F.col(s).cast("string"), F.lit(")"))))
     label = F.when(F.col("__all") > 1, F.coalesce(*labels, F.col(name))).otherwise(F.col(name))
     return out.select(*df.columns, label.alias("label"))
+
+
+def best_alternative(rows: DataFrame, key: str, source: str, order: Sequence[str]) -> DataFrame:
+    """Of each key's rows the one whose source comes first in ``order``; other sources count after those, by name."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(source))
+    rank = F.struct(F.when(place > 0, place).otherwise(len(order) + 1), source)
+    return rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), rank).alias("__best")).select(key, "__best.*")

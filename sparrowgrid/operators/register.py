@@ -71,3 +71,18 @@ def diff(before: DataFrame, after: DataFrame, key: str, columns: Sequence[str])
     change = F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "gone").otherwise("changed")
     out = both.select(key, change.alias("change"), F.when(change == "changed", changed).alias("columns"))
     return out.where((F.col("change") != "changed") | (F.size("columns") > 0))
+
+
+def facet_or(stored: DataFrame, rows: DataFrame, field: str, query: RecordQuery | None = None) -> DataFrame:
+    """(value, n) from stored counts; from the rows where none are stored. One plan: the rows count only if the stored counts are empty."""
+    some = stored.agg(F.count("*").alias("__have"))
+    counted = facet(rows, field, query).join(F.broadcast(some)).where("__have = 0").drop("__have")
+    return stored.select("value", "n").unionByName(counted)
+
+
+def held_out(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:
+    """(why, n): rows by the first rule that holds them back; others are 'shown'."""
+    why = F.lit("shown")
+    for name, p in reversed(list(rules)):
+        why = F.when(F.coalesce(p, F.lit(False)), name).otherwise(why)
+    return df.groupBy(why.alias("why")).agg(F.count("*").alias("n"))

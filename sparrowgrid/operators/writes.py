@@ -74,3 +74,66 @@ def change_events(before: DataFrame, after: DataFrame, key: str, fields: dict[st
 def lifecycle(df: DataFrame, now, text: str, deadline: str, dead_pattern: str) -> DataFrame:
     """``lifecycle``: dead by its notice's words, expired by its deadline, else active."""
     return df.withColumn("lifecycle", F.when(F.col(text).rlike(dead_pattern), "dead").when(F.col(deadline) < F.lit(now), "expired").otherwise("active"))
+
+
+def plain_upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """New rows over stored ones; of repeated new rows one must have been chosen. Columns that new rows lack keep their stored value."""
+    columns = [c for c in stored.columns if c != key]
+    fresh = new.select(key, F.struct(*[c for c in columns if c in new.columns]).alias("__new"))
+    both = stored.join(fresh, key, "full")
+    return both.select(key, *[F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in new.columns else F.col(c) for c in columns])
+
+
+def move_records(stored: DataFrame, moves: DataFrame, record: str) -> DataFrame:
+    """Records (project_id, cluster_reason) after moves by hand (record, to): a null target detaches for good, another attaches as manual."""
+    told = moves.select(record, "to", F.lit(True).alias("__moved"))
+    rows = stored.join(told, record, "left")
+    moved = F.coalesce("__moved", F.lit(False))
+    project = F.when(moved, F.col("to")).otherwise(F.col("project_id"))
+    reason = F.when(moved, F.when(F.col("to").isNull(), "detached").otherwise("manual")).otherwise(F.col("cluster_reason"))
+    return rows.select(*[{"project_id": project, "cluster_reason": reason}.get(c, F.col(c)).alias(c) for c in stored.columns])
+
+
+def upsert_membership(stored: DataFrame, new: DataFrame, keys: Sequence[str], status: str = "status") -> DataFrame:
+    """Memberships with ``changed``: a decision (included, excluded) replaces what is stored, a proposal only what isn't there."""
+    told = new.select(*keys, F.col(status).alias("__new"))
+    rows = stored.join(told, list(keys), "full")
+    decides = F.coalesce(F.col("__new") != "proposed", F.lit(False)) | F.col(status).isNull()
+    now = F.when(decides, F.col("__new")).otherwise(F.col(status))
+    return rows.select(*keys, now.alias(status), (~now.eqNullSafe(F.col(status))).alias("changed"))
+
+
+def find_or_create(stored: DataFrame, wanted: DataFrame, id: str, name: str) -> DataFrame:
+    """(identity, id, created): each wanted name by its identity (case and spacing aside); the smallest stored id, or none yet."""
+    identity = F.lower(F.regexp_replace(F.trim(F.col(name)), r"\s+", " ")).alias("identity")
+    known = stored.select(identity, id).groupBy("identity").agg(F.min(id).alias(id))
+    asked = wanted.select(identity).where("identity <> ''").distinct()
+    return asked.join(known, "identity", "left").select("identity", id, F.col(id).isNull().alias("created"))
+
+
+def append_ledger(stored: DataFrame | None, new: DataFrame, identity: Sequence[str]) -> DataFrame:
+    """The ledger with new rows appended, written and read back; an error if a row is missing, and no identity twice."""
+    from sparrowgrid.operators.tables import written
+
+    fresh = new if stored is None else insert_absent(stored, new, identity)
+    whole = fresh if stored is None else stored.unionByName(fresh)
+    out = written(whole, "ledger")
+    there, distinct = out.count(), out.select(*identity).distinct().count()
+    if there != distinct:
+        raise ValueError(f"the ledger holds {there} rows of {distinct} identities")
+    return out
+
+
+def last_seen(state: DataFrame | None, seen: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """(keys, first_seen, last_seen, seen): the state of an inventory after another walk."""
+    walk = seen.groupBy(*keys).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count("*").alias("seen"))
+    if state is None:
+        return walk
+    return state.unionByName(walk).groupBy(*keys).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("seen").alias("seen"))
+
+
+def write_outcomes(written: DataFrame, clusters: DataFrame, id: str, component: str) -> DataFrame:
+    """(id, outcome) of records just written, after clustering: attached to others, created a project, or unclustered."""
+    sizes = clusters.where(F.col(component).isNotNull()).groupBy(component).agg(F.count("*").alias("__n"))
+    rows = written.select(id).join(clusters.select(id, component), id, "left").join(sizes, component, "left")
+    return rows.select(id, F.when(F.col("__n").isNull(), "unclustered").when(F.col("__n") == 1, "created").otherwise("attached").alias("outcome"))
