@@ -29,10 +29,12 @@ from sparrowgrid.llm.common import bounded
 
 MARK = "▁"
 NORMAL, BYTE, USER = 1, 6, 4
-#: Distinct units a worker remembers; beyond it the memory starts anew.
-UNITS_KEPT = 200_000
-#: Characters of remembered stretches, likewise.
-CHARS_KEPT = 8_000_000
+#: Distinct stretches of text a worker remembers, in each of two generations.
+UNITS_KEPT = 300_000
+#: Their characters, likewise.
+CHARS_KEPT = 4_000_000
+#: Pairs of tokens whose test a worker remembers.
+PAIRS_KEPT = 1_000_000
 
 
 class PrefixTable:
@@ -63,12 +65,14 @@ class PrefixTable:
         self.automaton = ahocorasick.Automaton()
         for t, i in self.ids.items():
             if i in self.reachable:
-                self.automaton.add_word(t, (len(t), i))
+                self.automaton.add_word(t, i)
         self.automaton.make_automaton()
+        self.sizes = [len(t) for t in self.text]
+        self.characters = {t for t in self.ids if len(t) == 1}
         apart = "" if "\n" in self.ids or any("\n" in t for t in self.ids) else "\n"
         self.units = re.compile(f"{MARK}*[^{MARK}{apart}]+|{MARK}+" + (f"|{apart}+" if apart else "")).findall
         self.splits_at_marks = not any(MARK in t.lstrip(MARK) for t in self.ids)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.parts, self.known = _Units(self), _Stretches(self)
 
     def _merged(self, word: str) -> list[int]:
@@ -107,47 +111,47 @@ class PrefixTable:
             else:
                 bound, right_waits, b = rank[b], True, split[b][0]
 
-    def encode_unit(self, unit: str) -> tuple[int, ...]:
+    def encode_unit(self, unit: str) -> list[int]:
         """Ids of one unit; negative entries of the table are characters outside the vocabulary."""
-        size = len(unit)
+        size, sizes, pairs = len(unit), self.sizes, self.pairs
         last: list[int | None] = [None] * (size + 1)
-        length = [0] * (size + 1)
-        pairs, compatible = self.pairs, self.compatible
-        ends: dict[int, list[tuple[int, int]]] = {}
-        for end, found in self.automaton.iter(unit):
-            ends.setdefault(end + 1, []).append(found)
-        for j in range(1, size + 1):
-            for n, token in ends.get(j, ()):
-                i = j - n
+        if not self.characters.issuperset(unit):
+            for j, c in enumerate(unit, 1):
+                if c not in self.characters:
+                    last[j] = -1 - ord(c)
+        # matches come by their ends, the longest of an end first: the first that fits is the prefix's last token
+        for end, token in self.automaton.iter(unit):
+            j = end + 1
+            if last[j] is None:
+                i = j - sizes[token]
                 if i:
                     before = last[i]
                     if before is None:
                         continue
-                    fits = pairs.get((before, token))
+                    pair = before << 20 | token
+                    fits = pairs.get(pair)
                     if fits is None:
-                        if len(pairs) > 1_000_000:
+                        if len(pairs) > PAIRS_KEPT:
                             pairs.clear()
-                        fits = pairs[before, token] = compatible(before, token)
+                        fits = pairs[pair] = self.compatible(before, token)
                     if not fits:
                         continue
-                last[j], length[j] = token, n
-                break
-            else:
-                if unit[j - 1] not in self.ids:
-                    last[j], length[j] = -1 - ord(unit[j - 1]), 1
+                last[j] = token
         out: list[int] = []
         j = size
         while j:
             token = last[j]
             if token >= 0:
                 out.append(token)
-            elif self.byte_ids:
+                j -= sizes[token]
+                continue
+            if self.byte_ids:
                 out.extend(self.byte_ids[x] for x in reversed(chr(-1 - token).encode("utf-8")))
             else:
                 out.append(self.unknown)
-            j -= length[j]
+            j -= 1
         out.reverse()
-        return tuple(out)
+        return out
 
     def encode_arrays(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of the texts in them)."""
@@ -172,6 +176,8 @@ class PrefixTable:
 
     def encode_units(self, marked: str) -> list[int]:
         """Ids of a text whose spaces are marks."""
+        if self.splits_at_marks and "\n" not in marked and MARK not in marked[1:]:
+            return self.encode_unit(marked)
         units = self.units(marked) if self.splits_at_marks else [marked]
         return list(chain.from_iterable(map(self.parts.__getitem__, units)))
 
@@ -191,28 +197,40 @@ class _Units(dict):
         super().__init__()
         self.owner = table
 
-    def __missing__(self, unit: str) -> tuple[int, ...]:
+    def __missing__(self, unit: str) -> list[int]:
         ids = self.owner.encode_unit(unit)
         if len(unit) <= 48:
-            if len(self) >= UNITS_KEPT:
+            if len(self) >= UNITS_KEPT // 4:
                 self.clear()
             self[unit] = ids
         return ids
 
 
 class _Stretches(dict):
-    """Numbers of stretches of text, whose ids lie in one array; a whole text that isn't cut stands as a tuple."""
+    """Numbers of stretches of text, whose ids lie in one array; a whole text that isn't cut stands as a tuple.
+
+    There are two generations: when one is full it becomes the old one, from
+    which stretches that are met again move over.
+    """
 
     def __init__(self, table: PrefixTable):
         super().__init__()
-        self.owner, self.new, self.chars = table, [], 0
+        self.owner, self.old = table, ({}, np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self._begin()
+
+    def _begin(self) -> None:
+        self.new, self.chars = [], 0
         self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __missing__(self, stretch: str | tuple[str]) -> int:
-        plain = stretch if isinstance(stretch, str) else stretch[0].replace(" ", MARK)
-        marked = MARK + plain if self.owner.dummy_prefix else plain
-        self.new.append(self.owner.encode_units(marked))
-        self.chars += len(plain)
+        numbers, flat, starts, lengths = self.old
+        known = numbers.get(stretch)
+        if known is None:
+            plain = stretch if isinstance(stretch, str) else stretch[0].replace(" ", MARK)
+            self.new.append(self.owner.encode_units(MARK + plain if self.owner.dummy_prefix else plain))
+        else:
+            self.new.append(flat[starts[known] : starts[known] + lengths[known]].tolist())
+        self.chars += len(stretch) if isinstance(stretch, str) else len(stretch[0])
         self[stretch] = number = len(self.lengths) + len(self.new) - 1
         return number
 
@@ -227,8 +245,9 @@ class _Stretches(dict):
 
     def shrink(self) -> None:
         if len(self) > UNITS_KEPT or self.chars > CHARS_KEPT:
+            self.old = (dict(self), *self.table())
             self.clear()
-            self.__init__(self.owner)
+            self._begin()
 
 
 @lru_cache(maxsize=2)
