@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from sparrowgrid.functions.predicates import col
 
-ROLLING = {"24h": 1, "7d": 7, "30d": 30}
-
-
 @dataclass(frozen=True)
 class Period:
     key: str
@@ -31,40 +28,51 @@ class Period:
         return out
 
 
-def _next_month(d: datetime) -> datetime:
-    return datetime(d.year + d.month // 12, d.month % 12 + 1, 1)
+def _month(year: int, month: int) -> tuple[datetime, datetime]:
+    """A calendar month as [first day, first day of the next); months beyond the year roll over."""
+    years, rest = divmod(year * 12 + month - 1, 12)
+    first = datetime(years, rest + 1, 1)
+    return first, datetime(years + rest // 11, (rest + 1) % 12 + 1, 1)
+
+
+def _day(now: datetime) -> datetime:
+    return now.replace(hour=0, minute=0, second=0, microsecond=0)
+
+
+# The tokens. Each gives (since, until) from its match, the moment and the last visit; a ValueError makes it a bad token.
+_TOKENS = {
+    r"all": lambda m, now, visit: (None, None),
+    r"visit": lambda m, now, visit: (visit, None),
+    r"24h": lambda m, now, visit: (now - timedelta(days=1), None),
+    r"(7|30)d": lambda m, now, visit: (now - timedelta(days=int(m[1])), None),
+    r"this-week": lambda m, now, visit: (_day(now) - timedelta(days=now.weekday()), None),
+    r"this-month": lambda m, now, visit: (_month(now.year, now.month)[0], None),
+    r"last-month": lambda m, now, visit: _month(now.year, now.month - 1),
+    r"m:(\d{4})-(0[1-9]|1[0-2])": lambda m, now, visit: _month(int(m[1]), int(m[2])),
+    r"c:(\d{4}-\d{2}-\d{2})\.\.(\d{4}-\d{2}-\d{2})": lambda m, now, visit: _span(datetime.fromisoformat(m[1]), datetime.fromisoformat(m[2])),
+}
+#: What a bad token means.
+DEFAULT = "30d"
+
+
+def _span(first: datetime, last: datetime) -> tuple[datetime, datetime]:
+    """Both days and what lies between."""
+    if last < first:
+        raise ValueError("a span ends before it begins")
+    return first, last + timedelta(days=1)
 
 
 def resolve(token: str | None, now: datetime, visit: datetime | None = None) -> Period:
-    """A period from its token: all, visit, 24h, 7d, 30d, this-week, this-month, last-month, m:YYYY-MM, c:day..day; others mean 30d."""
-    key = (token or "30d").strip()
-    midnight = datetime(now.year, now.month, now.day)
-    if key == "all":
-        return Period(key)
-    if key == "visit":
-        return Period(key, visit)
-    if key in ROLLING:
-        return Period(key, now - timedelta(days=ROLLING[key]))
-    if key == "this-week":
-        return Period(key, midnight - timedelta(days=now.weekday()))
-    this_month = datetime(now.year, now.month, 1)
-    if key == "this-month":
-        return Period(key, this_month)
-    if key == "last-month":
-        before = this_month - timedelta(days=1)
-        return Period(key, datetime(before.year, before.month, 1), this_month, True)
-    if m := re.fullmatch(r"m:(\d{4})-(\d{2})", key):
-        if 1 <= int(m[2]) <= 12:
-            start = datetime(int(m[1]), int(m[2]), 1)
-            return Period(key, start, _next_month(start), _next_month(start) <= now)
-    if m := re.fullmatch(r"c:(\d{4}-\d{2}-\d{2})\.\.(\d{4}-\d{2}-\d{2})", key):
-        try:
-            start, last = (datetime.fromisoformat(x) for x in m.groups())
-        except ValueError:
-            return resolve("30d", now)
-        if start <= last:
-            return Period(key, start, last + timedelta(days=1), last + timedelta(days=1) <= now)
-    return resolve("30d", now)
+    """The period a token names, closed if it has an end that isn't ahead; the last 30 days for a bad one."""
+    key = (token or DEFAULT).strip()
+    for pattern, bounds in _TOKENS.items():
+        if found := re.fullmatch(pattern, key):
+            try:
+                since, until = bounds(found, now, visit)
+            except ValueError:
+                break
+            return Period(key, since, until, until is not None and until <= now)
+    return resolve(DEFAULT, now)
 
 
 def weeks(since: date, until: date) -> Column:

@@ -52,7 +52,7 @@ def ranked(df: DataFrame, stratum: str, *order: str) -> DataFrame:
 
     Rows are dealt by ranges of (stratum, order) and written; a row's rank is
     its place in its partition and the rows of its stratum in the partitions
-    before.  Only a row for each partition and stratum is broadcast.
+    before.
     """
     rows = df.repartitionByRange(stratum, *order).sortWithinPartitions(stratum, *order)
     placed = written(rows.withColumn("__at", F.monotonically_increasing_id()), "ranked")
@@ -61,7 +61,7 @@ def ranked(df: DataFrame, stratum: str, *order: str) -> DataFrame:
     w = Window.partitionBy(stratum)
     before = F.sum("__n").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("__part", F.col(stratum).alias("__stratum"), (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__offset"), F.sum("__n").over(w).alias("size"))
-    joined = placed.withColumn("__p", part).join(F.broadcast(offsets), (F.col("__p") == F.col("__part")) & F.col(stratum).eqNullSafe(F.col("__stratum")))
+    joined = placed.withColumn("__p", part).join(offsets, (F.col("__p") == F.col("__part")) & F.col(stratum).eqNullSafe(F.col("__stratum")))
     return joined.select(*df.columns, (place + F.col("__offset")).alias("rank"), "size")
 
 

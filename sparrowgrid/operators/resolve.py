@@ -8,28 +8,23 @@ from pyspark.sql import functions as F
 
 from sparrowgrid.functions.rules import STAGES, UNPROVEN, stage_rank
 from sparrowgrid.functions.text import is_generic_party, money_points, similarity
-from sparrowgrid.operators.tables import written
+from sparrowgrid.operators.graph import components
+from sparrowgrid.operators.tables import drop, written
 
 
 def connected(signals: DataFrame, record: str, key: str) -> DataFrame:
     """(record, component): records joined by any common key, the component being its smallest record.
 
-    Labels spread from records to keys and back by partial aggregates until
-    none changes; each key first points at its smallest record, so a key with
-    very many records costs one row each and is never gathered.
+    Each key links its records to the smallest of them, so a key with very many
+    records costs one row each and is never gathered.  Null keys link nothing.
     """
     edges = written(signals.select(F.col(record).alias("r"), F.col(key).alias("k")).distinct(), "signals")
-    labels = written(edges.groupBy("r").agg(F.min("r").alias("c")), "labels")
-    while True:
-        of_key = edges.join(labels, "r").groupBy("k").agg(F.min("c").alias("c"))
-        spread = edges.join(of_key, "k").groupBy("r").agg(F.min("c").alias("c2"))
-        # the label's own label: halves the way to the smallest record
-        jump = labels.select(F.col("r").alias("c2"), F.col("c").alias("c3"))
-        new = labels.join(spread, "r").join(jump, "c2").select("r", F.least("c2", "c3").alias("c"), F.col("c").alias("was"))
-        new = written(new, "labels")
-        if new.where("c <> was").isEmpty():
-            return new.select(F.col("r").alias(record), F.col("c").alias("component"))
-        labels = new.select("r", "c")
+    first = edges.groupBy("k").agg(F.min("r").alias("a"))
+    parts = components(edges.join(first, "k").where("r <> a").select("a", F.col("r").alias("b")), "a", "b")
+    every = edges.select("r").distinct().join(parts.withColumnRenamed("node", "r"), "r", "left")
+    out = written(every.select(F.col("r").alias(record), F.coalesce("component", "r").alias("component")), "connected")
+    drop(edges, parts)
+    return out
 
 
 def guarded_components(signals: DataFrame, record: str, key: str, target: str) -> DataFrame:
@@ -79,24 +74,36 @@ def guarded_components(signals: DataFrame, record: str, key: str, target: str) -
 
 
 def fuzzy_pairs(df: DataFrame, id: str, name: str, block: Column, least: float = 0.9, chars: int = 10) -> DataFrame:
-    """(a, b, similarity) of names in one block with a similarity of ``least`` or more; both of ``chars`` or more characters."""
+    """(a, b, similarity) of names in one block with a similarity of ``least`` or more; both of ``chars`` or more characters.
+
+    The edit distance stops where it is too large to count.
+    """
     long = df.where(F.length(name) >= chars).select(F.col(id).alias("a"), F.col(name).alias("x"), block.alias("block"), F.length(name).alias("n"))
     other = long.select(F.col("a").alias("b"), F.col("x").alias("y"), "block", F.col("n").alias("m"))
+    most = F.floor((1 - least) * F.greatest("n", "m") + 1e-9).cast("int")
     near = long.join(other, "block").where((F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m")))
-    return near.select("a", "b", similarity("x", "y").alias("similarity")).where(F.col("similarity") >= least)
+    apart = F.call_function("levenshtein", F.col("x"), F.col("y"), most)
+    return near.where(apart >= 0).select("a", "b", similarity("x", "y").alias("similarity")).where(F.col("similarity") >= least)
 
 
 def consolidate(names: DataFrame, name: str = "name", least: float = 0.9) -> DataFrame:
     """(name, canonical): sorted names, each taking the first earlier one it is like; the shorter of two wins.
 
-    Only names with one first word can match, so blocks by it are exact.
+    Only names with one first word can match.  Similar pairs are found by joins;
+    the order is replayed inside each group of names that such pairs connect,
+    and a name without a pair is its own.
     """
+    each = written(names.select(F.col(name).alias("name")).where(F.col("name") != "").distinct(), "names")
+    pairs = written(fuzzy_pairs(each.withColumn("id", F.col("name")), "id", "name", F.split("name", " ")[0], least), "alike").select("a", "b")
+    parts = components(pairs, "a", "b")
+    grouped = pairs.join(parts.select(F.col("node").alias("a"), "component"), "a")
 
-    def fold(block: pd.DataFrame) -> pd.DataFrame:
+    def replay(group: pd.DataFrame) -> pd.DataFrame:
+        like = set(zip(group["a"], group["b"], strict=True))
         found: dict[str, str] = {}
         canon: list[str] = []
-        for n in sorted(block["name"]):
-            match = next((c for c in canon if _similar(c, n) >= least), None)
+        for n in sorted({*group["a"], *group["b"]}):
+            match = next((c for c in canon if (min(c, n), max(c, n)) in like), None)
             if match is None:
                 canon.append(n)
                 found[n] = n
@@ -107,19 +114,8 @@ def consolidate(names: DataFrame, name: str = "name", least: float = 0.9) -> Dat
                 found[n] = match
         return pd.DataFrame({"name": list(found), "canonical": list(found.values())})
 
-    blocks = names.select(F.col(name).alias("name")).where(F.col("name") != "").distinct().withColumn("block", F.split("name", " ")[0])
-    return blocks.groupBy("block").applyInPandas(fold, "name string, canonical string")
-
-
-def _similar(a: str, b: str) -> float:
-    if min(len(a), len(b)) < 10:
-        return 1.0 if a == b else 0.0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return 1 - row[-1] / max(len(a), len(b))
+    told = grouped.groupBy("component").applyInPandas(replay, "name string, canonical string")
+    return each.join(told, "name", "left").select("name", F.coalesce("canonical", "name").alias("canonical"))
 
 
 def proven_stage(evidence: DataFrame, project: str, stage: str, filing: str, attributed: str) -> DataFrame:

@@ -45,7 +45,9 @@ def append_events(stored: DataFrame, new: DataFrame, identity: Sequence[str]) ->
     keyed = new.withColumn("__key", key)
     once = keyed.dropDuplicates(["__key"])
     fresh = once.join(stored.select(key.alias("__key")).distinct(), "__key", "left_anti")
-    counts = keyed.agg(F.count("*").alias("offered"), F.countDistinct("__key").alias("distinct")).crossJoin(F.broadcast(fresh.agg(F.count("*").alias("appended"))))
+    there = stored.select(key.alias("__key")).distinct().withColumn("__there", F.lit(True))
+    told = keyed.groupBy("__key").agg(F.count("*").alias("__n")).join(there, "__key", "left")
+    counts = told.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("offered"), F.count("*").alias("distinct"), F.count_if(F.col("__there").isNull()).alias("appended"))
     return fresh.drop("__key"), counts
 
 

@@ -21,7 +21,8 @@ def register_page(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").where(P.RecordQuery(without={"o_orderstatus": ["P"]}).compile())
     customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
     page = R.page(orders, "o_totalprice", "o_orderkey", number=2)
-    return page.join(customers, "o_custkey").select("o_orderkey", "o_orderstatus", "o_totalprice", "c_name", "c_mktsegment")
+    joined = page.join(customers, "o_custkey").select("o_orderkey", "o_orderstatus", "o_totalprice", "c_name", "c_mktsegment")
+    return joined.orderBy(F.desc_nulls_last("o_totalprice"), "o_orderkey")  # a join keeps no order
 
 
 @query(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from email import policy
+from email.parser import BytesParser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,3 +86,56 @@ def high_water(stored: DataFrame, by: str, day: str, now, overlap_days: int = 30
     floor = F.add_months(F.lit(now).cast("date"), -floor_months)
     newest = F.max(F.col(day).try_cast("date"))
     return stored.groupBy(by).agg(F.greatest(F.coalesce(F.date_sub(newest, overlap_days), floor), floor).alias("since"))
+
+
+def landed(sources: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
+    """(all sources that could be read under one schema, the others with their errors): one broken feed doesn't end a run."""
+    found, failed = {}, {}
+    for name, read in sources.items():
+        try:
+            found[name] = read()
+        except Exception as e:  # noqa: BLE001  whatever a feed does is told, not raised
+            failed[name] = f"{type(e).__name__}: {e}"[:300]
+    return (union_sources(found) if found else None), failed
+
+
+def emails(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sender, subject, sent, body): landed mail files, the first plain text part as body; a file that isn't mail has nulls."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [_mail(bytes(x)) for x in batch["content"]]
+            yield pd.DataFrame({"path": batch["path"], **{k: [r[i] for r in rows] for i, k in enumerate(("sender", "subject", "sent", "body"))}})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, sender string, subject string, sent string, body string")
+
+
+def _mail(raw: bytes) -> tuple[str | None, ...]:
+    message = BytesParser(policy=policy.default).parsebytes(raw)
+    part = message.get_body(preferencelist=("plain",))
+    told = [str(message[k]) if message[k] else None for k in ("From", "Subject", "Date")]
+    return (*told, part.get_content().strip() if part else None) if any(told) else (None,) * 4
+
+
+def with_attachments(records: DataFrame, attachments: DataFrame, url: str = "url", most: int = 20_000) -> DataFrame:
+    """Records with the text of their attachments (url, place, text) after their own, each cut to ``most`` characters; records without any stay as they are."""
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("place", F.substring("text", 1, most).alias("text")))), lambda x: x["text"])
+    per = attachments.where(F.trim("text") != "").groupBy(url).agg(F.array_join(lines, "\n\n").alias("__more"))
+    body = F.concat_ws("\n\n", "raw_content", "__more")
+    return records.join(per, url, "left").select(*[F.when(F.col("__more").isNotNull(), body).otherwise(F.col(c)).alias(c) if c == "raw_content" else F.col(c) for c in records.columns])
+
+
+def article_bodies(pages: DataFrame, html: str = "html", least: int = 40) -> DataFrame:
+    """Pages with ``body``: the text of their paragraphs of ``least`` characters or more, tags and character references gone; null without any."""
+    paragraphs = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</?p[\s>]|</article|</body|$)"), 1)
+    plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", " "), r"\s+", " "))
+    marks = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+    def unescaped(x):
+        for coded, sign in marks.items():
+            x = F.replace(x, F.lit(coded), F.lit(sign))
+        return x
+
+    kept = F.filter(F.transform(paragraphs, lambda x: unescaped(plain(x))), lambda x: F.length(x) >= least)
+    return pages.withColumn("body", F.when(F.size(kept) > 0, F.array_join(kept, "\n")))
