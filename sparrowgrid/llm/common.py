@@ -6,9 +6,9 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
+from sparrowgrid.operators.graph import components
 from sparrowgrid.operators.tables import drop, release, shared_dir, written
 
 __all__ = ["bounded", "components", "drop", "release", "settle", "shared_dir", "written"]
@@ -39,32 +39,3 @@ def bounded(batches, column: str, limit: int = SLICE_BYTES):
             held += size
         if start < len(sizes):
             yield batch.slice(start)
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an undirected edge list: (node, component) for every node that has an edge.
-
-    Alternating large-star and small-star rounds; each round is a partial
-    aggregate and a shuffled join, so a hub with many edges is never gathered.
-    Rounds grow with the logarithm of the graph's diameter; each is written to
-    the shared folder.  Self-edges and nulls are ignored.
-    """
-    now = written(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
-    )
-    seen = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            out = written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
-            drop(now)
-            return out
-        seen, before = state, now
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        drop(before)

@@ -404,8 +404,9 @@ def _sizes(batches, n: int):
 
 
 def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``df`` whose document is the smallest of its group; repeated rows of it shrink to one, rows with a null id all stay."""
+    """The rows of ``df`` whose document is the smallest of its group; equal rows of it shrink to one, different texts under one id and rows with a null id all stay."""
     groups = jaccard_groups(df, id, text, n, num, den)
-    dropped = groups.where(F.col(id) != F.col("component_id")).select(id).distinct()
-    known = df.where(F.col(id).isNotNull()).join(dropped, id, "left_anti").dropDuplicates([id])
+    # a document goes if a smaller one leads the group of any of its texts
+    dropped = groups.groupBy(id).agg(F.min("component_id").alias("__least")).where(F.col(id) != F.col("__least")).select(id)
+    known = df.where(F.col(id).isNotNull()).join(dropped, id, "left_anti").dropDuplicates([id, text])
     return known.select(*df.columns).unionByName(df.where(F.col(id).isNull()))

@@ -1,17 +1,21 @@
 """Language-model scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-Word counts of all training texts give the noise distribution and the classes:
-the most frequent words are classes of their own, all other words share one,
-inside which a word has its smoothed share of the counts, so that the model is
-a distribution over words.  Every task trains a copy of the model on all
-training texts of its partition (numpy, shared noise samples), and the copies
-are averaged with Spark by their numbers of tokens.  Scoring is normalised by
-batched matrix products over the classes, once per context and worker.
+Word counts of all training texts give the noise distributions, the vocabulary
+and its classes; a word's probability is its class's times its own inside the
+class, both normalised by batched matrix products.  Words beyond the vocabulary
+share one class, in which a word has its smoothed share of the counts.
+
+Training is dealt to shards by a hash of the document, as many as the tokens
+ask for and none that depends on how the input is partitioned.  In every round
+each shard trains a copy of the model (numpy) on its next part, and Spark
+averages the rows of the copies by how often they were updated; after the last
+round every training token has been learned from once.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from copy import deepcopy
 from dataclasses import dataclass
 from itertools import repeat
 from math import log10
@@ -21,23 +25,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm.common import bounded, written
+from sparrowgrid.llm.common import bounded, drop, release, written
 
 END = ""  # no word is empty
 #: Distinct words a counting task holds before it passes its counts on.
 HELD = 500_000
 
 
+#: Noise words kept for each class, and cells of a softmax held at a time.
+POOL, CELLS = 1024, 2_000_000
+
+
 @dataclass(frozen=True)
 class Settings:
-    classes: int = 1024
+    #: The vocabulary: the most frequent words, whose counts every worker has; others' counts are joined.
+    words: int = 65_535
+    classes: int = 256
     dim: int = 16
+    #: Noise samples for the class (shared by a batch) and for the word in its class (each token's own).
     noise: int = 16
+    inner: int = 2
     batch: int = 1024
-    rate: float = 0.03
-    rounds: int = 1
-    #: The most frequent words, whose counts every worker has; others' counts are joined.
-    frequent: int = 131_072
+    rate: float = 0.05
+    rounds: int = 3
+    #: Training tokens of a shard.
+    shard: int = 4_000_000
     seed: int = 7
 
 
@@ -76,26 +88,53 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 class Model:
-    """score(w | a, b) = (A r_a + B r_b) . q_w + bias_w, normalised over the classes."""
+    """score(w | a, b) in two normalised steps: the word's class, then the word in its class.
+
+    Both are softmaxes of (A r_a + B r_b) . q + bias, with q the class's or the
+    word's vector.  Words are numbered by falling counts; classes are ranges of
+    them with equal sums of square roots of counts; the last class holds all
+    other words and is not split further here.
+    """
 
     def __init__(self, counts: np.ndarray, other: float, s: Settings):
-        """``counts`` of the class words, most frequent first, and of all other words together."""
-        n = len(counts)
+        """``counts`` of the words, most frequent first, and of all other words together."""
+        n, self.s = len(counts), s
         rng = np.random.default_rng(s.seed)
-        self.unknown, self.start, self.s = n, n + 1, s
-        self.r = rng.normal(0, 0.1, (n + 2, s.dim)).astype(np.float32)
-        self.q = rng.normal(0, 0.1, (n + 1, s.dim)).astype(np.float32)
-        self.a = np.eye(s.dim, dtype=np.float32)
-        self.b = np.eye(s.dim, dtype=np.float32)
-        share = np.append(counts, other).astype(np.float64) + 0.5
+        counts = counts.astype(np.float64) + 0.5
+        roots = np.cumsum(np.sqrt(counts))
+        k = min(s.classes, n)
+        ends = np.searchsorted(roots, roots[-1] * np.arange(1, k) / k) + 1 if n else np.zeros(0, np.int64)
+        self.edges = np.unique(np.concatenate([[0], ends, [n]])).astype(np.int64)
+        k = len(self.edges) - 1
+        self.class_of = np.append(np.repeat(np.arange(k), np.diff(self.edges)), k).astype(np.int32)  # others: the last
+        self.unknown, self.start = n, n + 1
+        sums = np.add.reduceat(counts, self.edges[:-1]) if n else np.zeros(0)
+        share = np.append(sums, other + 0.5)
         self.noise = share / share.sum()
-        self.bias = np.log(self.noise).astype(np.float32)
-        self.log_z: np.ndarray | None = None
-
-    def contexts(self, classes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The two classes before each token; ``begins`` marks the first token of a text."""
-        a, b = np.empty_like(classes), np.empty_like(classes)
-        a[1:], b[2:] = classes[:-1], classes[:-2]
+        inner = counts / sums[self.class_of[:n]]
+        #: Parameters by name; the last column of c and q is the bias.
+        small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+        self.p = {
+            "c": np.hstack([small(k + 1, s.dim), np.log(self.noise)[:, None].astype(np.float32)]),
+            "q": np.hstack([small(n, s.dim), np.log(inner)[:, None].astype(np.float32)]),
+            "r": np.hstack([small(n + 2, s.dim), np.zeros((n + 2, 1), np.float32)]),
+            "a": np.hstack([np.eye(s.dim, dtype=np.float32), np.zeros((s.dim, 1), np.float32)]),
+            "b": np.hstack([np.eye(s.dim, dtype=np.float32), np.zeros((s.dim, 1), np.float32)]),
+        }
+        #: Adagrad's sums, one a row.
+        self.squares = {name: np.full(len(x), 1e-6, np.float32) for name, x in self.p.items()}
+        self.log_inner = np.log(inner * s.inner).astype(np.float32)
+        self.log_noise = np.log(self.noise * s.noise).astype(np.float32)
+        # noise words of each class, by their shares in it
+        pool = rng.random((k, POOL)) * sums[:, None] + np.append(0, np.cumsum(sums))[:-1, None]
+        cumulative = np.cumsum(counts)
+        self.pool = np.clip(np.searchsorted(cumulative, pool), self.edges[:-1, None], self.edges[1:, None] - 1).astype(np.int32)
+        self.single = np.append(np.diff(self.edges) == 1, True)
+
+    def contexts(self, words: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two words before each token; ``begins`` marks the first token of a text."""
+        a, b = np.empty_like(words), np.empty_like(words)
+        a[1:], b[2:] = words[:-1], words[:-2]
         a[:1], b[:2] = self.start, self.start
         first = np.flatnonzero(begins)
         a[first] = b[first] = self.start
@@ -103,78 +142,106 @@ class Model:
         b[second[second < len(b)]] = self.start
         return a, b
 
-    def train(self, classes: np.ndarray, begins: np.ndarray, rng: np.random.Generator, squares: dict) -> None:
-        """One pass of Adagrad steps over a stretch of tokens."""
-        a, b = self.contexts(classes, begins)
-        s = self.s
-        log_noise = np.log(self.noise * s.noise).astype(np.float32)
+    def train(self, words: np.ndarray, begins: np.ndarray, rng: np.random.Generator, touched: dict[str, np.ndarray]) -> None:
+        """One pass of noise-contrastive steps over a stretch of tokens; ``touched`` counts the rows' updates."""
+        before, before2 = self.contexts(words, begins)
+        s, p, d = self.s, self.p, self.s.dim
         cumulative = np.cumsum(self.noise)
-        for i in range(0, len(classes), s.batch):
-            w, ca, cb = classes[i : i + s.batch], a[i : i + s.batch], b[i : i + s.batch]
-            m = len(w)
+        wrong = lambda x: 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+        for i in range(0, len(words), s.batch):
+            w, at, bt = words[i : i + s.batch], before[i : i + s.batch], before2[i : i + s.batch]
+            kinds = self.class_of[w]
             drawn = np.minimum(np.searchsorted(cumulative, rng.random(s.noise)), len(cumulative) - 1)
-            ra, rb = self.r[ca], self.r[cb]
-            h = ra @ self.a.T + rb @ self.b.T
-            qw, qn = self.q[w], self.q[drawn]
-            real = np.einsum("ij,ij->i", h, qw) + self.bias[w] - log_noise[w]
-            fake = h @ qn.T + self.bias[drawn] - log_noise[drawn]
-            g_real = -1.0 / (1.0 + np.exp(np.clip(real, -30, 30)))
-            g_fake = 1.0 / (1.0 + np.exp(-np.clip(fake, -30, 30)))
-            g_h = g_real[:, None] * qw + g_fake @ qn
-            grads = {
-                "q": _rows(w, g_real[:, None] * h, len(self.q)),
-                "bias": np.bincount(w, g_real, len(self.q)).astype(np.float32),
-                "r": _rows(ca, g_h @ self.a, len(self.r)) + _rows(cb, g_h @ self.b, len(self.r)),
-                "a": g_h.T @ ra,
-                "b": g_h.T @ rb,
-            }
-            np.add.at(grads["q"], drawn, g_fake.T @ h)
-            np.add.at(grads["bias"], drawn, g_fake.sum(axis=0))
-            for name, g in grads.items():
-                g /= m
-                squares[name] = squares.get(name, 1e-6) + g * g
-                setattr(self, name, getattr(self, name) - s.rate * g / np.sqrt(squares[name]))
-
-    def parameters(self) -> np.ndarray:
-        """All parameters as rows of equal length."""
-        q = np.hstack([self.q, self.bias[:, None]])
-        rest = np.vstack([self.r, self.a, self.b])
-        return np.vstack([q, np.hstack([rest, np.zeros((len(rest), 1), np.float32)])])
-
-    def put(self, rows: np.ndarray) -> None:
-        n, d = len(self.q), self.s.dim
-        rows = rows.astype(np.float32)
-        self.q, self.bias = rows[:n, :d], rows[:n, d]
-        self.r, self.a, self.b = rows[n : n + len(self.r), :d], rows[-2 * d : -d, :d], rows[-d:, :d]
-        self.log_z = None
-
-    def log_probs(self, classes: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities of the classes; normalisers are kept by context."""
-        a, b = self.contexts(classes, begins)
-        wide = len(self.r)
-        if self.log_z is None:
-            self.log_z = np.full(wide * wide, np.nan)
-            self.ha, self.hb = self.r @ self.a.T, self.r @ self.b.T
-        codes = a.astype(np.int64) * wide + b
-        fresh = np.unique(codes[np.isnan(self.log_z[codes])])
-        for i in range(0, len(fresh), 2048):
-            c = fresh[i : i + 2048]
-            logits = (self.ha[c // wide] + self.hb[c % wide]) @ self.q.T + self.bias
-            top = logits.max(axis=1)
-            self.log_z[c] = top + np.log(np.exp(logits - top[:, None]).sum(axis=1, dtype=np.float64))
-        out = np.empty(len(classes))
-        for i in range(0, len(classes), 1 << 16):
-            at = slice(i, i + (1 << 16))
-            h = self.ha[a[at]] + self.hb[b[at]]
-            out[at] = np.einsum("ij,ij->i", h, self.q[classes[at]]) + self.bias[classes[at]] - self.log_z[codes[at]]
+            ra, rb = p["r"][at, :d], p["r"][bt, :d]
+            h = ra @ p["a"][:, :d].T + rb @ p["b"][:, :d].T
+            # classes: noise is shared by the batch
+            c, cn = p["c"][kinds], p["c"][drawn]
+            g_real = -wrong(-(np.einsum("ij,ij->i", h, c[:, :d]) + c[:, d] - self.log_noise[kinds]))
+            g_fake = wrong(h @ cn[:, :d].T + cn[:, d] - self.log_noise[drawn])
+            g_h = g_real[:, None] * c[:, :d] + g_fake @ cn[:, :d]
+            self._step("c", np.concatenate([kinds, drawn]), np.vstack([_biased(g_real, h), np.hstack([g_fake.T @ h, g_fake.sum(axis=0)[:, None]])]), len(w), touched)
+            # words inside classes of two or more: noise of their own class
+            some = np.flatnonzero(~self.single[kinds])
+            if len(some):
+                hs, one = h[some], w[some]
+                fake = self.pool[kinds[some][:, None], rng.integers(0, POOL, (len(some), s.inner))]
+                q, qn = p["q"][one], p["q"][fake]
+                g_real = -wrong(-(np.einsum("ij,ij->i", hs, q[:, :d]) + q[:, d] - self.log_inner[one]))
+                g_fake = wrong(np.einsum("id,ijd->ij", hs, qn[:, :, :d]) + qn[:, :, d] - self.log_inner[fake])
+                g_h[some] += g_real[:, None] * q[:, :d] + np.einsum("ij,ijd->id", g_fake, qn[:, :, :d])
+                grads = np.vstack([_biased(g_real, hs), _biased(g_fake.ravel(), np.repeat(hs, s.inner, axis=0))])
+                self._step("q", np.concatenate([one, fake.ravel()]), grads, 1, touched)
+            back = np.vstack([g_h @ p["a"][:, :d], g_h @ p["b"][:, :d]])
+            self._step("r", np.concatenate([at, bt]), np.hstack([back, np.zeros((len(back), 1), np.float32)]), 1, touched)
+            rows = np.arange(d)
+            for name, r in (("a", ra), ("b", rb)):
+                self._step(name, rows, np.hstack([g_h.T @ r, np.zeros((d, 1), np.float32)]), len(w), touched)
+
+    def _step(self, name: str, rows: np.ndarray, grads: np.ndarray, scale: int, touched: dict[str, np.ndarray]) -> None:
+        """One Adagrad step on the named rows, gradients of equal rows summed."""
+        order = np.argsort(rows, kind="stable")
+        ordered = rows[order]
+        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        at = ordered[first]
+        g = np.add.reduceat(grads[order], first, axis=0)
+        g /= scale if scale > 1 else np.sqrt(np.diff(np.append(first, len(ordered))))[:, None]
+        self.squares[name][at] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+        self.p[name][at] -= self.s.rate * g / np.sqrt(self.squares[name][at])[:, None]
+        touched[name][at] += 1
+
+    def rows(self, touched: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers, weights, values) of the rows that were updated; values end with Adagrad's sum."""
+        weights = np.concatenate([touched[name] for name in self.p])
+        values = np.vstack([np.hstack([self.p[name], self.squares[name][:, None]]) for name in self.p])
+        some = np.flatnonzero(weights)
+        return some, weights[some], values[some]
+
+    def put(self, numbers: np.ndarray, values: np.ndarray) -> None:
+        """Set the numbered rows."""
+        base = 0
+        for name, x in self.p.items():
+            here = (numbers >= base) & (numbers < base + len(x))
+            at = numbers[here] - base
+            x[at] = values[here, :-1]
+            self.squares[name][at] = values[here, -1]
+            base += len(x)
+
+    def log_probs(self, words: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Natural log-probabilities of the tokens; of other words, that of their class."""
+        before, before2 = self.contexts(words, begins)
+        d, p = self.s.dim, self.p
+        ha, hb = p["r"][:, :d] @ p["a"][:, :d].T, p["r"][:, :d] @ p["b"][:, :d].T
+        kinds, out = self.class_of[words], np.empty(len(words))
+        order = np.argsort(kinds, kind="stable")
+        bounds = np.searchsorted(kinds[order], np.arange(len(self.edges) + 1))
+
+        def softmax(at: np.ndarray, table: np.ndarray, targets: np.ndarray) -> np.ndarray:
+            found = np.empty(len(at))
+            step = max(1, CELLS // max(1, len(table)))
+            for i in range(0, len(at), step):
+                j = at[i : i + step]
+                logits = (ha[before[j]] + hb[before2[j]]) @ table[:, :d].T
+                logits += table[:, d]
+                top = logits.max(axis=1, keepdims=True)
+                chosen = logits[np.arange(len(j)), targets[i : i + step]] - top[:, 0]
+                logits -= top
+                np.exp(logits, out=logits)
+                found[i : i + step] = chosen - np.log(logits.sum(axis=1, dtype=np.float64))
+            return found
+
+        every = np.arange(len(words))
+        out = softmax(every, p["c"], kinds)
+        for k in np.flatnonzero(~self.single):
+            at = order[bounds[k] : bounds[k + 1]]
+            if len(at):
+                a, b = self.edges[k], self.edges[k + 1]
+                out[at] += softmax(at, p["q"][a:b], words[at] - a)
         return out
 
 
-def _rows(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the value rows by index."""
-    wide = values.shape[1]
-    flat = (at[:, None].astype(np.int64) * wide + np.arange(wide)).ravel()
-    return np.bincount(flat, values.ravel(), n * wide).reshape(n, wide).astype(np.float32)
+def _biased(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Gradients of rows with a bias: g h, then g."""
+    return np.hstack([g[:, None] * h, g[:, None]])
 
 
 def _stretch(texts: list[str | None], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
@@ -192,6 +259,53 @@ def _stretch(texts: list[str | None], index: dict[bytes, int]) -> tuple[np.ndarr
     return ranks, begins, words
 
 
+def fit(training: DataFrame, model: Model, index, total: int, s: Settings) -> Model:
+    """The model after all rounds over ``training`` (id, text) with ``total`` tokens."""
+    spark = training.sparkSession
+    shards = max(1, -(-total // s.shard))
+    place = F.xxhash64(F.col("id").cast("string"), "text")
+
+    def encode(batches):
+        for part in bounded(batches, "text"):
+            columns = [part.column(part.schema.get_field_index(c)) for c in ("shard", "round", "place")]
+            ranks, begins, _ = _stretch(part.column(part.schema.get_field_index("text")).to_pylist(), index.value)
+            codes = np.where(ranks < 0, model_unknown, ranks).astype(np.uint16)
+            bounds = np.append(np.flatnonzero(begins), len(codes)).tolist()
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([codes[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], names=["shard", "round", "place", "codes"])
+
+    model_unknown = model.unknown
+    dealt = training.select("text", F.pmod(place, F.lit(shards)).alias("shard"), F.pmod(F.shiftright(place, 32), F.lit(s.rounds)).alias("round"), place.alias("place"))
+    coded = written(dealt.mapInArrow(encode, "shard long, round long, place long, codes binary"), "coded")
+    wide = s.dim + 2
+    for number in range(s.rounds if total else 0):
+        shared = spark.sparkContext.broadcast(model)
+
+        def learn(table: pa.Table) -> pa.Table:
+            copy = deepcopy(shared.value)
+            touched = {name: np.zeros(len(x), np.int64) for name, x in copy.p.items()}
+            codes = table.column("codes").to_pylist()
+            order = sorted(range(len(codes)), key=list(zip(table.column("place").to_pylist(), codes, strict=True)).__getitem__)
+            ends = np.cumsum([len(codes[i]) // 2 for i in order])
+            words = np.frombuffer(b"".join(codes[i] for i in order), np.uint16).astype(np.int32)
+            begins = np.zeros(len(words), bool)
+            begins[np.append(0, ends[:-1])] = True
+            copy.train(words, begins, np.random.default_rng((s.seed, number, table.column("shard")[0].as_py())), touched)
+            at, weights, values = copy.rows(touched)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(values.astype(np.float32).ravel()), wide).cast(pa.list_(pa.float32()))
+            return pa.table({"row": pa.array(at), "weight": pa.array(weights.astype(np.float64)), "v": flat})
+
+        copies = coded.where(F.col("round") == number).groupBy("shard").applyInArrow(learn, "row long, weight double, v array<float>")
+        sums = [(F.sum(F.col("v")[i] * F.col("weight")) / F.sum("weight")).cast("float") for i in range(wide)]
+        merged = copies.groupBy("row").agg(F.array(*sums).alias("v")).toArrow()
+        if merged.num_rows:
+            values = merged.column("v").combine_chunks().flatten().to_numpy().reshape(-1, wide)
+            model.put(merged.column("row").to_numpy(), values)
+        shared.destroy()
+    drop(coded)
+    release(spark)
+    return model
+
+
 def score(df: DataFrame, id: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
@@ -204,52 +318,33 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", s: Settings = S
     """
     spark = df.sparkSession
     rows = df.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).withColumn("held_out", ~is_training(F.col("id")))
-    training = rows.where(~F.col("held_out")).select("text")
+    training = rows.where(~F.col("held_out")).select("id", "text")
     counts = written(word_counts(training), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = counts.orderBy(F.desc("n"), "word").limit(s.frequent).toArrow()
+    frequent = counts.orderBy(F.desc("n"), "word").limit(min(s.words, 65_535)).toArrow()
     names, tops = frequent.column("word").to_pylist(), frequent.column("n").to_numpy()
     index = spark.sparkContext.broadcast({w.encode(): i for i, w in enumerate(names)})
     log_counts = np.log10(tops + 0.5)
-    k = min(s.classes, len(tops))
-    in_classes = int(tops[:k].sum())
-    model = Model(tops[:k], total - in_classes, s)
+    k, in_words = len(tops), int(tops.sum())
     base_norm = log10(total + 0.5 * (distinct + 1))
-    other_norm = log10(total - in_classes + 0.5 * (distinct - k + 1))
-
-    def fit(batches):
-        copy, squares, rng, seen = model, {}, np.random.default_rng(s.seed), 0
-        for part in bounded(batches, "text"):
-            ranks, begins, _ = _stretch(part.column(0).to_pylist(), index.value)
-            copy.train(np.where((ranks < 0) | (ranks >= k), k, ranks), begins, rng, squares)
-            seen += len(ranks)
-        if seen:
-            found = copy.parameters().astype(np.float64)
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(np.full(len(found), float(seen))), flat], names=["row", "weight", "v"])
-
-    wide = s.dim + 1
-    for _ in range(s.rounds):
-        copies = training.mapInArrow(fit, "row long, weight double, v array<double>")
-        sums = [F.sum(F.col("v")[i] * F.col("weight")) / F.sum("weight") for i in range(wide)]
-        merged = copies.groupBy("row").agg(F.array(*sums).alias("v")).orderBy("row").toArrow()
-        if merged.num_rows:
-            model.put(np.array(merged.column("v").to_pylist()))
+    other_norm = log10(total - in_words + 0.5 * (distinct - k + 1))
+    model = fit(training, Model(tops, total - in_words, s), index, total, s)
+    shared = spark.sparkContext.broadcast(model)
 
     def apply(batches):
         for part in bounded(batches, "text"):
             ranks, begins, words = _stretch(part.column(part.schema.get_field_index("text")).to_pylist(), index.value)
-            known, other = ranks >= 0, (ranks < 0) | (ranks >= k)
-            logs = np.where(known, log_counts[np.maximum(ranks, 0)] if len(log_counts) else 0.0, 0.0)
-            lm = model.log_probs(np.where(other, k, ranks), begins) / np.log(10)
+            known = ranks >= 0
+            logs = np.where(known, log_counts[np.maximum(ranks, 0)] if k else 0.0, 0.0)
+            lm = shared.value.log_probs(np.where(known, ranks, k), begins) / np.log(10)
             starts = np.flatnonzero(begins)
-            sums = [np.add.reduceat(x, starts) for x in (logs, lm + np.where(other, logs, 0.0), known.astype(np.int64), other.astype(np.int64), np.ones(len(ranks), np.int64))]
+            sums = [np.add.reduceat(x, starts) for x in (logs, lm, known.astype(np.int64), (~known).astype(np.int64), np.ones(len(ranks), np.int64))]
             rare = []
             for w, i in zip(words, starts, strict=True):
                 lost = np.flatnonzero(~known[i : i + len(w)])
                 rare.append(list(Counter(w[j].decode() for j in lost).items()))
             # without training rows the end itself is unknown
-            ends = [("", 1)] if not len(tops) else []
+            ends = [("", 1)] if not k else []
             rare = [r + ends for r in rare]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -153,6 +153,29 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, cleaned=False).drop("text")
 
 
+def quality_base_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 8's result that SQL can say."""
+    return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUALITY_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), n AS (
+  SELECT doc_id, t, ws, len(ws) AS n, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w
+), g AS (
+  SELECT doc_id, unnest(range(1, n - 1)) AS i, ws FROM n WHERE n >= 3
+), h AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS k FROM g
+), c AS (
+  SELECT doc_id, count(DISTINCT i + d) AS r FROM h, (VALUES (0), (1), (2)) v(d) WHERE k > 1 GROUP BY 1
+)
+SELECT n.doc_id, n AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words, n < 50 OR 100 * coalesce(r, 0) > 50 * n AS base_failed
+FROM n LEFT JOIN c USING (doc_id)
+"""
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     from sparrowgrid.llm import extract
@@ -178,6 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_html_text": op9_html_text,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "quality_base_figures": quality_base_figures,
 }
 
 ORACLES: dict[str, str] = {
@@ -185,4 +209,5 @@ ORACLES: dict[str, str] = {
     "op4_warc": OP4_SQL,
     "op5_chat_format": OP5_SQL,
     "op7_embedding_near_dedup": OP7_SQL,
+    "quality_base_figures": QUALITY_SQL,
 }

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from sparrowgrid.llm.common import bounded, release, written
 
 #: Length of the sub-strings that minimisers are taken from: long enough that a common word alone is none.
-GRAM = 16
+GRAM = 12
 #: Bytes of text that a task works on at once, and that a bucket stands for; a bucket is worked on in so many parts.
 SLICE, BUCKET, PARTS = 2 << 20, 8 << 20, 8
 #: The key of a slice's own rows.

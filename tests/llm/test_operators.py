@@ -147,6 +147,25 @@ def test_interval_tree_gives_all_occurrences():
     assert sorted(zip(owner.tolist(), offset.tolist(), size.tolist(), strict=True)) == [(1, 1, 6), (2, 1, 6)]
 
 
+def test_repeat_groups_hold_all_occurrences(spark):
+    rng = random.Random(11)
+    fill = lambda: "".join(rng.choice("abcdefghij ") for _ in range(70))
+    passage = "this passage of more than sixty bytes stands in many of the documents"
+    rows = [(i, fill() + passage + fill() if i % 2 else fill()) for i in range(12)]
+    groups = repeats.repeat_groups(spark.createDataFrame(rows, DOCS)).collect()
+    texts = dict(rows)
+    by = {}
+    for g in groups:
+        by.setdefault(g.repeat, []).append(g)
+    assert by
+    for same in by.values():
+        said = {texts[g.doc_id].encode()[g.start : g.start + g.size] for g in same}
+        assert len(said) == 1 and len({g.doc_id for g in same}) > 1
+    # every place of the passage is in a group
+    assert {(g.doc_id) for g in groups} == {i for i in range(12) if i % 2}
+    assert repeats.repeat_groups(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_clean_documents_keeps_whole_characters(spark):
     shared = "é" * 40
     rows = [(1, shared + "a", 41), (2, "b" + shared + "c", 42), (3, None, None)]
@@ -198,24 +217,54 @@ def test_reply_trees(spark):
     assert {tuple(r) for r in every.collect()} == {("c", 4, 1, "1>3>4"), ("c", 5, 2, "1>2>5"), ("d", 1, 1, "1")}
 
 
+def test_chat_of_odd_tables(spark):
+    schema = "conv_id long, turn long, role string, text string, leaf string"
+    long = [(1, k, "user" if k % 2 else "assistant", f"t{k}", "clash") for k in range(700)]
+    out = chat.format_conversations(spark.createDataFrame(long, schema)).first()
+    assert out.formatted.count("</turn>") == 700 and len(out.loss_spans) == 350
+    assert chat.format_conversations(spark.createDataFrame([], schema)).count() == 0
+
+
 # 6. scoring
 
 
 def test_model_is_normalised_and_learns():
-    s = neural_lm.Settings(classes=6, dim=4, noise=4, batch=64, rate=0.2)
+    s = neural_lm.Settings(classes=3, dim=4, noise=4, batch=64, rate=0.2)
     rng = np.random.default_rng(0)
-    tokens = np.tile([0, 1, 2, 3], 4000)
+    tokens = np.tile([0, 1, 2, 3, 4, 5], 4000).astype(np.int32)
     begins = np.zeros(len(tokens), bool)
-    begins[::40] = True
-    model = neural_lm.Model(np.array([4000, 4000, 4000, 4000, 10, 5]), 3, s)
+    begins[::60] = True
+    model = neural_lm.Model(np.array([4000, 4000, 4000, 4000, 4000, 3999]), 3, s)
+    assert len(model.edges) == 4 and not model.single[:3].all()
     before = model.log_probs(tokens, begins).mean()
-    squares = {}
+    touched = {name: np.zeros(len(x), np.int64) for name, x in model.p.items()}
     for _ in range(3):
-        model.train(tokens, begins, rng, squares)
-    model.log_z = None
+        model.train(tokens, begins, rng, touched)
     assert model.log_probs(tokens, begins).mean() > before + 0.5
-    each = [np.exp(model.log_probs(np.array([0, 1, w]), np.array([True, False, False]))[2]) for w in range(7)]
+    each = [np.exp(model.log_probs(np.array([0, 1, w], np.int32), np.array([True, False, False]))[2]) for w in range(7)]
     assert abs(sum(each) - 1) < 1e-4
+    copy = neural_lm.Model(np.array([4000, 4000, 4000, 4000, 4000, 3999]), 3, s)
+    numbers, weights, values = model.rows(touched)
+    copy.put(numbers, values)
+    assert (weights > 0).all() and np.allclose(copy.log_probs(tokens, begins), model.log_probs(tokens, begins))
+
+
+def test_scores_ignore_partitions_and_beat_the_unigram(spark):
+    # texts in which each word tells the next
+    rng, rows = random.Random(8), []
+    for i in range(400):
+        at, said = rng.randrange(60), []
+        for _ in range(60):
+            said.append(f"w{at}")
+            at = (at * 7 + rng.choice([1, 1, 1, 2])) % 60
+        rows.append((i, " ".join(said)))
+    s = neural_lm.Settings(classes=8, dim=8, batch=64, rate=0.1, shard=4000)
+    df = spark.createDataFrame(rows, DOCS)
+    got = [{r.doc_id: r for r in neural_lm.score(df.repartition(n), s=s).collect()} for n in (1, 7)]
+    assert all(abs(got[0][i].score - got[1][i].score) < 1e-3 for i in range(400))
+    held = [r for r in got[0].values() if r.held_out]
+    gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
+    assert len(held) > 40 and gain > 0.1
 
 
 def test_scores(spark):
@@ -224,7 +273,7 @@ def test_scores(spark):
     from collections import Counter
 
     rows = [(i, " ".join(words(i, 30, 50)).upper()) for i in range(60)] + [(60, None), (61, ""), (5, " ".join(words(5, 30, 50)))]
-    got = neural_lm.score(spark.createDataFrame(rows, DOCS), s=neural_lm.Settings(classes=20, dim=4, noise=4, frequent=25)).collect()
+    got = neural_lm.score(spark.createDataFrame(rows, DOCS), s=neural_lm.Settings(words=25, classes=5, dim=4, noise=4)).collect()
     counts, texts = Counter(), {}
     for i, t in rows:
         texts[i] = (t or "").encode().lower().split() + [b""]
@@ -257,6 +306,38 @@ def test_pivots_against_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(900, 906))
 
 
+@pytest.mark.parametrize("points", [64, 500, 2048])
+def test_recall_at_the_limit(points):
+    """Pairs at cosine 0.90, the hardest that count, by the number of reference points."""
+    rng = np.random.default_rng(points)
+    for size in (32, 128):
+        unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+        pivots_ = unit(rng.normal(size=(points, size)))
+        a = unit(rng.normal(size=(800, size)))
+        side = rng.normal(size=a.shape)
+        side = unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+        b = 0.9 * a + np.sqrt(1 - 0.81) * side
+        m = pivots.places(8, points)
+        near = [pivots.nearest(x, pivots_, m) for x in (a, b)]
+        shared = np.array([len(np.intersect1d(x, y)) for x, y in zip(*near, strict=True)])
+        assert (shared >= 2).mean() >= 0.95
+
+
+def test_exact_mode_finds_every_link(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(200, 6))
+    x = np.concatenate([base, base[:80] + 0.25 * rng.normal(size=(80, 6)), base[:1] + 0.2 * rng.normal(size=(60, 6))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in pivots.near_duplicates(df, exact=True).collect()}
+    assert [got[i] for i in range(len(x))] == near.sum(axis=1).tolist()
+    found = {r.vec_id: r.n_links for r in pivots.near_duplicates(df).collect()}
+    assert sum(found.values()) >= 0.95 * near.sum() and all(found[i] <= got[i] for i in got)
+    assert pivots.near_duplicates(df.limit(0)).count() == 0
+
+
 # 8. quality
 
 
@@ -278,6 +359,23 @@ def test_quality_lines():
     assert quality.line_fault("A plain sentence stands here.") is None and quality.line_fault("  ") is None
 
 
+def test_wrapped_prose_stays():
+    line = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    wrapped = "\n".join([line, line, line + " end.", line, "short end."] * 2)
+    judged = quality.judge(" ".join(f"w{k}" for k in range(60)) + ".\n" + wrapped.replace(line, " ".join(f"x{k}" for k in range(13))))
+    assert judged[8] <= 2
+    assert quality.line_fault(line) == "punctuation" and quality.line_fault(line, wrapped=True) is None
+    assert quality.line_fault("Alle Rechte vorbehalten.") == "boilerplate" and quality.line_fault("Accueil Suivant Retour") == "navigation"
+
+
+def test_quality_of_odd_tables(spark):
+    clean = " ".join(f"word{k}" for k in range(80)) + "."
+    df = spark.createDataFrame([(1, clean, "en"), (1, clean, "en"), (2, None, None), (3, "", "x"), (4, "y " * 300_000, "x")], DOCS + ", n_words string")
+    got = sorted((r.doc_id, r.n_words, r.kept) for r in quality.quality(df).collect())
+    assert got == [(1, 80, True), (1, 80, True), (2, 0, False), (3, 0, False), (4, 300_000, False)]
+    assert quality.quality(df.limit(0)).count() == 0
+
+
 def test_quality_frame(spark):
     df = spark.createDataFrame([(1, "x", "en", 1)], DOCS + ", kept string, n_chars long")
     assert quality.quality(df).first().kept is False
@@ -300,6 +398,48 @@ def test_extraction():
     assert extract.extract(cut) == " ".join(("words and more words " * 20).split())
 
 
+def test_ratios_choose_the_region(monkeypatch):
+    prose = "<p>" + "words of the story told here " * 4 + "</p>"
+    links = "<ul>" + "".join(f"<li><a href=x>a link of the list number {k}</a></li>" for k in range(6)) + "</ul>"
+    # no element or class says which part is the story: a list with teasers stands beside it
+    page = f"<body><div>{(links + '<p>' + 'teaser ' * 16 + '</p>') * 8}</div><div>{prose * 4}<p>Yes.</p>{prose * 5}</div></body>"
+    text = extract.extract(page)
+    assert "Yes." in text and "link" not in text and "teaser" not in text
+    monkeypatch.setattr(extract, "smoothed", lambda x, sigma=1.0: x)
+    unsmoothed = extract.extract(page)
+    monkeypatch.undo()
+    monkeypatch.setattr(extract, "threshold", lambda x: -1.0)
+    unclustered = extract.extract(page)
+    assert unsmoothed != text and unclustered != text
+
+
+def test_names_only_assist():
+    story = "word " * 40
+    for hint in ("legal", "search", "related-work", "has-sidebar", "no-sidebar with-comments"):
+        assert story.strip() in extract.extract(f"<article><h1>T</h1><div class='{hint}'><p>{story}</p></div></article>")
+        assert story.strip() in extract.extract(f"<div id=content class='{hint}'><h1>T</h1><p>{story}</p></div>")
+    page = f"<article><h1>T</h1><p>{story}</p><div class='comments'><p>{'Nice one, thanks. ' * 9}</p></div></article><div class=ad><p>{story}buy</p></div>"
+    assert extract.extract(page) == f"T\n{story.strip()}"
+    short = "<html><head><title>t</title><body><div>one</div><p>two</body>"
+    assert extract.extract(short).split("\n")[-1] in ("one", "two")
+
+
+def test_no_markup_ends_the_parser():
+    for page, text in [("<p>fine</p><![foo[bar]]>", "fine"), ("<![supportlists]>", ""), ("<![ CDATA[x]]>a", "a"), ("<p>x <!-- y", "x"), ("a<b", "a"), ("a < b", "a < b"), ("x &amp", "x &")]:
+        assert extract.extract(page) == text
+    rng, parts = random.Random(2), ["<", ">", "!", "[", "]", "-", "--", "<!", "<![", "</", "<p>", "<div class=ad>", "</div>", "<script>", "&amp;", "&#x", "a b", '"', "=", "<a href='", "/>", "\n", "<article>", "<br>", "<?x", "é"]
+    for _ in range(3000):
+        extract.extract("".join(rng.choice(parts) for _ in range(rng.randrange(1, 30))))
+    deep = "<div>" * 20_000 + "x" + "</span>" * 20_000
+    assert extract.extract(deep) == "x" and extract.extract("<p>" + "long words " * 200_000).count("words") == 200_000
+
+
+def test_main_text_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, "<p>a</p>", "u"), (1, "<p>a</p>", "u")], "page_id long, html string, n_chars string")
+    assert [(r.text, r.n_chars) for r in extract.main_text(df).collect()] == [("a", 1)] * 2
+    assert extract.main_text(df.limit(0)).count() == 0
+
+
 def test_main_text(spark):
     df = spark.createDataFrame([(1, "<p>é</p>", "x"), (2, None, "y")], "page_id long, html string, text string")
     assert {(r.page_id, r.text, r.n_chars) for r in extract.main_text(df).collect()} == {(1, "é", 1), (2, "", 0)}
@@ -348,3 +488,42 @@ def test_pack(spark):
         assert spans[-1][1] <= 10 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
         assert sum(r.source == "a" for r in bin_) <= 2 and [r.doc_id for r in bin_].count(1) <= 1
     assert packing.pack(spark.createDataFrame([], DOCS + ", source string")).count() == 0
+
+
+def test_pack_of_odd_tables(spark):
+    rows = [(1, "a b c", "s", "x")] * 40 + [(2, None, None, None), (3, "a b c", None, "y")]
+    df = spark.createDataFrame(rows, DOCS + ", source string, bin_id string")
+    out = packing.pack(df, capacity=8, per_source=2, shard_rows=10).collect()
+    assert len(out) == 42 and sum(r.n_words for r in out) == 40 * 4 + 1 + 4
+    by = {}
+    for r in out:
+        by.setdefault(r.bin_id, []).append(r)
+    # copies never share a bin
+    assert all(sum(r.n_words == 4 for r in b) <= 1 for b in by.values())
+    long = "c" * 40
+    labelled = spark.createDataFrame([(1, "a", "s", long + "1"), (2, "b", "s", long + "2")], DOCS + ", source string, label string")
+    assert len({r.bin_id for r in packing.pack(labelled, capacity=8, cluster="label").collect()}) == 1
+
+
+def test_jaccard_of_odd_tables(spark):
+    long = " ".join(words(77, 30_000, 20_000))
+    rows = [(5, long, "u"), (6, long + " more", "v"), (7, "x y z", "w"), (7, "x y z", "w"), (8, None, None)]
+    got = jaccard.keep_one(spark.createDataFrame(rows, DOCS + ", tokens string")).collect()
+    assert sorted((r.doc_id, r.tokens or "") for r in got) == [(5, "u"), (7, "w"), (8, "")]
+    # two texts under one id are one document, of which no text is lost
+    both = [(1, " ".join(words(1, 40))), (1, " ".join(words(2, 40))), (2, " ".join(words(2, 40)))]
+    kept = jaccard.keep_one(spark.createDataFrame(both, DOCS)).collect()
+    assert sorted(r.text for r in kept) == sorted(t for i, t in both if i == 1)
+
+
+def test_candidates_grow_with_the_rows(spark, monkeypatch):
+    """Ten times the documents that share a passage, none of them alike, make no pairs of them."""
+    passage = " ".join(words(3, 50))
+    asked = []
+    plain = jaccard.links
+    monkeypatch.setattr(jaccard, "links", lambda pairs, sets, limit: asked.append(pairs.count()) or plain(pairs, sets, limit))
+    for n in (60, 600):
+        rng = random.Random(n)
+        rows = [(i, " ".join(rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(120)) + " " + passage) for i in range(n)]
+        assert {r.doc_id == r.component_id for r in jaccard.jaccard_groups(spark.createDataFrame(rows, DOCS)).collect()} == {True}
+    assert sum(asked) == 0
