@@ -227,10 +227,10 @@ def extract(html: str | None) -> str:
     for k in range(region + 1, len(containers)):
         inside[k] = inside[k] or inside[containers[k][0]]
     kept = shown & np.array([inside[x[3]] for x in lines])
-    # headings and content right beside the region belong to it
+    # headings right before the region belong to it, and so does content of the containers around it right beside it
     for step, i in ((-1, int(np.argmax(kept))), (1, len(kept) - 1 - int(np.argmax(kept[::-1])))):
         i += step
-        while 0 <= i < len(lines) and (not shown[i] or plain[i] and (upper[i] or lines[i][4] and step < 0)):
+        while 0 <= i < len(lines) and (not shown[i] or plain[i] and (upper[i] and lines[i][3] in around or lines[i][4] and step < 0)):
             kept[i] = shown[i]
             i += step
     seeds = seeds[kept[seeds]]
