@@ -39,12 +39,12 @@ POOL, CELLS = 1024, 2_000_000
 @dataclass(frozen=True)
 class Settings:
     #: The vocabulary: the most frequent words, whose counts every worker has; others' counts are joined.
-    words: int = 65_535
-    classes: int = 256
+    words: int = 32_767
+    classes: int = 128
     dim: int = 16
     #: Noise samples for the class (shared by a batch) and for the word in its class (each token's own).
     noise: int = 16
-    inner: int = 2
+    inner: int = 1
     batch: int = 1024
     rate: float = 0.05
     rounds: int = 3
@@ -172,21 +172,32 @@ class Model:
                 grads = np.vstack([_biased(g_real, hs), _biased(g_fake.ravel(), np.repeat(hs, s.inner, axis=0))])
                 self._step("q", np.concatenate([one, fake.ravel()]), grads, 1, touched)
             back = np.vstack([g_h @ p["a"][:, :d], g_h @ p["b"][:, :d]])
-            self._step("r", np.concatenate([at, bt]), np.hstack([back, np.zeros((len(back), 1), np.float32)]), 1, touched)
-            rows = np.arange(d)
+            self._step("r", np.concatenate([at, bt]), back, 1, touched)
             for name, r in (("a", ra), ("b", rb)):
-                self._step(name, rows, np.hstack([g_h.T @ r, np.zeros((d, 1), np.float32)]), len(w), touched)
+                g = g_h.T @ r / len(w)
+                self.squares[name] += np.einsum("ij,ij->i", g, g) / d
+                p[name][:, :d] -= self.s.rate * g / np.sqrt(self.squares[name])[:, None]
+                touched[name] += 1
 
     def _step(self, name: str, rows: np.ndarray, grads: np.ndarray, scale: int, touched: dict[str, np.ndarray]) -> None:
         """One Adagrad step on the named rows, gradients of equal rows summed."""
         order = np.argsort(rows, kind="stable")
         ordered = rows[order]
-        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        at = ordered[first]
+        begins = np.empty(len(ordered), bool)
+        begins[0] = True
+        np.not_equal(ordered[1:], ordered[:-1], out=begins[1:])
+        first = np.flatnonzero(begins)
+        at, wide = ordered[first], grads.shape[1]
         g = np.add.reduceat(grads[order], first, axis=0)
-        g /= scale if scale > 1 else np.sqrt(np.diff(np.append(first, len(ordered))))[:, None]
-        self.squares[name][at] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-        self.p[name][at] -= self.s.rate * g / np.sqrt(self.squares[name][at])[:, None]
+        g *= 1.0 / scale if scale > 1 else (1.0 / np.sqrt(np.diff(first, append=len(ordered))))[:, None].astype(np.float32)
+        squares = self.squares[name][at] + np.einsum("ij,ij->i", g, g) / wide
+        self.squares[name][at] = squares
+        g *= (self.s.rate / np.sqrt(squares))[:, None]
+        table = self.p[name]
+        if wide == table.shape[1]:
+            table[at] -= g
+        else:
+            table[at, :wide] -= g
         touched[name][at] += 1
 
     def rows(self, touched: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,18 +226,25 @@ class Model:
         order = np.argsort(kinds, kind="stable")
         bounds = np.searchsorted(kinds[order], np.arange(len(self.edges) + 1))
 
+        one = np.ones((len(words), 1), np.float32)
+
         def softmax(at: np.ndarray, table: np.ndarray, targets: np.ndarray) -> np.ndarray:
             found = np.empty(len(at))
             step = max(1, CELLS // max(1, len(table)))
+            columns, sums = np.ascontiguousarray(table.T), np.ones(len(table), np.float32)
             for i in range(0, len(at), step):
                 j = at[i : i + step]
-                logits = (ha[before[j]] + hb[before2[j]]) @ table[:, :d].T
-                logits += table[:, d]
-                top = logits.max(axis=1, keepdims=True)
-                chosen = logits[np.arange(len(j)), targets[i : i + step]] - top[:, 0]
-                logits -= top
-                np.exp(logits, out=logits)
-                found[i : i + step] = chosen - np.log(logits.sum(axis=1, dtype=np.float64))
+                context = np.hstack([ha[before[j]] + hb[before2[j]], one[: len(j)]])
+                logits = context @ columns
+                chosen = logits[np.arange(len(j)), targets[i : i + step]].astype(np.float64)
+                with np.errstate(over="ignore"):
+                    total = np.exp(logits, out=logits) @ sums
+                if np.isfinite(total).all() and total.all():
+                    found[i : i + step] = chosen - np.log(total, dtype=np.float64)
+                else:  # out of a float's range: from the greatest down
+                    logits = context @ columns
+                    top = logits.max(axis=1)
+                    found[i : i + step] = chosen - top - np.log(np.exp(logits - top[:, None]).sum(axis=1, dtype=np.float64))
             return found
 
         every = np.arange(len(words))
