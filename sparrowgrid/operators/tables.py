@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,8 @@ def drop(*frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver collect its garbage: the shuffle files of jobs that have ended go only then."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the driver collect its garbage: the shuffle files of jobs that have ended go only then, in the second collection."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
