@@ -220,10 +220,34 @@ def _unpack(blob: bytes, *types) -> list[np.ndarray]:
 
 
 _STRINGS = (np.int64, np.uint8, np.uint16, np.int64, np.int32, np.int64)  # strings in each part, bytes, sizes, steps between ids, rows, steps between starts
-_SPANS = (np.int32, np.int64, np.int64)  # row, start, end
+_SPANS = (np.int32, np.int32, np.int32)  # steps between rows and between starts, sizes
 _ROW = "key long, slice long, blob binary"
 
 
+def _pack_spans(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """Spans in order of row and start, as steps; spans that meet are one."""
+    if len(rows):
+        rows, starts, ends = _merged(rows, starts, ends)
+    return _pack(np.diff(rows, prepend=0).astype(np.int32), np.diff(starts, prepend=0).astype(np.int32), (ends - starts).astype(np.int32), level=3)
+
+
+def _unpack_spans(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows, starts, sizes = (x.astype(np.int64) for x in _unpack(blob, *_SPANS))
+    starts = np.cumsum(starts)
+    return np.cumsum(rows), starts, starts + sizes
+
+
+def _merged(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal runs of some spans."""
+    order = np.lexsort((starts, rows))
+    rows, starts, ends = rows[order].astype(np.int64), starts[order].astype(np.int64), ends[order].astype(np.int64)
+    shift = rows * (int(ends.max()) + 2)  # rows apart on one line
+    reach = np.maximum.accumulate(ends + shift)
+    at = np.flatnonzero(np.r_[True, (starts + shift)[1:] > reach[:-1]])
+    last = np.append(at[1:], len(starts)) - 1
+    return rows[at], starts[at], (reach - shift)[last]
+
+
 def _segments(values: pa.Array, ids: pa.Array, length: int):
     """(texts as bytes, their rows, offsets in them): long texts in overlapping segments, about SLICE bytes at a time."""
     texts, rows, offsets, held = [], [], [], 0
@@ -246,7 +270,7 @@ def _deal(texts: list[np.ndarray], rows: np.ndarray, offsets: np.ndarray, ids: n
     """(settled spans, [(bucket, blob)]) of some texts; ``ids`` are those of all rows of the slice."""
     data, bounds = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
     starts, sizes, owner, least = strings_of(data, bounds, length)
-    none = [np.zeros(0, t) for t in _SPANS]
+    none = [np.zeros(0, np.int64)] * 3
     if not len(starts):
         return none, []
     # what the texts can settle among themselves: equal strings, all but those of their smallest document
@@ -325,13 +349,13 @@ def _sent(df: DataFrame, id: str, text: str, length: int) -> DataFrame:
         for name, key, part in named(batches):
             ids = part.column(part.schema.get_field_index("__id"))
             raw = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            spans, out = [[np.zeros(0, t)] for t in _SPANS], []
+            spans, out = [[np.zeros(0, np.int64)] for _ in range(3)], []
             for texts, at, offsets in _segments(part.column(part.schema.get_field_index("__text")), ids, length):
                 settled, dealt = _deal(texts, at, offsets, raw, length, buckets)
                 for held, new in zip(spans, settled, strict=True):
                     held.append(new)
                 out += dealt
-            out.append((key, np.array([len(out)], np.int64).tobytes() + _pack(*(np.concatenate(x) for x in spans))))
+            out.append((key, np.array([len(out)], np.int64).tobytes() + _pack_spans(*(np.concatenate(x) for x in spans))))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([name] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["key", "slice", "blob"])
 
     return rows.mapInArrow(deal, _ROW)
@@ -345,7 +369,7 @@ def _frames(df: DataFrame, id: str, text: str) -> DataFrame:
         for name, _, part in named(batches):
             plain = pa.RecordBatch.from_arrays(part.columns[:-2], schema=pa.schema(list(part.schema)[:-2]))
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, plain.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            with pa.ipc.new_stream(sink, plain.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as writer:
                 writer.write_batch(plain)
             yield pa.RecordBatch.from_arrays([pa.array([FRAME]), pa.array([name], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["key", "slice", "blob"])
 
@@ -401,7 +425,7 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
                 if len(one):
                     spans[int(number[which[one[0]]])].append([rows[which[one]], start[one], start[one] + size[one]])
         # every slice gets its answer, with spans or without
-        blobs = [_pack(*(np.concatenate([np.zeros(0, t), *c]) for t, c in zip(_SPANS, zip(*found, strict=True) if found else ((), (), ()), strict=True))) for found in spans]
+        blobs = [_pack_spans(*(np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*found, strict=True) if found else ((), (), ())))) for found in spans]
         return pa.table({"key": table.column("key"), "slice": table.column("slice"), "blob": pa.array(blobs, pa.binary())})
 
     def cut(table: pa.Table) -> pa.Table:
@@ -413,15 +437,8 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
             raise RuntimeError("texts came back in another order; run the job again, on a written table")
         batch = pa.ipc.open_stream(table.column("blob")[own[0]].as_buffer()).read_all().combine_chunks()
         blobs = [head[8:], *found]
-        rows, starts, ends = (np.concatenate(c) for c in zip(*(_unpack(x, *_SPANS) for x in blobs), strict=True))
-        order = np.lexsort((starts, rows))
-        rows, starts, ends = rows[order], starts[order], ends[order]
-        shift = rows.astype(np.int64) * (int(ends.max(initial=0)) + 2)  # rows apart on one line
-        reach = np.maximum.accumulate(ends + shift)
-        begins = np.r_[True, (starts + shift)[1:] > reach[:-1]][: len(rows)]
-        at = np.flatnonzero(begins)
-        last = np.append(at[1:], len(starts))[: len(at)] - 1
-        run_rows, run_starts, run_ends = rows[at], starts[at], (reach - shift)[last]
+        rows, starts, ends = (np.concatenate(c) for c in zip(*map(_unpack_spans, blobs), strict=True))
+        run_rows, run_starts, run_ends = _merged(rows, starts, ends) if len(rows) else (rows, starts, ends)
         bounds = np.searchsorted(run_rows, np.arange(batch.num_rows + 1))
         kept, lists = [], ([], [])
         values = batch.column(text).cast(pa.string())
