@@ -111,3 +111,12 @@ def best_alternative(rows: DataFrame, key: str, source: str, order: Sequence[str
     place = F.array_position(F.array(*map(F.lit, order)), F.col(source))
     rank = F.struct(F.when(place > 0, place).otherwise(len(order) + 1), source)
     return rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), rank).alias("__best")).select(key, "__best.*")
+
+
+def top_block(df: DataFrame, key: str, most: int, *order: str | Column, value: str) -> DataFrame:
+    """(key, shown, held): each key's first ``most`` values in order, and how many rows come after them."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    first = df.withColumn("__k", place).where(F.col("__k") <= most)
+    shown = first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("__k", value))), lambda x: x[value]).alias("shown"))
+    counts = df.groupBy(key).agg(F.count("*").alias("__n"))
+    return counts.join(shown, key).select(key, "shown", F.greatest(F.lit(0).cast("long"), F.col("__n") - most).alias("held"))

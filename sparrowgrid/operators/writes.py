@@ -139,3 +139,10 @@ def write_outcomes(written: DataFrame, clusters: DataFrame, id: str, component:
     sizes = clusters.where(F.col(component).isNotNull()).groupBy(component).agg(F.count("*").alias("__n"))
     rows = written.select(id).join(clusters.select(id, component), id, "left").join(sizes, component, "left")
     return rows.select(id, F.when(F.col("__n").isNull(), "unclustered").when(F.col("__n") == 1, "created").otherwise("attached").alias("outcome"))
+
+
+def edit_log(stored: DataFrame, edits: DataFrame, key: str, field: str) -> DataFrame:
+    """(key, field, previous, next, at) of the edits (key, value, at) that change something."""
+    told = edits.select(key, F.col("value").alias("next"), "at")
+    both = stored.select(key, F.col(field).alias("previous")).join(told, key)
+    return both.where(~F.col("previous").eqNullSafe(F.col("next"))).select(key, F.lit(field).alias("field"), "previous", "next", "at")

@@ -158,11 +158,16 @@ def array_operations(spark, sf_dir):
     return per.select("l_orderkey", F.array_join("flags", ",").alias("flags"), F.array_join(F.array_sort(F.array_intersect("flags", F.array(F.lit("A"), F.lit("R")))), ",").alias("kept"))
 
 
-@query("html_rows", None)
+@query(
+    "html_rows",
+    """WITH p AS (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages)
+       SELECT page_id, unnest(h) AS href, unnest(t) AS label FROM p""",
+)
 def html_rows(spark, sf_dir):
-    """Links of every page's navigation, one row each, by regular expression on the html column."""
-    links = F.regexp_extract_all("html", F.lit(r'<li><a href="([^"]*)">'), 1)
-    return read(spark, sf_dir, "pages").select("page_id", F.posexplode(links).alias("place", "href"))
+    """Links of every page's navigation, one row each."""
+    from sparrowgrid.sources.readers import html_rows as rows_of
+
+    return rows_of(read(spark, sf_dir, "pages").select("page_id", "html"), r'<li><a href="([^"]*)">([^<]*)</a>', ["href", "label"])
 
 
 @query(

@@ -103,3 +103,43 @@ def test_clusters_keep_every_document(spark, tmp_path):
             assert all(len(x) == 1 for x in held.values()) and len(held) >= 3
             assert all(of[i] == i // 2 * 2 for i in range(300, 320))
         assert len(got) == len(texts)
+
+
+def folded(names, least=0.9):
+    """Every name with its canonical one, by comparing all names of a first word in order."""
+
+    def alike(a, b):
+        if min(len(a), len(b)) < 10:
+            return a == b
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return 1 - row[-1] / max(len(a), len(b)) >= least
+
+    found, canon = {}, []
+    for n in sorted(names):
+        match = next((c for c in canon if c.split(" ")[0] == n.split(" ")[0] and alike(c, n)), None)
+        if match is None:
+            canon.append(n)
+            found[n] = n
+        elif len(n) < len(match):
+            canon[canon.index(match)] = n
+            found = {k: n if v == match else v for k, v in found.items()} | {n: n}
+        else:
+            found[n] = match
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_names_are_the_fold(spark, seed):
+    rng, names = random.Random(seed), {"short", "shorter x", ""}
+    for _ in range(160):
+        base = list(rng.choice(["acme river capital partners", "acme harbor holdings west", "north valley development", "north valley developments east"]))
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            at = rng.randrange(6, len(base))
+            base[at : at + rng.randrange(2)] = rng.choice(["", "a", "x", "s"])
+        names.add("".join(base))
+    got = resolve.consolidate(spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    assert {r.name: r.canonical for r in got} == folded(names - {""}) and len(got) == len(names) - 1
