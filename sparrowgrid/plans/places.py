@@ -69,7 +69,7 @@ def free_dates(spark, sf_dir):
     """Days that texts state in many forms: the freshest past one, and the last to come."""
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 6
     said = (
-        F.when(k == 0, F.concat(F.lit("filed "), F.date_format(d, "yyyy-MM-dd"), F.lit(", not 1999-02-31, Suite 1998")))
+        F.when(k == 0, F.concat(F.lit("filed "), F.date_format(d, "yyyy-MM-dd"), F.lit(", not 1901-02-31, Suite 1998")))
         .when(k == 1, F.concat(F.lit("heard on "), F.date_format(d, "MMMM d, yyyy"), F.lit(" for $1999")))
         .when(k == 2, F.concat(F.date_format(d, "d"), F.lit("th of "), F.date_format(d, "MMM"), F.lit("., "), F.date_format(d, "yyyy")))
         .when(k == 3, F.date_format(d, "MMMM yyyy"))
