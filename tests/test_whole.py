@@ -105,7 +105,7 @@ def test_clusters_keep_every_document(spark, tmp_path):
         assert len(got) == len(texts)
 
 
-def folded(names, least=0.9):
+def canonical(names, least=0.9):
     """Every name with its canonical one, by comparing all names of a first word in order."""
 
     def alike(a, b):
@@ -142,4 +142,4 @@ def test_names_are_the_fold(spark, seed):
             base[at : at + rng.randrange(2)] = rng.choice(["", "a", "x", "s"])
         names.add("".join(base))
     got = resolve.consolidate(spark.createDataFrame([(n,) for n in names], "name string")).collect()
-    assert {r.name: r.canonical for r in got} == folded(names - {""}) and len(got) == len(names) - 1
+    assert {r.name: r.canonical for r in got} == canonical(names - {""}) and len(got) == len(names) - 1
