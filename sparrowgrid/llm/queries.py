@@ -190,6 +190,103 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether it verifies after tampering."""
+    from sparrowgrid.llm import merkle
+
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source,
+    [coalesce(strlen(v) || ':' || v, '-') FOR v IN [doc_id::VARCHAR, source, lang, n_chars::VARCHAR]] AS f, text, replace(text, chr(10), '') AS cut,
+    list_reduce([4294967295::BIGINT] || [ascii(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')],
+      lambda a, b: list_reduce([xor(a, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS crc
+  FROM documents
+), l AS (
+  SELECT *, sha256(array_to_string(f, '') || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    -- the checksum is the complement, so it is even where this is odd
+    CASE WHEN crc % 2 = 1 THEN sha256(array_to_string(f, '') || coalesce(strlen(cut) || ':' || cut, '-')) END AS tampered
+  FROM d
+), k AS (
+  SELECT doc_id, leaf, tampered, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n
+  FROM l
+), low AS (
+  SELECT tree, 0 AS level, i, n, leaf AS h FROM k
+  UNION ALL
+  SELECT tree, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY tree, level, i // 3, n
+), sub AS (
+  SELECT tree, h, level FROM low WHERE n = 1
+), top AS (
+  SELECT -1::BIGINT AS tree, 0 AS level, tree AS i, (SELECT count(*) FROM sub) AS n, h FROM sub
+  UNION ALL
+  SELECT tree, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY tree, level, i // 3, n
+), nodes AS (
+  SELECT * FROM low UNION ALL SELECT * FROM top
+), beside AS (
+  SELECT tree, level, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lefts,
+    coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rights
+  FROM nodes WHERE n > 1 WINDOW w AS (PARTITION BY tree, level, i // 3 ORDER BY i)
+), up AS (
+  SELECT doc_id, leaf, tree AS own, tree, 0 AS level, i, coalesce(tampered, leaf) AS folded, '' AS proof, n = 1 AS ready FROM k
+  UNION ALL
+  SELECT doc_id, leaf, own, CASE WHEN ready THEN -1 ELSE up.tree END, CASE WHEN ready THEN 0 ELSE up.level + 1 END, CASE WHEN ready THEN up.tree ELSE up.i // 3 END,
+    CASE WHEN ready THEN folded ELSE sha256(lefts || folded || rights) END, CASE WHEN ready THEN proof ELSE proof || lefts || rights END,
+    NOT ready AND up.tree >= 0 AND up.level + 1 = sub.level
+  FROM up LEFT JOIN beside b ON NOT ready AND b.tree = up.tree AND b.level = up.level AND b.i = up.i LEFT JOIN sub ON sub.tree = up.tree
+  WHERE ready OR b.tree IS NOT NULL
+), root AS (
+  SELECT h FROM top WHERE n = 1
+)
+SELECT doc_id, leaf, sub.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root.h AS verified
+FROM up JOIN sub ON sub.tree = own JOIN root ON TRUE
+WHERE up.tree = -1 AND up.level = (SELECT max(level) FROM top)
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of all 120 orders, for every language."""
+    from sparrowgrid.llm import audit
+
+    return audit.interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS first FROM t
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INT
+      + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, FALSE)::INT AS mask
+  FROM w LEFT JOIN l USING (doc_id)
+), c AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask
+), o(filter_order) AS (
+  SELECT '' UNION ALL SELECT filter_order || x FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE NOT contains(filter_order, x)
+), s AS (
+  SELECT filter_order, k AS step, 1 << CAST(instr('ABCDE', filter_order[k]) - 1 AS INT) AS bit,
+    coalesce(list_sum([1 << CAST(instr('ABCDE', filter_order[j]) - 1 AS INT) FOR j IN range(1, k)]), 0)::INT AS before
+  FROM o, range(1, 6) r(k) WHERE length(filter_order) = 5
+), f AS (
+  SELECT part, filter_order, step::INT AS step, bit,
+    coalesce(sum(n) FILTER (WHERE mask & (bit | before) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE mask & before <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY ALL
+)
+SELECT * EXCLUDE (bit), sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM f
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -201,6 +298,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_html_text": op9_html_text,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_filter_audit": op13_filter_audit,
     "quality_base_figures": quality_base_figures,
 }
 
@@ -209,5 +308,7 @@ ORACLES: dict[str, str] = {
     "op4_warc": OP4_SQL,
     "op5_chat_format": OP5_SQL,
     "op7_embedding_near_dedup": OP7_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+    "op13_filter_audit": OP13_SQL,
     "quality_base_figures": QUALITY_SQL,
 }

@@ -15,12 +15,12 @@ def documents():
     return duckdb.sql(f"SELECT doc_id, text, source FROM '{SF}/documents.parquet'").fetchall()
 
 
-@pytest.mark.parametrize("name", ["op2_ngram_jaccard", "op4_warc", "op5_chat_format", "op7_embedding_near_dedup", "quality_base_figures"])
+@pytest.mark.parametrize("name", ["op2_ngram_jaccard", "op4_warc", "op5_chat_format", "op7_embedding_near_dedup", "op12_merkle_manifest", "op13_filter_audit", "quality_base_figures"])
 def test_against_sql(spark, name):
     from sparrowgrid.llm import queries as q
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "embeddings"):
+    for t in ("documents", "pages", "conversations", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(q.ORACLES[name])
     columns = [d[0] for d in want.description]
