@@ -190,6 +190,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance that a document is of quality, by a model of the labels of three quarters of the ids."""
+    from sparrowgrid.llm import ftrl
+
+    return ftrl.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, and whether it verifies after tampering."""
     from sparrowgrid.llm import merkle
@@ -298,6 +305,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_html_text": op9_html_text,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_filter_audit": op13_filter_audit,
     "quality_base_figures": quality_base_figures,
