@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparrowgrid.functions.rules import STAGES, UNPROVEN, stage_rank
 from sparrowgrid.functions.text import is_generic_party, money_points, similarity
+from sparrowgrid.operators.dictionary import term_hits
 from sparrowgrid.operators.graph import components
 from sparrowgrid.operators.tables import drop, written
 
@@ -27,63 +28,101 @@ def connected(signals: DataFrame, record: str, key: str) -> DataFrame:
     return out
 
 
-def guarded_components(signals: DataFrame, record: str, key: str, target: str) -> DataFrame:
-    """(record, component) where no component holds two targets.
+def guarded_union(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(r, component) of ``nodes`` (r, t) after taking ``links`` (a, b, at) in the order of ``at``, no component ever holding two targets.
 
-    Each key links its records to the smallest of them; links are taken in
-    order of record and key, and one that would join two targets is refused.
-    Plain components with one target at most take all their links.  In the
-    others that order is kept without replaying it: nothing happens to a
-    cluster before its first link, so one without a target surely takes that,
-    and at most one cluster of a chain of such links has a target.  This halves
-    the clusters without a target each round; then links within one target are
-    all taken and the others refused.  A record has its smallest target.  Null
-    keys link nothing.
+    A link that would join two targets is refused.  Plain components with one
+    target at most take all their links.  In the others the order is kept
+    without replaying it: nothing happens to a cluster before its first link, so
+    one without a target surely takes that, and at most one cluster of a chain
+    of such links has a target.  This halves the clusters without a target each
+    round; then links within one target are all taken and the others refused.
     """
-    rows = signals.select(F.col(record).alias("r"), F.col(key).alias("k"), F.col(target).alias("t"))
-    # a key of its own keeps a record without any other
-    own = rows.select("r", F.struct(F.lit(None).cast(rows.schema["k"].dataType).alias("k"), F.col("r").alias("own")).alias("k"))
-    named = rows.where(F.col("k").isNotNull()).select("r", F.struct("k", F.lit(None).cast(rows.schema["r"].dataType).alias("own")).alias("k"))
-    plain = connected(named.unionByName(own), "r", "k")
-    nodes = written(rows.groupBy("r").agg(F.min("t").alias("t")).join(plain, "r"), "nodes")
-    many = nodes.groupBy("component").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("component")
+    links = written(links, "links")
+    parts = components(links, "a", "b")
+    nodes = written(nodes.join(parts.select(F.col("node").alias("r"), F.col("component").alias("c")), "r", "left").select("r", "t", F.coalesce("c", "r").alias("component")), "nodes")
+    drop(parts)
+    many = written(nodes.groupBy("component").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("component"), "many")
+    if many.isEmpty():
+        drop(links)
+        return nodes.select("r", "component")
     exact = nodes.join(many, "component", "left_anti").select("r", "component")
     # (r, c, t): a record, its cluster's smallest record and the cluster's target
     state = written(nodes.join(many, "component", "left_semi").select("r", F.col("r").alias("c"), "t"), "clusters")
-    edges = rows.where(F.col("k").isNotNull()).join(state.select("r"), "r", "left_semi").select("r", "k")
-    first = edges.groupBy("k").agg(F.min("r").alias("a"))
-    links = written(edges.join(first, "k").where("r <> a").select("a", F.col("r").alias("b"), F.struct("r", "k").alias("at")).distinct(), "links")
     while True:
         clusters = state.select("c", "t").where("r = c")
         end = lambda x: clusters.select(F.col("c").alias(x), F.col("t").alias(f"t{x}"))
-        links = links.join(end("a"), "a").join(end("b"), "b").where("a <> b and (ta is null or tb is null or ta = tb)").select("a", "b", "at", "ta", "tb")
-        links = written(links, "links")
-        both = links.select(F.col("a").alias("x"), F.col("ta").alias("t"), F.col("b").alias("y"), "at").unionByName(links.select(F.col("b").alias("x"), F.col("tb").alias("t"), F.col("a").alias("y"), "at"))
+        open_ = written(links.join(end("a"), "a").join(end("b"), "b").where("a <> b and (ta is null or tb is null or ta = tb)").select("a", "b", "at", "ta", "tb"), "links")
+        drop(links)
+        both = open_.select(F.col("a").alias("x"), F.col("ta").alias("t"), F.col("b").alias("y"), "at").unionByName(open_.select(F.col("b").alias("x"), F.col("tb").alias("t"), F.col("a").alias("y"), "at"))
         picks = written(both.where("t is null").groupBy("x").agg(F.min_by("y", "at").alias("y")), "picks")
         last = picks.isEmpty()
-        taken = links.select(F.col("a").alias("x"), F.col("b").alias("y")) if last else picks
-        joined = connected(taken.select(F.col("x").alias("c"), F.col("y").alias("k")).unionByName(taken.select(F.col("y").alias("c"), F.col("y").alias("k"))), "c", "k")
-        into = joined.select("c", F.col("component").alias("new"))
+        into = components(open_ if last else picks, "a" if last else "x", "b" if last else "y").select(F.col("node").alias("c"), F.col("component").alias("new"))
         moved = state.join(into, "c", "left").select("r", F.coalesce("new", "c").alias("c"), "t")
         targets = moved.groupBy("c").agg(F.min("t").alias("t"))
-        state = written(moved.drop("t").join(targets, "c").select("r", "c", "t"), "clusters")
+        before, state = state, written(moved.drop("t").join(targets, "c").select("r", "c", "t"), "clusters")
+        drop(before, picks)
         if last:
-            return exact.unionByName(state.select("r", F.col("c").alias("component"))).withColumnRenamed("r", record)
+            drop(open_)
+            return exact.unionByName(state.select("r", F.col("c").alias("component")))
         at = lambda x: into.select(F.col("c").alias(x), F.col("new").alias(f"n{x}"))
-        links = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"), "at")
+        links = written(open_.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"), "at"), "links")
+        drop(open_)
+
+
+def guarded_links(signals: DataFrame, record: str, key: str, place: str | None = None, alike: DataFrame | None = None) -> DataFrame:
+    """(a, b, at): the links that keys give, in the order in which they are taken.
+
+    A key links its first record to each of its others.  Keys come as they are
+    first seen, by their first record and their ``place`` in it; a key's records
+    follow in their own order.  After all of them come ``alike`` (a, b), pairs
+    of keys whose first records are linked, in the order of the two keys.
+    """
+    at = F.lit(0).alias("p") if place is None else F.col(place).alias("p")
+    rows = signals.select(F.col(record).alias("r"), F.col(key).alias("k"), at).where("k is not null")
+    edges = rows.groupBy("k", "r").agg(F.min("p").alias("p"))
+    heads = edges.groupBy("k").agg(F.min(F.struct("r", "p", "k")).alias("h"))
+    turn = lambda phase, h, r, g: F.struct(F.lit(phase).alias("phase"), F.col(h).alias("h"), F.col(r).alias("r"), F.col(g).alias("g"))
+    links = edges.join(heads, "k").where("r <> h.r").withColumn("g", F.col("h"))
+    links = links.select(F.col("h.r").alias("a"), F.col("r").alias("b"), turn(0, "h", "r", "g").alias("at"))
+    if alike is None:
+        return links
+    pairs = alike.select(F.col("a").alias("k"), "b").join(heads, "k").select("h", F.col("b").alias("k")).join(heads.withColumnRenamed("h", "g"), "k")
+    pairs = pairs.select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).where("h.r <> g.r").withColumn("r", F.col("g.r"))
+    return links.unionByName(pairs.select(F.col("h.r").alias("a"), F.col("r").alias("b"), turn(1, "h", "r", "g").alias("at")))
+
+
+def guarded_components(signals: DataFrame, record: str, key: str, target: str, place: str | None = None, alike: DataFrame | None = None) -> DataFrame:
+    """(record, component) where no component holds two targets: ``guarded_union`` of ``guarded_links``.
+
+    A record has its smallest target.  Null keys link nothing, and a record
+    without any key is a component of its own.
+    """
+    nodes = signals.groupBy(F.col(record).alias("r")).agg(F.min(target).alias("t"))
+    return guarded_union(nodes, guarded_links(signals, record, key, place, alike)).withColumnRenamed("r", record)
 
 
 def fuzzy_pairs(df: DataFrame, id: str, name: str, block: Column, least: float = 0.9, chars: int = 10) -> DataFrame:
     """(a, b, similarity) of names in one block with a similarity of ``least`` or more; both of ``chars`` or more characters.
 
-    The edit distance stops where it is too large to count.
+    A name of m characters may be d = (1 - least) * m edits away from a shorter
+    one, so of its d + 1 even pieces one stands unchanged in the other, shifted
+    by d at most.  Longer names offer their pieces, shorter ones ask for every
+    length and shift that can be; only names that share a piece are compared.
     """
-    long = df.where(F.length(name) >= chars).select(F.col(id).alias("a"), F.col(name).alias("x"), block.alias("block"), F.length(name).alias("n"))
-    other = long.select(F.col("a").alias("b"), F.col("x").alias("y"), "block", F.col("n").alias("m"))
-    most = F.floor((1 - least) * F.greatest("n", "m") + 1e-9).cast("int")
-    near = long.join(other, "block").where((F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m")))
-    apart = F.call_function("levenshtein", F.col("x"), F.col("y"), most)
-    return near.where(apart >= 0).select("a", "b", similarity("x", "y").alias("similarity")).where(F.col("similarity") >= least)
+    edits = lambda m: F.floor((1 - least) * m + 1e-9).cast("int")
+    begin = lambda i: F.floor(i * F.col("m") / (F.col("d") + 1)).cast("int")
+    piece = lambda df: df.withColumn("i", F.explode(F.sequence(F.lit(0), "d"))).withColumns({"p": begin(F.col("i")), "n": begin(F.col("i") + 1) - begin(F.col("i"))})
+    each = df.where(F.length(name) >= chars).select(F.col(id).alias("id"), F.col(name).alias("x"), block.alias("block"), F.length(name).alias("len"))
+    offered = piece(each.withColumn("m", F.col("len")).withColumn("d", edits(F.col("m"))))
+    offered = offered.select("block", "m", "i", F.substring("x", F.col("p") + 1, F.col("n")).alias("piece"), F.col("id").alias("b"), F.col("x").alias("y"))
+    asked = piece(each.withColumn("m", F.explode(F.sequence(F.col("len"), F.floor(F.col("len") / least + 1e-9).cast("int")))).withColumn("d", edits(F.col("m"))))
+    low, high = F.greatest(F.lit(0), F.col("p") - F.col("d")), F.least(F.col("len") - F.col("n"), F.col("p") + F.col("d"))
+    asked = asked.where(low <= high).withColumn("q", F.explode(F.sequence(low, high)))
+    asked = asked.select("block", "m", "i", F.substring("x", F.col("q") + 1, F.col("n")).alias("piece"), F.col("id").alias("a"), "x", "len", "d").distinct()
+    met = asked.join(offered, ["block", "m", "i", "piece"]).where("len < m or a < b").select("a", "b", "x", "y", "d").distinct()
+    near = met.where(F.call_function("levenshtein", F.col("x"), F.col("y"), F.col("d")) >= 0)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), similarity("x", "y").alias("similarity")).where(F.col("similarity") >= least)
 
 
 def consolidate(names: DataFrame, name: str = "name", least: float = 0.9) -> DataFrame:
@@ -197,12 +236,8 @@ def significance(
 
 
 def single_entity_hits(records: DataFrame, entities: DataFrame, id: str, text: str, market: str, entity: str) -> DataFrame:
-    """(id, entity): records with the one known entity of their market that their text holds; texts with several are ambiguous and left out.
-
-    The text test is part of the join's condition, so only hits become rows.
-    """
-    known = entities.select(F.col(market).alias("__market"), F.lower(entity).alias("entity")).distinct()
-    hits = records.join(known, (F.col(market) == F.col("__market")) & F.contains(F.lower(F.col(text)), F.col("entity")))
+    """(id, entity): records with the one known entity of their market that their text holds as whole words; texts with several are ambiguous and left out."""
+    hits = term_hits(records, entities.select(F.col(entity).alias("entity"), market), id, text, "entity", market)
     per = hits.groupBy(id).agg(F.min("entity").alias("entity"), F.max("entity").alias("__last"))
     return per.where(F.col("entity") == F.col("__last")).select(id, "entity")
 

@@ -135,7 +135,7 @@ def _lines(spark, sf_dir):
     """Whole lines as keys, however frequent; a document has its own key too, so that none is left out."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x))
     keys = F.array_append(F.transform(F.array_distinct(F.filter(lines, lambda x: x != "")), lambda x: F.concat(F.lit("l"), F.md5(x.cast("binary")))), F.concat(F.lit("r"), F.col("r")))
-    return read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "r").select("r", F.explode(keys).alias("k"))
+    return read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "r").select("r", F.posexplode(keys).alias("place", "k"))
 
 
 @query("cluster_components_all")
@@ -148,7 +148,7 @@ def cluster_components_all(spark, sf_dir):
 def cluster_guarded(spark, sf_dir):
     """Clusters by whole lines in which no two records carry different targets."""
     signals = _lines(spark, sf_dir).withColumn("target", F.when(F.col("r") % 50 == 0, (F.col("r") % 3).cast("string")))
-    return E.guarded_components(signals, "r", "k", "target").select(F.col("r").alias("doc_id"), "component")
+    return E.guarded_components(signals, "r", "k", "target", "place").select(F.col("r").alias("doc_id"), "component")
 
 
 @query("consolidate_names")

@@ -2,10 +2,12 @@
 
 import os
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from sparrowgrid.operators import resolve, scopes
+from sparrowgrid.operators import dictionary, resolve, scopes
 from sparrowgrid.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -27,10 +29,11 @@ def test_party_history_all_leaves_no_project_out(spark):
     assert registry.QUERIES["players_summary_all"](spark, SF).first().attached == items.select("l_suppkey").distinct().count()
 
 
-def replayed(rows):
-    """Components by replaying the links of rows (record, key, target) one by one."""
-    root, targets, first = {}, {}, {}
-    for r, _, t in rows:
+def replayed(rows, alike=()):
+    """Components by replaying links one by one: rows are (record, key, target, place), ``alike`` pairs of keys."""
+    rows = [(*r, 0)[:4] for r in rows]
+    root, targets = {}, {}
+    for r, _, t, _ in rows:
         root[r] = r
         if t is not None:
             targets[r] = min(t, targets.get(r, t))
@@ -40,23 +43,83 @@ def replayed(rows):
             x = root[x]
         return x
 
-    for r, k in sorted({(r, k) for r, k, _ in rows if k is not None}):
-        a, b = sorted((find(first.setdefault(k, r)), find(r)))
+    def join(x, y):
+        a, b = sorted((find(x), find(y)))
         if a != b and not (a in targets and b in targets and targets[a] != targets[b]):
             root[b] = a
             if b in targets:
                 targets[a] = targets[b]
+
+    # keys as they are first seen
+    of = {}
+    for r, k, _, _ in sorted((x for x in rows if x[1] is not None), key=lambda x: (x[0], x[3], x[1])):
+        of.setdefault(k, []).append(r)
+    for rs in of.values():
+        for r in rs[1:]:
+            join(rs[0], r)
+    seen = {k: n for n, k in enumerate(of)}
+    for a, b in sorted(sorted((seen[a], seen[b])) for a, b in alike if a in seen and b in seen):
+        join(list(of.values())[a][0], list(of.values())[b][0])
     return {r: find(r) for r in root}
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(6))
 def test_guard_is_the_replay(spark, seed):
     rng = random.Random(seed)
-    target = {r: rng.choice("XYZ") for r in range(120) if rng.random() < (0.5, 0.1, 0.3, 0.9)[seed]}
-    rows = [(r, f"k{rng.randrange((40, 60, 90, 30)[seed])}", target.get(r)) for r in range(120) for _ in range(rng.choice([1, 1, 2, 3]))] + [(500, None, None), (501, None, "X")]
+    target = {r: rng.choice("XYZ") for r in range(120) if rng.random() < (0.5, 0.1, 0.3, 0.9, 0.2, 0.4)[seed]}
+    rows = [(r, f"k{rng.randrange((40, 60, 90, 30, 80, 120)[seed])}", target.get(r), p) for r in range(120) for p in range(rng.choice([1, 1, 2, 3]))] + [(500, None, None, 0), (501, None, "X", 0)]
+    alike = sorted({tuple(sorted(rng.sample([f"k{i}" for i in range(120)], 2))) for _ in range((0, 10, 20, 20, 40, 40)[seed])})
     rng.shuffle(rows)
-    got = resolve.guarded_components(spark.createDataFrame(rows, "r long, k string, t string"), "r", "k", "t").collect()
-    assert {r.r: r.component for r in got} == replayed(rows) and len(got) == 122
+    signals = spark.createDataFrame(rows, "r long, k string, t string, p int")
+    got = resolve.guarded_components(signals, "r", "k", "t", "p", spark.createDataFrame(alike, "a string, b string") if alike else None).collect()
+    assert {r.r: r.component for r in got} == replayed(rows, alike) and len(got) == 122
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fuzzy_pairs_are_all_pairs(spark, seed):
+    rng, names = random.Random(seed), []
+    for n in range(150):
+        base = list(rng.choice(["acme river capital", "acme rivers capital partners llc", "acme hollow", "acme " + "long " * 9]))
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            at = rng.randrange(len(base))
+            base[at : at + rng.randrange(2)] = rng.choice(["", "a", "x", "zz"])
+        names.append((n, "".join(base), rng.choice("MN")))
+
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    near = lambda x, y: x[2] == y[2] and min(len(x[1]), len(y[1])) >= 10 and 1 - apart(x[1], y[1]) / max(len(x[1]), len(y[1])) >= 0.9
+    want = {(x[0], y[0]) for k, x in enumerate(names) for y in names[k + 1 :] if near(x, y)}
+    got = resolve.fuzzy_pairs(spark.createDataFrame(names, "id long, name string, m string"), "id", "name", F.col("m")).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 100
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_term_hits_are_the_scan(spark, seed):
+    rng = random.Random(seed)
+    words = ["kulik", "river", "capital", "acme", "of", "the", "st", "road", "a1"]
+    texts = [(i, rng.choice([" ", ", ", "\n", "-"]).join(rng.choice(words) for _ in range(rng.randrange(12))), rng.choice(["M", "N", None])) for i in range(200)] + [(900, None, "M"), (901, "KULIK   River!", "M")]
+    terms = [(" ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3]))), rng.choice(["M", "N", None])) for _ in range(25)] + [("", "M"), ("--", "M"), (None, "M"), ("Kulik River", "M"), ("nowhere found", "M")]
+    fold = lambda s: re.sub("[^a-z0-9]+", " ", (s or "").lower()).strip()
+
+    def named(text, term):
+        """Not only streets of that name."""
+        at, found = f" {text} ", []
+        while (k := at.find(f" {term} ")) >= 0:
+            at = at[k + 1 + len(term) :]
+            found.append(re.match(rf" +(?:{dictionary.ROAD})\b", at))
+        return not all(found)
+
+    frames = spark.createDataFrame(texts, "id long, said string, m string"), spark.createDataFrame(terms, "t string, m string")
+    for streets in (True, False):
+        want = {(i, t) for i, s, m in texts for t, n in terms if m == n and fold(t) and f" {fold(t)} " in f" {fold(s)} " and (streets or named(fold(s), fold(t)))}
+        got = dictionary.term_hits(*frames, "id", "said", "t", "m", streets).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want) > 20
 
 
 def folded(rows, least, shared):
@@ -89,19 +152,10 @@ def test_clusters_keep_every_document(spark, tmp_path):
     # one line on 300 documents, lines of pairs, and texts without any line
     texts = {i: f"one opening line of all\nbody {i}" for i in range(300)} | {i: f"begin {i // 2} of a pair\n  end {i}" for i in range(300, 320)} | {400: None, 401: "", 402: " \n "}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = [(i, x.strip(" ") or None, str(i % 3) if i % 50 == 0 else None) for i, t in texts.items() for x in (t or "").split("\n")]
-    for name, given in {"cluster_components_all": [(i, k, None) for i, k, _ in rows], "cluster_guarded": rows}.items():
+    rows = [(i, x.strip(" ") or None, str(i % 3) if i % 50 == 0 else None, p) for i, t in texts.items() for p, x in enumerate((t or "").split("\n"))]
+    for name, given in {"cluster_components_all": [(i, k, None) for i, k, _, _ in rows], "cluster_guarded": rows}.items():
         got = registry.QUERIES[name](spark, str(tmp_path)).collect()
-        if name == "cluster_components_all":
-            assert {r.doc_id: r.component for r in got} == replayed(given)
-        else:
-            # keys are hashes, so the order of links and with it the place of a document may differ
-            of = {r.doc_id: r.component for r in got}
-            held = {}
-            for i in range(0, 300, 50):
-                held.setdefault(of[i], set()).add(i % 3)
-            assert all(len(x) == 1 for x in held.values()) and len(held) >= 3
-            assert all(of[i] == i // 2 * 2 for i in range(300, 320))
+        assert {r.doc_id: r.component for r in got} == replayed(given)
         assert len(got) == len(texts)
 
 
