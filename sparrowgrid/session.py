@@ -38,3 +38,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the driver's tables, by Spark's own reader."""
     share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def read_spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table for heavy work on every row: one that comes in fewer pieces than there are cores is dealt out first; a large one is left as it lies."""
+    rows = read(spark, sf_dir, table)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -1,10 +1,17 @@
 """Signals of records, what is suppressed, clusters and reasons, on small fixtures."""
 
+import os
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from sparrowgrid.functions import facts, taxonomy
 from sparrowgrid.operators import scoring, signals, writes
+from sparrowgrid.plans import clusters
+from tests.test_whole import replayed
+
+SF = "/root/testdata/sf0.001"
 
 SCHEMA = "id long, title string, body string, url string, market string, location string, source string, stream string, applicant string, representative string, presented_by string, status string, lifecycle string, cluster_reason string"
 COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -94,3 +101,54 @@ def test_ledger_keeps_what_it_has(spark):
     ledger = writes.append_ledger(None, rows, ["unit", "day"])
     again = writes.append_ledger(ledger, spark.createDataFrame([("a", 1, 9), ("a", 2, 7)], rows.schema), ["unit", "day"])
     assert sorted(map(tuple, again.collect())) == [("a", 1, 5), ("a", 2, 7), ("b", 1, 6)]
+
+
+def alike(a, b):
+    if min(len(a), len(b)) < 10 or a.split(" ")[0] != b.split(" ")[0]:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return 1 - row[-1] / max(len(a), len(b)) >= 0.9
+
+
+def clustered_by_hand(own, texts):
+    """(component, reason, key) of every record: ``own`` signals (id, market, reason, key, place, target), ``texts`` of press (id, market, folded text)."""
+    known = {(m, k.split(":", 2)[2]) for _, m, r, k, _, _ in own if r == "entity" and len(k.split(":", 2)[2]) >= 10}
+    have = {i for i, _, r, *_ in own if r == "entity"}
+    target = {i: t for i, *_, t in own}
+    rows = list(own)
+    for i, m, text in texts:
+        hits = [e for n, e in known if n == m and f" {e} " in f" {text} "]
+        if i not in have and len(hits) == 1:
+            rows.append((i, m, "entity", f"entity:{m}:{hits[0]}", 1 << 30, target.get(i)))
+    n = Counter(k for _, k in {(i, k) for i, _, _, k, _, _ in rows})
+    rows = [x for x in rows if not (x[3].startswith("site:") and x[3].split(":", 2)[2].startswith("addr:") and n[x[3]] > 3) and not (x[2] == "name" and n[x[3]] < 2)]
+    names = sorted({(m, k) for _, m, r, k, _, _ in rows if r == "entity"})
+    pairs = [(a, b) for k, (m, a) in enumerate(names) for o, b in names[k + 1 :] if m == o and alike(a.split(":", 2)[2], b.split(":", 2)[2])]
+    component = replayed([(i, k, t, p) for i, _, _, k, p, t in rows], pairs)
+    strength = {r: k for k, r in enumerate(signals.REASONS)}
+    best, keys = {}, {}
+    for i, _, r, k, _, _ in rows:
+        best[i] = min(best.get(i, (9, "")), (strength[r], k))
+    for i, b in best.items():
+        keys[component[i]] = min(keys.get(component[i], b), b)
+    return {i: (component[i], signals.REASONS[b[0]], keys[component[i]][1]) for i, b in best.items()}, len(pairs)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_watched_clusters_by_hand(spark):
+    from sparrowgrid.operators.dictionary import folded
+
+    rows = clusters.dockets(spark, SF)
+    live = rows.where("coalesce(status, '') <> 'dismissed' and coalesce(cluster_reason, '') <> 'detached'")
+    own = [(r.id, r.market, r.reason, r.key, r.place, r.target) for r in signals.emit(live, clusters.WATCHED).collect()]
+    press = live.where((F.col("stream") == "intelligence") & ~signals.is_container()).select("id", signals.market_key(), folded(F.concat_ws("\n", "title", "body")))
+    want, pairs = clustered_by_hand(own, [tuple(r) for r in press.collect()])
+    got = {r.id: r for r in clusters.watched_clusters(spark, SF).collect()}
+    assert {i: (r.component, r.reason, r.project_key) for i, r in got.items() if r.component is not None} == want
+    assert set(got) == {r.id for r in live.collect()} and {r for _, r, _ in want.values()} == set(signals.REASONS) and pairs > 0
+    # the guard has work: fewer links than without targets
+    assert replayed([(i, k, None, p) for i, _, _, k, p, _ in own]) != replayed([(i, k, t, p) for i, _, _, k, p, t in own])
