@@ -29,7 +29,7 @@ def connected(signals: DataFrame, record: str, key: str) -> DataFrame:
 
 
 def guarded_union(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(r, component) of ``nodes`` (r, t) after taking ``links`` (a, b, at) in the order of ``at``, no component ever holding two targets.
+    """(r, part, component) of ``nodes`` (r, t): ``part`` by all links, ``component`` after taking ``links`` (a, b, at) in the order of ``at`` with no component ever holding two targets.
 
     A link that would join two targets is refused.  Plain components with one
     target at most take all their links.  In the others the order is kept
@@ -45,8 +45,7 @@ def guarded_union(nodes: DataFrame, links: DataFrame) -> DataFrame:
     many = written(nodes.groupBy("component").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("component"), "many")
     if many.isEmpty():
         drop(links)
-        return nodes.select("r", "component")
-    exact = nodes.join(many, "component", "left_anti").select("r", "component")
+        return nodes.select("r", F.col("component").alias("part"), "component")
     # (r, c, t): a record, its cluster's smallest record and the cluster's target
     state = written(nodes.join(many, "component", "left_semi").select("r", F.col("r").alias("c"), "t"), "clusters")
     while True:
@@ -64,7 +63,7 @@ def guarded_union(nodes: DataFrame, links: DataFrame) -> DataFrame:
         drop(before, picks)
         if last:
             drop(open_)
-            return exact.unionByName(state.select("r", F.col("c").alias("component")))
+            return nodes.join(state.select("r", "c"), "r", "left").select("r", F.col("component").alias("part"), F.coalesce("c", "component").alias("component"))
         at = lambda x: into.select(F.col("c").alias(x), F.col("new").alias(f"n{x}"))
         links = written(open_.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"), "at"), "links")
         drop(open_)
@@ -99,7 +98,7 @@ def guarded_components(signals: DataFrame, record: str, key: str, target: str, p
     without any key is a component of its own.
     """
     nodes = signals.groupBy(F.col(record).alias("r")).agg(F.min(target).alias("t"))
-    return guarded_union(nodes, guarded_links(signals, record, key, place, alike)).withColumnRenamed("r", record)
+    return guarded_union(nodes, guarded_links(signals, record, key, place, alike)).select(F.col("r").alias(record), "component")
 
 
 def fuzzy_pairs(df: DataFrame, id: str, name: str, block: Column, least: float = 0.9, chars: int = 10) -> DataFrame:
