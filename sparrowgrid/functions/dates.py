@@ -46,16 +46,19 @@ def _day_of(pattern: str, year: int, month: int, day: int):
     return read
 
 
+def last_day(days: str | Column, keep) -> Column:
+    """The last of the ascending ``days`` that ``keep`` lets through."""
+    return F.try_element_at(F.filter(days, keep), F.lit(-1))
+
+
 def published_day(c: str | Column, today: Column) -> Column:
     """The freshest stated day that isn't in the future: plan horizons are no publication dates."""
-    days = F.filter(date_candidates(c), lambda d: d <= today)
-    return F.get(days, F.size(days) - 1)
+    return last_day(date_candidates(c), lambda d: d <= today)
 
 
 def milestone_day(c: str | Column, today: Column) -> Column:
     """The last stated day after today."""
-    days = F.filter(date_candidates(c), lambda d: d > today)
-    return F.get(days, F.size(days) - 1)
+    return last_day(date_candidates(c), lambda d: d > today)
 
 
 def derived_dates(deadline: str | Column, published: str | Column, text: str | Column, today: Column) -> Column:

@@ -58,32 +58,40 @@ def _number(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, ",", ""), r"\.$", "").try_cast("double")
 
 
-def stated_facts(c: str | Column, kinds: dict[str, Kind] = KINDS) -> Column:
-    """array<struct<kind, display, value, sentence>> in the kinds' order, then the text's."""
+def _facts_of(parts: Column, name: str, kind: Kind) -> Column:
+    """array<struct<kind, display, value, sentence>> of one kind in the sentences ``parts``."""
     scale_of = F.create_map(*[F.lit(x) for pair in SCALES.items() for x in pair])
 
-    def facts(name: str, kind: Kind):
-        def in_sentence(s: Column) -> Column:
-            def fact(m: Column) -> Column:
-                scale = F.element_at(scale_of, F.lower(F.regexp_extract(m, kind.pattern, 2)))
-                base = _number(F.regexp_extract(m, kind.pattern, 1))
-                ok = base.between(kind.least, kind.most) & (scale.isNotNull() | (base >= kind.bare))
-                value = base * F.coalesce(scale, F.lit(1.0))
-                return F.when(ok, F.struct(F.lit(name).alias("kind"), F.trim(m).alias("display"), value.alias("value"), s.alias("sentence")))
+    def in_sentence(s: Column) -> Column:
+        def fact(m: Column) -> Column:
+            scale = F.element_at(scale_of, F.lower(F.regexp_extract(m, kind.pattern, 2)))
+            base = _number(F.regexp_extract(m, kind.pattern, 1))
+            ok = base.between(kind.least, kind.most) & (scale.isNotNull() | (base >= kind.bare))
+            value = base * F.coalesce(scale, F.lit(1.0))
+            return F.when(ok, F.struct(F.lit(name).alias("kind"), F.trim(m).alias("display"), value.alias("value"), s.alias("sentence")))
 
-            return F.array_compact(F.transform(F.regexp_extract_all(s, F.lit(kind.pattern), 0), fact))
+        return F.array_compact(F.transform(F.regexp_extract_all(s, F.lit(kind.pattern), 0), fact))
 
-        return F.flatten(F.transform(sentences(c), in_sentence))
+    return F.flatten(F.transform(parts, in_sentence))
 
-    return F.concat(*[facts(n, k) for n, k in kinds.items()])
 
+def stated_facts(c: str | Column, kinds: dict[str, Kind] = KINDS) -> Column:
+    """array<struct<kind, display, value, sentence>> in the kinds' order, then the text's."""
+    return F.concat(*[_facts_of(sentences(c), n, k) for n, k in kinds.items()])
 
-def fact_rows(df: DataFrame, id: str, text: str, most: int = 6) -> DataFrame:
-    """(id, kind, place, display, value, sentence): each text's facts, one of each wording, ``most`` of a kind."""
-    rows = df.select(id, F.posexplode(stated_facts(text)).alias("__at", "f")).select(id, "__at", "f.*")
-    once = rows.groupBy(id, "kind", F.lower("display").alias("__said")).agg(F.min_by(F.struct("display", "value", "sentence"), "__at").alias("f"), F.min("__at").alias("__at"))
-    place = F.row_number().over(Window.partitionBy(id, "kind").orderBy("__at"))
-    return once.withColumn("place", place).where(F.col("place") <= most).select(id, "kind", "place", "f.*")
+
+def fact_rows(df: DataFrame, id: str, text: str, most: int = 6, kinds: dict[str, Kind] = KINDS) -> DataFrame:
+    """(id, kind, place, display, value, sentence): each row's facts, one of each wording, ``most`` of a kind.
+
+    A text's facts are one row until the end, so nothing travels: sentences with
+    a digit are cut once, and wordings are told apart inside the row.
+    """
+    parts = df.select(id, F.filter(sentences(text), lambda x: x.rlike("[0-9]")).alias("__parts")).where(F.size("__parts") > 0)
+    found = parts.select(id, *[_facts_of(F.col("__parts"), n, k).alias(f"__{n}") for n, k in kinds.items()])
+    said = found.select("*", *[F.transform(f"__{n}", lambda f: F.lower(f["display"])).alias(f"__{n}_said") for n in kinds])
+    first = lambda n: F.slice(F.filter(f"__{n}", lambda f, i: F.array_position(F.col(f"__{n}_said"), F.lower(f["display"])) == i + 1), 1, most)
+    numbered = [F.transform(first(n), lambda f, i: F.struct((i + 1).alias("place"), f.alias("f"))) for n in kinds]
+    return said.select(id, F.explode(F.concat(*numbered)).alias("x")).select(id, "x.f.kind", "x.place", "x.f.display", "x.f.value", "x.f.sentence")
 
 
 def invented(facts: DataFrame, text: str) -> DataFrame:

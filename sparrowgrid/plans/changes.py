@@ -109,28 +109,6 @@ def lifecycle_sweep(spark, sf_dir):
     return W.lifecycle(rows, date(2000, 1, 26), "p_name", "deadline", "red").select("p_partkey", "lifecycle")
 
 
-_SIGNALS = """s AS (SELECT doc_id AS r, 'p' || substr(text, 1, 12) AS k FROM documents UNION ALL SELECT doc_id, 's' || substr(text, length(text) - 11, 12) FROM documents),
-    g AS (SELECT r, k FROM s WHERE k IN (SELECT k FROM s GROUP BY k HAVING count(*) <= 200))"""
-
-
-def _signals(spark, sf_dir):
-    from sparrowgrid.operators.ranking import frequency_guard
-
-    keys = F.array(F.concat(F.lit("p"), F.substring("text", 1, 12)), F.concat(F.lit("s"), F.right("text", F.lit(12))))
-    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("r"), F.explode(keys).alias("k"))
-    return frequency_guard(rows, "k", 1, 200)
-
-
-@query(
-    "cluster_components",
-    f"""WITH RECURSIVE {_SIGNALS}, e AS (SELECT DISTINCT a.r AS x, b.r AS y FROM g a JOIN g b ON a.k = b.k), c(r, m) AS (SELECT DISTINCT r, r FROM g UNION SELECT c.r, e.y FROM c JOIN e ON e.x = c.m)
-       SELECT r AS doc_id, min(m) AS component FROM c GROUP BY 1""",
-)
-def cluster_components(spark, sf_dir):
-    """Records joined by any common signal key, over-frequent keys left out."""
-    return E.connected(_signals(spark, sf_dir), "r", "k").select(F.col("r").alias("doc_id"), "component")
-
-
 def _lines(spark, sf_dir):
     """Whole lines as keys, however frequent; a document has its own key too, so that none is left out."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x))
@@ -138,8 +116,8 @@ def _lines(spark, sf_dir):
     return read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "r").select("r", F.posexplode(keys).alias("place", "k"))
 
 
-@query("cluster_components_all")
-def cluster_components_all(spark, sf_dir):
+@query("cluster_components")
+def cluster_components(spark, sf_dir):
     """Records joined by any common line, however many hold it."""
     return E.connected(_lines(spark, sf_dir), "r", "k").select(F.col("r").alias("doc_id"), "component")
 

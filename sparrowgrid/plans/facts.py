@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sparrowgrid.functions import facts as X
 from sparrowgrid.functions import text as S
 from sparrowgrid.plans.registry import query
-from sparrowgrid.session import read
+from sparrowgrid.session import read, read_spread
 
 
 def _articles(spark, sf_dir):
@@ -14,7 +14,7 @@ def _articles(spark, sf_dir):
         F.lit("Acme Towers will have "), n("o_custkey", 2, 500), F.lit(" hotel rooms. It rises "), n("o_orderkey", 2, 100), F.lit(" storeys over "), n("o_custkey", 1, 90),
         F.lit(" acres.\nThe cost is $"), n("o_orderkey", 1, 400), F.lit(" million, not $200, for a 1,5"), n("o_custkey", 10, 90), F.lit("-seat hall"),
     )
-    return read(spark, sf_dir, "orders").select("o_orderkey", said.alias("said"))
+    return read_spread(spark, sf_dir, "orders").select("o_orderkey", said.alias("said"))
 
 
 @query(
@@ -79,7 +79,7 @@ def filing_fact_merge(spark, sf_dir):
 
 @query(
     "contact_lines",
-    """SELECT c_custkey, CASE WHEN c_custkey % 4 <> 3 THEN c_name END AS applicant, CASE WHEN c_custkey % 4 <> 3 THEN 'Jane Doe, jane@doe-law.com 702-555-0100' END AS representative,
+    """SELECT c_custkey, CASE WHEN c_custkey % 4 <> 3 THEN c_name END AS applicant, CASE c_custkey % 4 WHEN 1 THEN 'Jane Doe, clerk@city.gov 702-555-0100' WHEN 3 THEN NULL ELSE 'Jane Doe, jane@doe-law.com 702-555-0100' END AS representative,
        CASE WHEN c_custkey % 4 = 1 THEN NULL ELSE 'jane@doe-law.com' END AS email, '702-555-0100' AS phone FROM customer""",
 )
 def contact_lines(spark, sf_dir):
@@ -87,12 +87,12 @@ def contact_lines(spark, sf_dir):
     k = F.col("c_custkey") % 4
     said = F.concat(
         F.when(k == 3, "").otherwise(F.concat(F.lit("Owner: "), "c_name", F.lit("\n"))),
-        F.when(k == 1, "Agent: Jane Doe, jane@doe-law.com 702-555-0100").otherwise("Agent: Jane Doe, jane@doe-law.com 702-555-0100"),
+        F.when(k == 1, "Agent: Jane Doe, clerk@city.gov 702-555-0100").otherwise("Agent: Jane Doe, jane@doe-law.com 702-555-0100"),
         F.lit("\nClerk mail clerk@city.gov"),
     )
     rows = read(spark, sf_dir, "customer").select("c_custkey", said.alias("said"))
     found = X.contacts("said")
-    return rows.select("c_custkey", found.alias("c")).select("c_custkey", "c.applicant", "c.representative", F.when(k != 1, F.col("c.email")).alias("email"), "c.phone")
+    return rows.select("c_custkey", found.alias("c")).select("c_custkey", "c.applicant", "c.representative", "c.email", "c.phone")
 
 
 @query(
@@ -133,13 +133,13 @@ def money_labels(spark, sf_dir):
 
 @query(
     "text_flags",
-    """SELECT n_nationkey, n_nationkey % 3 = 1 AS spanish, CASE WHEN n_nationkey % 3 = 0 THEN 'Cafe Munoz Elevee' ELSE '' END AS plain, CASE WHEN n_nationkey % 3 = 2 THEN 12000.0 END AS tonnes FROM nation""",
+    """SELECT n_nationkey, n_nationkey % 3 = 1 AS spanish, CASE n_nationkey % 3 WHEN 0 THEN 'Cafe Munoz Elevee' WHEN 1 THEN 'El hotel de la playa con los jardines y una torre' ELSE 'Cargo of 12,000 metric tonnes, then 900 MT for the north' END AS plain, CASE WHEN n_nationkey % 3 = 2 THEN 12000.0 END AS tonnes FROM nation""",
 )
 def text_flags(spark, sf_dir):
     """Language, accents and stated volumes."""
     said = F.element_at(F.array(*map(F.lit, ("Café Muñoz Élevée", "El hotel de la playa con los jardines y una torre", "Cargo of 12,000 metric tonnes, then 900 MT for the north"))), (F.col("n_nationkey") % 3 + 1).cast("int"))
     return read(spark, sf_dir, "nation").select("n_nationkey", said.alias("said")).select(
-        "n_nationkey", S.is_spanish("said").alias("spanish"), F.when(F.col("n_nationkey") % 3 == 0, S.deaccent("said")).otherwise("").alias("plain"), S.tonnes("said").alias("tonnes")
+        "n_nationkey", S.is_spanish("said").alias("spanish"), S.deaccent("said").alias("plain"), S.tonnes("said").alias("tonnes")
     )
 
 

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from sparrowgrid.functions import taxonomy as T
 from sparrowgrid.functions.predicates import any_word
+from sparrowgrid.operators import gates as G
 from sparrowgrid.plans.places import _sql
 from sparrowgrid.plans.registry import query
-from sparrowgrid.session import read
+from sparrowgrid.session import read, read_spread
 
 # Texts of filings, the market, the venue type and the gate's reason.
 FILINGS = [
@@ -38,7 +39,7 @@ EXCLUDED, OUTSIDE = ("closed session", "proclamation"), ("data centre", "warehou
 def _filings(spark, sf_dir):
     k = (F.col("c_custkey") % len(FILINGS)).cast("int")
     at = lambda i: F.get(F.array(*[F.lit(x[i]).cast("string") for x in FILINGS]), k)
-    return read(spark, sf_dir, "customer").select("c_custkey", at(0).alias("said"), at(1).alias("market"))
+    return read_spread(spark, sf_dir, "customer").select("c_custkey", at(0).alias("said"), at(1).alias("market"))
 
 
 def _expected(i: int, name: str) -> str:
@@ -78,6 +79,46 @@ def gate_decisions(spark, sf_dir):
     return rows.select("c_custkey", made.alias("d")).select("c_custkey", "d.admitted", "d.reason")
 
 
+def _candidates(spark, sf_dir):
+    """Filings that name parts' firms, streets or nothing, in the nations of customers; parts are watched, suppliers' firms known."""
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    n = part.count()
+    c = F.col("c_custkey")
+    name = lambda key: part.select(F.col("p_partkey").alias(f"k{key}"), F.col("p_name").alias(f"name{key}"))
+    filed = _filings(spark, sf_dir).join(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    filed = filed.join(name(1), c % n == F.col("k1")).join(name(2), c * 7 % n == F.col("k2"))
+    tail = F.when(c % 3 == 0, F.concat(F.lit(" filed by "), F.initcap("name1"), F.lit(" River, LLC"))).when(c % 3 == 1, F.concat(F.lit(" works on "), "name1", F.lit(" river road"))).otherwise(" and nothing more")
+    said = F.concat(F.coalesce("said", F.lit("")), tail)
+    rows = filed.select(
+        c.alias("id"), F.when(c % 4 == 0, "legistar").when(c % 4 == 1, "cftod-pdf").otherwise("press").alias("source"), F.col("n_name").alias("market"), said.alias("said"),
+        F.when(c % 2 == 0, F.concat(said, F.lit(" near "), "name2")).alias("wide"), (c % 5 == 0).alias("single_purpose"), F.col("market").alias("scaled"),
+    )
+    size = F.col("p_size")
+    watched = part.where(size < 6).select(F.initcap("p_name").alias("term"), (size % 2 == 0).alias("strong"), (size == 1).alias("weak_alone"))
+    supplier = read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(part, F.col("s_suppkey") % n == F.col("p_partkey"))
+    return rows, watched, supplier.select(F.col("n_name").alias("market"), F.concat("p_name", F.lit(" river")).alias("entity"), F.col("s_suppkey").alias("place"))
+
+
+@query(
+    "gate_decisions_joined",
+    f"""WITH w AS (SELECT p_name, bool_or(p_size % 2 = 0) AS strong FROM part WHERE p_size BETWEEN 2 AND 5 GROUP BY 1),
+         e AS (SELECT DISTINCT s_nationkey AS m, p_name FROM (SELECT *, s_suppkey % (SELECT count(*) FROM part) AS k FROM supplier) JOIN part ON p_partkey = k),
+         f AS (SELECT c_custkey AS id, c_nationkey AS m, v.reason, c_custkey % 4 AS s, c_custkey % 5 = 0 AS single, c_custkey % 3 AS t, c_custkey % 2 = 0 AS wide, a.p_name AS n1, b.p_name AS n2
+           FROM (SELECT *, c_custkey % (SELECT count(*) FROM part) AS k1, c_custkey * 7 % (SELECT count(*) FROM part) AS k2 FROM customer)
+             JOIN {_expected(3, 'reason')} ON c_custkey % {len(FILINGS)} = v.k JOIN part a ON a.p_partkey = k1 JOIN part b ON b.p_partkey = k2),
+         g AS (SELECT f.*, a.p_name IS NOT NULL OR b.p_name IS NOT NULL AS watched, coalesce(a.strong, FALSE) OR coalesce(b.strong, FALSE) AS strong, e.p_name AS known FROM f
+           LEFT JOIN w a ON t < 2 AND a.p_name = n1 LEFT JOIN w b ON wide AND b.p_name = n2 LEFT JOIN e ON t = 0 AND e.m = f.m AND e.p_name = n1),
+         d AS (SELECT *, CASE WHEN reason IN ('strong', 'weak+action', 'deal') THEN reason WHEN reason NOT IN ('excluded', 'governance-instrument') AND (s = 0 AND watched OR s = 1 AND strong) THEN 'bypass'
+           WHEN reason NOT IN ('excluded', 'governance-instrument') AND known IS NOT NULL AND reason <> 'deal-detached-residential' THEN 'known-entity' WHEN single THEN 'single-purpose' END AS way FROM g)
+       SELECT id, way IS NOT NULL AS admitted, coalesce(way, reason) AS reason, CASE WHEN way = 'known-entity' THEN known || ' river' END AS entity FROM d""",
+)
+def gate_decisions_joined(spark, sf_dir):
+    """The decision on every filing, watched terms and known entities coming from tables."""
+    rows, watched, entities = _candidates(spark, sf_dir)
+    return G.decide(rows, T.register_gate("said", "scaled", EXCLUDED, OUTSIDE), watched, entities).select("id", "admitted", "reason", "entity")
+
+
 @query(
     "civic_subjects",
     """SELECT p_partkey, p_partkey % 5 IN (0, 2) AS civic, p_partkey % 5 = 4 AS broker FROM part""",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sparrowgrid.functions import dates as D
 from sparrowgrid.functions import geography as G
 from sparrowgrid.plans.registry import query
-from sparrowgrid.session import read
+from sparrowgrid.session import read, read_spread
 
 # Locations with the country, region and market they stand for.
 LOCATIONS = [
@@ -77,7 +77,9 @@ def free_dates(spark, sf_dir):
         .otherwise("Vision 2030, opening in 2031")
     )
     today = F.lit("2026-01-01").cast("date")
-    return read(spark, sf_dir, "orders").select("o_orderkey", said.alias("said")).select("o_orderkey", D.published_day("said", today).cast("string").alias("published"), D.milestone_day("said", today).cast("string").alias("milestone"))
+    return read_spread(spark, sf_dir, "orders").select("o_orderkey", said.alias("said")).select("o_orderkey", D.date_candidates("said").alias("days")).select(
+        "o_orderkey", D.last_day("days", lambda d: d <= today).cast("string").alias("published"), D.last_day("days", lambda d: d > today).cast("string").alias("milestone")
+    )
 
 
 @query(

@@ -22,11 +22,11 @@ def test_history_is_for_every_project(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-def test_party_history_all_leaves_no_project_out(spark):
+def test_party_history_leaves_no_project_out(spark):
     items = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_suppkey").distinct()
     # each of the ten suppliers has several projects, so every pair has a history
-    assert registry.QUERIES["party_history_all"](spark, SF).count() == items.count()
-    assert registry.QUERIES["players_summary_all"](spark, SF).first().attached == items.select("l_suppkey").distinct().count()
+    assert registry.QUERIES["party_history"](spark, SF).count() == items.count()
+    assert registry.QUERIES["players_summary"](spark, SF).first().attached == items.select("l_suppkey").distinct().count()
 
 
 def replayed(rows, alike=()):
@@ -153,7 +153,7 @@ def test_clusters_keep_every_document(spark, tmp_path):
     texts = {i: f"one opening line of all\nbody {i}" for i in range(300)} | {i: f"begin {i // 2} of a pair\n  end {i}" for i in range(300, 320)} | {400: None, 401: "", 402: " \n "}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = [(i, x.strip(" ") or None, str(i % 3) if i % 50 == 0 else None, p) for i, t in texts.items() for p, x in enumerate((t or "").split("\n"))]
-    for name, given in {"cluster_components_all": [(i, k, None) for i, k, _, _ in rows], "cluster_guarded": rows}.items():
+    for name, given in {"cluster_components": [(i, k, None) for i, k, _, _ in rows], "cluster_guarded": rows}.items():
         got = registry.QUERIES[name](spark, str(tmp_path)).collect()
         assert {r.doc_id: r.component for r in got} == replayed(given)
         assert len(got) == len(texts)
