@@ -39,12 +39,12 @@ POOL, CELLS = 1024, 2_000_000
 @dataclass(frozen=True)
 class Settings:
     #: The vocabulary: the most frequent words, whose counts every worker has; others' counts are joined.
-    words: int = 32_767
-    classes: int = 128
+    words: int = 65_535
+    classes: int = 256
     dim: int = 16
     #: Noise samples for the class (shared by a batch) and for the word in its class (each token's own).
     noise: int = 16
-    inner: int = 1
+    inner: int = 2
     batch: int = 1024
     rate: float = 0.05
     rounds: int = 3
