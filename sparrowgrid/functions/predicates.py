@@ -69,14 +69,23 @@ def fold_punctuation(c: str | Column) -> Column:
     return F.regexp_replace(col(c), INTRA_WORD, "")
 
 
-def any_word(c: str | Column, words: Sequence[str]) -> Column:
-    """Whether one of the words stands alone in the text, in any case, as written or with punctuation folded on both sides."""
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it stands in the result."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def any_word(c: str | Column, words: Sequence[str], folded_text: Column | None = None) -> Column:
+    """Whether one of the words stands alone in the text, in any case, as written or with punctuation folded on both sides.
+
+    ``folded_text`` is the text with its punctuation folded, where that is there already.
+    """
+    plain = fold_punctuation(c) if folded_text is None else folded_text
 
     def pattern(found: Sequence[str]) -> str:
         return r"(?i)\b(?:" + "|".join(re.escape(w) for w in found) + r")\b"
 
     folded = [f for w in words if (f := re.sub(INTRA_WORD, "", w))]
-    return col(c).rlike(pattern(words)) | (fold_punctuation(c).rlike(pattern(folded)) if folded else F.lit(False))
+    return col(c).rlike(pattern(words)) | (plain.rlike(pattern(folded)) if folded else F.lit(False))
 
 
 def whole_word(c: str | Column, word: str) -> Column:
@@ -86,7 +95,8 @@ def whole_word(c: str | Column, word: str) -> Column:
 
 def word_hits(c: str | Column, words: Sequence[str]) -> Column:
     """The listed words that the text holds, in list order."""
-    return F.array_compact(F.array(*[F.when(whole_word(c, w), F.lit(w)) for w in words]))
+    found = lambda t: F.array_compact(F.array(*[F.when(any_word(t["text"], [w], t["folded"]), F.lit(w)) for w in words]))
+    return let(F.struct(col(c).alias("text"), fold_punctuation(c).alias("folded")), found)
 
 
 @dataclass

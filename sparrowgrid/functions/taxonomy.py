@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparrowgrid.functions.predicates import any_word, col, word_hits
+from sparrowgrid.functions.predicates import any_word, col, fold_punctuation, let
 from sparrowgrid.functions.rules import first_match
 
 # Venue types by their words, first match wins.
@@ -149,13 +149,20 @@ def register_gate(c: str | Column, market: str | Column | None = None, excluded:
     for detached homes), weak words alone.
     """
     raw = F.coalesce(col(c), F.lit(""))
-    text = _blanked(raw, _BORROWED)
-    strong, weak = word_hits(text, STRONG), word_hits(text, WEAK)
-    some = lambda words: any_word(text, words) if words else F.lit(False)
+    unscaled = F.lit(False) if market is None else F.coalesce(col(market).isin(*UNSCALED_MARKETS), F.lit(False))
+    # the text is read as it stands and with its punctuation folded; both are made once
+    both = lambda s: let(F.struct(s["raw"].alias("raw"), s["text"].alias("text"), fold_punctuation(s["text"]).alias("folded")), lambda t: _verdict(t["raw"], t["text"], t["folded"], unscaled, excluded, outside))
+    return let(F.struct(raw.alias("raw"), _blanked(raw, _BORROWED).alias("text")), both)
+
+
+def _verdict(raw: Column, text: Column, folded: Column, unscaled: Column, excluded: Sequence[str], outside: Sequence[str]) -> Column:
+    some = lambda words: any_word(text, words, folded) if words else F.lit(False)
     has_strong, has_weak = some(STRONG), some(WEAK)
+    # single words are asked for where there is one at all
+    hits = lambda has, words: F.when(has, F.array_compact(F.array(*[F.when(some([w]), F.lit(w)) for w in words]))).otherwise(F.array().cast("array<string>"))
+    strong, weak = hits(has_strong, STRONG), hits(has_weak, WEAK)
     limb = F.when(~any_word(F.substring(raw, 1, NAMING_WINDOW), STRONG), governance_limb(raw))
     only_mixed = has_weak & ~some(tuple(w for w in WEAK if w not in MIXED_USE))
-    unscaled = F.lit(False) if market is None else F.coalesce(col(market).isin(*UNSCALED_MARKETS), F.lit(False))
     reason = first_match(
         [
             (some(excluded), "excluded"),

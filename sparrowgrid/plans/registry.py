@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
 
 
 # each module registers its queries as it is imported
-from sparrowgrid.plans import aggregates, changes, clients, clusters, entities, facts, gates, names, places, projects, ranked, register, relations, reports, sections, streams, texts  # noqa: E402, F401
+from sparrowgrid.plans import aggregates, changes, clients, clusters, entities, facts, gates, names, places, projects, ranked, register, relations, reports, screens, sections, streams, texts  # noqa: E402, F401

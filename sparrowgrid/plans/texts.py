@@ -6,7 +6,7 @@ from sparrowgrid.functions import predicates as P
 from sparrowgrid.functions import rules
 from sparrowgrid.functions import text as X
 from sparrowgrid.plans.registry import query
-from sparrowgrid.session import read
+from sparrowgrid.session import read, read_spread
 
 
 @query(
@@ -15,7 +15,7 @@ from sparrowgrid.session import read
 )
 def whole_word_hits(spark, sf_dir):
     """How many of the listed words a text holds as whole words."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(P.word_hits("text", ["the", "and", "der"])).alias("hits"))
+    return read_spread(spark, sf_dir, "documents").select("doc_id", F.size(P.word_hits("text", ["the", "and", "der"])).alias("hits"))
 
 
 @query(
@@ -24,7 +24,7 @@ def whole_word_hits(spark, sf_dir):
 )
 def keyword_prefilter(spark, sf_dir):
     """Documents with three whole-word keywords or more."""
-    return read(spark, sf_dir, "documents").where(F.size(P.word_hits("text", ["of", "in", "to", "de"])) >= 3).select("doc_id")
+    return read_spread(spark, sf_dir, "documents").where(F.size(P.word_hits("text", ["of", "in", "to", "de"])) >= 3).select("doc_id")
 
 
 @query(
