@@ -1,7 +1,10 @@
 """The corpus pipeline: quality rules, near-duplicate join, repeated passages, best-fit packing.
 
 Each stage takes what the one before it kept and, but for the last, returns the
-columns of ``documents``.
+columns of ``documents``.  Null and empty texts have no words and go with the
+quality rules; null sources, languages, counts and ids go through as they are.
+Equal rows shrink to one in the Jaccard stage, other columns stay, and an empty
+table gives no rows.
 """
 
 from __future__ import annotations

@@ -46,6 +46,18 @@ def _day_of(pattern: str, year: int, month: int, day: int):
     return read
 
 
+# Fixed value: seconds of the units in which ages are stated.
+AGES = {"hour": 3600, "day": 86_400, "week": 604_800, "month": 2_592_000, "year": 31_536_000}
+
+
+def stated_time(c: str | Column, now: Column) -> Column:
+    """The time of '3 days ago' before ``now``, or of a time as it stands; null for anything else."""
+    text = F.trim(col(c))
+    n, unit = (F.regexp_extract(text, r"(?i)^(\d{1,9})\s+(hour|day|week|month|year)s?\s+ago$", k) for k in (1, 2))
+    seconds = F.element_at(F.create_map(*[F.lit(x) for pair in AGES.items() for x in pair]), F.lower(unit)) * n.try_cast("bigint")
+    return F.coalesce(F.timestamp_seconds(F.unix_timestamp(now) - seconds), text.try_cast("timestamp"))
+
+
 def last_day(days: str | Column, keep) -> Column:
     """The last of the ascending ``days`` that ``keep`` lets through."""
     return F.try_element_at(F.filter(days, keep), F.lit(-1))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -252,6 +256,50 @@ def is_archived(now: Column) -> Column:
     return F.coalesce(expired, F.lit(False)) | F.coalesce(dead, F.lit(False))
 
 
+@dataclass(frozen=True)
+class CategoryFilter:
+    """What a list is narrowed to; None leaves an axis open.  Archived rows are hidden unless asked for."""
+
+    category: str = "all"
+    include_archived: bool = False
+    notice: str | None = None
+    product: str | None = None
+    cargo: bool = False
+    sub: str | None = None
+    latam: bool = False
+    signal_type: str | None = None
+    jurisdiction: str = "all"
+    industry: str | None = None
+
+    def predicate(self, now: Column, notice: Column | None = None, industry: Column | None = None) -> Column:
+        """Rows (category, module, lead_type, status, deadline, subcategory, product_type, is_cargo, region, signal_type, source, location) of the list.
+
+        ``notice`` and ``industry`` are a tender's own.  Fuel and tenders hide
+        what is awarded or dead unless that notice is asked for; fuel without a
+        product and other rows without a sub-category are 'other'.
+        """
+        said = lambda c, other="other": F.coalesce(F.col(c), F.lit(other))
+        dead = self.category in ("fuel", "tenders") and self.notice == "award_or_dead"
+        rules = [in_category(self.category)]
+        if not (self.include_archived or dead):
+            rules.append(~is_archived(now))
+        if self.category == "fuel":
+            rules += [F.coalesce("is_cargo", F.lit(False))] if self.cargo else []
+            rules.append(said("subcategory", "") == self.notice if self.notice else said("subcategory", "") != "award_or_dead")
+            rules += [said("product_type") == self.product] if self.product else []
+        elif self.category in ("consulting", "feasibility"):
+            rules += [said("subcategory") == self.sub] if self.sub else []
+            rules += [said("region", "") == "LATAM_CARIB"] if self.latam and self.category == "feasibility" else []
+        elif self.category == "signals":
+            rules += [said("signal_type", "") == self.signal_type] if self.signal_type else []
+            rules += [said("subcategory") == self.sub] if self.sub else []
+            rules.append(in_jurisdiction(self.jurisdiction))
+        elif self.category == "tenders":
+            rules += [industry == self.industry] if self.industry else []
+            rules.append(notice == self.notice if self.notice else notice != "award_or_dead")
+        return reduce(and_, rules)
+
+
 def tender_notice(c: str | Column, archived: Column) -> Column:
     """award_or_dead, framework, rfp or solicitation."""
     return first_match([(archived, "award_or_dead"), (any_word(c, ("framework agreement", "framework")), "framework"), (any_word(c, ("request for proposals", "request for proposal", "rfp")), "rfp")], "solicitation")

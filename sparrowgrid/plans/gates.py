@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from sparrowgrid.functions import dates as D
 from sparrowgrid.functions import taxonomy as T
 from sparrowgrid.functions.predicates import any_word
 from sparrowgrid.operators import gates as G
+from sparrowgrid.operators.dictionary import first_known_code
 from sparrowgrid.plans.places import _sql
 from sparrowgrid.plans.registry import query
 from sparrowgrid.session import read, read_spread
@@ -216,3 +218,71 @@ def tender_notices(spark, sf_dir):
     said = F.concat(F.when(k == 0, "A framework agreement").when(k == 1, "RFP for works").otherwise("Works"), F.when(F.col("p_partkey") % 4 == 0, "\nCPV: 98341000-5, 55100000, 98341000").otherwise("\nCode 98341000"))
     rows = read(spark, sf_dir, "part").select("p_partkey", "p_size", said.alias("said"))
     return rows.select("p_partkey", T.tender_notice("said", F.col("p_size") > 45).alias("notice"), F.array_join(cpv_codes("said"), ",").alias("codes"))
+
+
+_LADDERS = {
+    "fuel, any": T.CategoryFilter("fuel"),
+    "fuel, dead": T.CategoryFilter("fuel", notice="award_or_dead"),
+    "fuel, jet": T.CategoryFilter("fuel", product="jet", cargo=True),
+    "consulting, other": T.CategoryFilter("consulting", sub="other", include_archived=True),
+    "feasibility, south": T.CategoryFilter("feasibility", latam=True),
+    "signals, permits": T.CategoryFilter("signals", signal_type="permit", jurisdiction="MX"),
+    "tenders, health": T.CategoryFilter("tenders", industry="health"),
+    "tenders, dead": T.CategoryFilter("tenders", notice="award_or_dead"),
+}
+
+
+@query(
+    "category_ladders",
+    f"""WITH {_LEADS}, x AS (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN 'jet' WHEN 1 THEN 'diesel' END AS product, o_custkey % 2 = 0 AS cargo, CASE WHEN o_custkey % 3 = 0 THEN 'LATAM_CARIB' END AS region,
+           CASE o_custkey % 4 WHEN 0 THEN 'permit' WHEN 1 THEN 'plan' END AS kind, o_custkey % 5 = 0 AS health, status IN ('expired', 'dead') OR deadline < DATE '1998-01-01' OR subcategory = 'award_or_dead' AS old FROM l JOIN orders USING (o_orderkey)),
+         m AS (SELECT o_orderkey, unnest([
+           CASE WHEN coalesce(category = 'fuel', module = 'fuel', false) AND NOT old THEN 'fuel, any' END,
+           CASE WHEN coalesce(category = 'fuel', module = 'fuel', false) AND subcategory = 'award_or_dead' THEN 'fuel, dead' END,
+           CASE WHEN coalesce(category = 'fuel', module = 'fuel', false) AND NOT old AND cargo AND product = 'jet' THEN 'fuel, jet' END,
+           CASE WHEN category = 'feasibility' AND NOT old AND region = 'LATAM_CARIB' THEN 'feasibility, south' END,
+           CASE WHEN category = 'signals' AND NOT old AND kind = 'permit' AND source = 'semarnat' THEN 'signals, permits' END,
+           CASE WHEN lead_type = 'tender' AND NOT old AND health THEN 'tenders, health' END,
+           CASE WHEN lead_type = 'tender' AND old THEN 'tenders, dead' END]) AS list FROM x)
+       SELECT list, count(*) AS n, sum(o_orderkey)::BIGINT AS ids FROM m WHERE list IS NOT NULL GROUP BY 1""",
+)
+def category_ladders(spark, sf_dir):
+    """Lists of every category narrowed by its own ladder, in one pass."""
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    more = read(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(k % 3 == 0, "jet").when(k % 3 == 1, "diesel").alias("product_type"), (c % 2 == 0).alias("is_cargo"), F.when(c % 3 == 0, "LATAM_CARIB").alias("region"),
+        F.when(c % 4 == 0, "permit").when(c % 4 == 1, "plan").alias("signal_type"), F.when(c % 5 == 0, "health").otherwise("other").alias("industry"),
+    )
+    now = F.lit("1998-01-01").cast("date")
+    notice = F.when(T.is_archived(now), "award_or_dead").otherwise("solicitation")
+    marks = F.array_compact(F.array(*[F.when(f.predicate(now, notice, F.col("industry")), F.lit(n)) for n, f in _LADDERS.items()]))
+    return _leads(spark, sf_dir).join(more, "o_orderkey").select("o_orderkey", F.explode(marks).alias("list")).groupBy("list").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("ids"))
+
+
+@query(
+    "code_industries",
+    """WITH t AS (SELECT DISTINCT substr(lpad((l_partkey * 7919 % 100000000)::VARCHAR, 8, '0'), 1, 1 + (l_suppkey % 5)::INT) AS code FROM lineitem WHERE l_linenumber = 1),
+         c AS (SELECT p_partkey, 1 AS place, lpad((p_partkey * 7919 % 100000000)::VARCHAR, 8, '0') AS code FROM part UNION ALL SELECT p_partkey, 2, lpad((p_size * 104729)::VARCHAR, 8, '9') FROM part),
+         h AS (SELECT p_partkey, t.code, row_number() OVER (PARTITION BY p_partkey ORDER BY place, length(t.code) DESC) AS k FROM c JOIN t ON starts_with(c.code, t.code))
+       SELECT p_partkey, 'industry of ' || code AS industry FROM h WHERE k = 1""",
+)
+def code_industries(spark, sf_dir):
+    """The industry of every part's first known code, by the longest prefix in a tree of codes of one to five digits."""
+    text = lambda c: F.lpad((F.col(c) * 7919 % 100_000_000).cast("string"), 8, "0")
+    tree = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.substring(text("l_partkey"), F.lit(1), (F.col("l_suppkey") % 5 + 1).cast("int")).alias("code")).distinct()
+    codes = F.array(text("p_partkey"), F.lpad((F.col("p_size") * 104729).cast("string"), 8, "9"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", codes.alias("codes"))
+    return first_known_code(rows, "p_partkey", "codes", tree.withColumn("industry", F.concat(F.lit("industry of "), "code")), "code", "industry")
+
+
+@query(
+    "stated_times",
+    """WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS k, o_custkey % 50 AS n, o_orderdate AS d FROM orders)
+       SELECT o_orderkey, CASE k WHEN 5 THEN NULL WHEN 4 THEN d::DATE::VARCHAR ELSE (TIMESTAMP '2001-01-01 00:00:00' - to_seconds(n * CASE k WHEN 0 THEN 3600 WHEN 1 THEN 86400 WHEN 2 THEN 604800 ELSE 31536000 END))::DATE::VARCHAR END AS day FROM o""",
+)
+def stated_times(spark, sf_dir):
+    """Days of press that says how old it is."""
+    k, n = F.col("o_orderkey") % 6, (F.col("o_custkey") % 50).cast("string")
+    said = F.when(k == 4, F.col("o_orderdate").cast("date").cast("string")).when(k == 5, "the other day").otherwise(F.concat(F.lit(" "), n, F.when(k == 0, " hours ago").when(k == 1, " Day ago").when(k == 2, " weeks  ago").otherwise(" years ago")))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", said.alias("said"))
+    return rows.select("o_orderkey", D.stated_time("said", F.lit("2001-01-01 00:00:00").cast("timestamp")).cast("date").cast("string").alias("day"))
