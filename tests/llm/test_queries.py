@@ -136,3 +136,28 @@ def test_pipeline(spark, documents):
         total[r.doc_id] = total.get(r.doc_id, 0) + r.n_words
     whole = {i: len(t.encode().split()) + 1 for i, t in kept if not cut[i][1]}
     assert whole and all(total[i] == n for i, n in whole.items())
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    prose = lambda: ". ".join(" ".join(f"w{rng.randrange(4000)}" for _ in range(12)) for _ in range(8)) + "."
+    rows = [(i, prose(), rng.choice(["en", None]), rng.choice(["s", None]), rng.choice([None, 5])) for i in range(30)]
+    odd = [(100, None, "en", "s", 0), (101, "", None, None, None), (102, " \n ", "en", "s", 3), (None, prose(), None, None, None), (103, " ".join(prose() for _ in range(300)), "en", "hot", 1)]
+    again = [rows[0], rows[0], (104, rows[1][1], "en", "s", None)]
+    docs = spark.createDataFrame(rows + odd + again, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # the long text and the one without an id stay, texts without words go, a copy goes to its smaller id, equal rows are one
+    assert {r.doc_id for r in out} == {*range(30), None, 103}
+    whole = {r[0]: len(r[1].split()) + 1 for r in [*rows, odd[-1]]}
+    total = {}
+    for r in out:
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.n_words
+    assert {i: total[i] for i in whole} == whole
+    empty = tmp_path / "empty"
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
