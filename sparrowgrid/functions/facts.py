@@ -51,7 +51,7 @@ OFFICE_MAILBOX = r"(?i)^(info|no-?reply|donotreply|do-?not-?reply|clerk|agendas?
 def sentences(c: str | Column) -> Column:
     """The text's sentences and lines, trimmed, without empty ones."""
     parts = F.split(F.coalesce(col(c), F.lit("")), r"(?<=[.!?])\s+|\n+")
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _number(x: Column) -> Column:
@@ -99,13 +99,23 @@ def invented(facts: DataFrame, text: str) -> DataFrame:
     return facts.where(~F.contains(F.col(text), F.col("display")) | ~F.contains(F.col("sentence"), F.col("display")))
 
 
+# What a party's name may end in without being told by it, the least of a term, what parts of a name stand between.
+PARTY_SUFFIX = r"(?i)\b(llc|l\.l\.c\.|inc\.?|corp\.?|corporation|company|ltd\.?|lp|llp)\b"
+LEAST_OF_TERM, PARTS = 5, r"[/|]"
+
+
 def attribution_terms(name: str | Column, *parties: str | Column) -> Column:
-    """Lower-case terms one of which a sentence must hold to be about the project: the names without suffixes, and their telling words."""
-    suffix = r"(?i)\b(llc|l\.l\.c\.|inc\.?|corp\.?|corporation|company|ltd\.?|lp|llp)\b"
-    tidy = [F.lower(F.coalesce(col(name), F.lit("")))] + [F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(col(p), F.lit(""))), suffix, ""), r"[\s,;:.]+$", "")) for p in parties]
-    words = F.flatten(F.transform(F.array(*tidy), lambda x: F.split(x, r"[^a-z0-9']+")))
-    telling = F.filter(words, lambda w: (F.length(w) >= 5) & ~w.isin(*PLAIN_WORDS))
-    return F.array_distinct(F.concat(F.filter(F.array(*tidy), lambda x: F.length(x) >= 5), telling))
+    """Lower-case terms one of which a sentence must hold to be about the project.
+
+    The parts of its name, the parties without what their kind is called, and
+    the telling words of all of these; nothing under five characters tells.
+    """
+    said = lambda c: F.lower(F.coalesce(col(c), F.lit("")))
+    bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(said(c), PARTY_SUFFIX, ""), r"[\s,;:.]+$", ""))
+    phrases = F.concat(F.transform(F.split(said(name), PARTS), lambda x: F.trim(x)), F.array(*map(bare, parties)).cast("array<string>"))
+    words = F.flatten(F.transform(phrases, lambda x: F.split(x, r"[^a-z0-9']+")))
+    long = lambda xs: F.filter(xs, lambda x: F.length(x) >= LEAST_OF_TERM)
+    return F.array_distinct(F.concat(long(phrases), F.filter(long(words), lambda w: ~w.isin(*PLAIN_WORDS))))
 
 
 def attributed(sentence: str | Column, terms: str | Column) -> Column:

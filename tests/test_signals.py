@@ -79,6 +79,16 @@ def test_facts_are_about_the_project(spark):
     assert facts.invented(bad, "text").count() == 1
 
 
+def test_attribution_terms(spark):
+    row = spark.range(1).select(facts.attribution_terms(F.lit("Kulik River / Phase 2|The Mill"), F.lit("Acme Lodge, LLC"), F.lit(None)).alias("t"), facts.attribution_terms(F.lit(None)).alias("none")).first()
+    assert set(row.t) == {"kulik river", "phase 2", "the mill", "acme lodge", "kulik", "lodge"} and row.none == []
+
+
+def test_sentences_keep_their_digits(spark):
+    # a function of two arguments would be given the place too
+    assert spark.range(1).select(facts.sentences(F.lit("0 is here. 1 is there 1\n 2 more 2 "))).first()[0] == ["0 is here.", "1 is there 1", "2 more 2"]
+
+
 def test_exclusions_cannot_be_bypassed(spark):
     row = spark.range(1).select(
         *[taxonomy.decision(F.lit(r), F.lit(False), F.lit("legistar"), F.lit(True), F.lit(True), F.lit("firm"), F.lit(False), F.lit(False)).alias(n) for n, r in (("a", "excluded"), ("b", "no-match"))]
