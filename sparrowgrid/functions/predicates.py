@@ -99,6 +99,17 @@ def word_hits(c: str | Column, words: Sequence[str]) -> Column:
     return let(F.struct(col(c).alias("text"), fold_punctuation(c).alias("folded")), found)
 
 
+def as_written(c: str | Column, words: Sequence[str]) -> Column:
+    """Whether one of the words stands in the text exactly as written but for case; null for a null text.
+
+    Only ASCII letters, digits and the underscore make a word longer, and a
+    long s is an s, a Kelvin sign a k: what RE2 means by ``(?i)\\b(...)\\b``.
+    """
+    told = "|".join(re.sub("[skSK]", lambda m: {"s": "[s\u017f]", "k": "[k\u212a]"}[m[0].lower()], re.escape(w)) for w in words)
+    end = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+    return col(c).rlike(f"(?i){end}(?:{told}){end}")
+
+
 @dataclass
 class RecordQuery:
     """A flat, declarative filter; ``Column`` by ``compile``.  None leaves an axis open, ``NULL`` asks for nulls."""

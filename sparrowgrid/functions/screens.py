@@ -17,6 +17,8 @@ BROKER = (
     "ICPO", "LOI", "BCL", "SBLC", "FCO", "soft corporate offer", "ready willing and able", "mandate", "tank-to-tank", "TTT", "TTO", "dip and pay",
     "Rotterdam allocation", "performance bond", "Bonny Light procedure",
 )
+#: Those of one plain word.
+BROKER_SHORT = tuple(w for w in BROKER if w.isalpha())
 HIGH_RISK = (
     "cuba", "iran", "north korea", "russia", "belarus", "venezuela", "myanmar", "burma", "sudan", "south sudan", "nicaragua", "afghanistan",
     "yemen", "syria", "somalia", "libya", "haiti", "ukraine", "crimea", "donetsk", "luhansk", "sinaloa", "michoacan", "tamaulipas", "guerrero",
