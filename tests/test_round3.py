@@ -40,3 +40,52 @@ def test_code_industries_never_broadcasts_exploded_codes(spark):
     found = dictionary.first_known_code(rows, "id", "codes", tree, "code", "v")
     assert "Broadcast" not in plan(found)
     assert {tuple(r) for r in found.collect()} == {(1, "b"), (2, "n"), (4, "b")}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def copies(spark, name, part):
+    """How often a part of a pattern stands in the optimised plan: how often a row's text is read for it."""
+    return registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count(part)
+
+
+def test_related_pairs_are_not_shuffled(spark):
+    said = plan(registry.QUERIES["related_reasons"](spark, SF))
+    assert "Aggregate" not in said[: said.index("Join")]
+
+
+def test_neighbours_travel_in_lists(spark):
+    said = plan(registry.QUERIES["related_suppliers_shared"](spark, SF))
+    top = said[: said.index("Join")]
+    assert top.count("Exchange") == 1 and "inline" in top[: top.index("Exchange")]
+
+
+def test_invented_facts_join_nothing(spark):
+    assert "Join" not in plan(registry.QUERIES["invented_facts"](spark, SF))
+
+
+def test_entry_facts_take_terms_along(spark):
+    assert len(re.findall(r"\bSortMergeJoin|\bBroadcastHashJoin", plan(registry.QUERIES["entry_facts"](spark, SF)))) == 1
+
+
+def test_press_facts_search_only_sentences_that_can_match(spark):
+    from sparrowgrid.functions import facts
+
+    assert copies(spark, "press_fact_rows", "Contains") >= len(facts.KINDS)
+
+
+def test_party_keys_are_made_once(spark):
+    assert copies(spark, "party_block", r"\([^)]*\)") == 1 and copies(spark, "party_extraction", r"\([^)]*\)") == 1
+
+
+def test_contact_lines_are_cut_once(spark):
+    assert copies(spark, "contact_lines", "owner/applicant") <= 3
+
+
+def test_titles_are_cleaned_once_and_records_read_once(spark):
+    assert copies(spark, "project_name_ladder", "case planner") == 1 and copies(spark, "project_name_ladder", "Relation [") == 1
+
+
+def test_outline_items_are_made_once(spark):
+    assert copies(spark, "packet_outlines", "call to order") == 1 and copies(spark, "packet_outlines", r"\s*, ") <= 1
