@@ -6,7 +6,7 @@ from sparrowgrid.functions import text as X
 from sparrowgrid.operators import ranking as K
 from sparrowgrid.operators import resolve as E
 from sparrowgrid.plans.registry import query
-from sparrowgrid.session import read
+from sparrowgrid.session import read, read_spread
 
 
 @query(
@@ -94,7 +94,7 @@ def naming_ladder(spark, sf_dir):
 def party_extraction(spark, sf_dir):
     """Parties by role, public bodies refused."""
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(c, "o_custkey").withColumn("clerk", F.lit("City of Nowhere"))
+    rows = read_spread(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(c, "o_custkey").withColumn("clerk", F.lit("City of Nowhere"))
     found = E.parties(rows, "o_orderkey", {"c_name": "applicant", "c_mktsegment": "representative", "clerk": "presenter"}, X.entity_key)
     return found.groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("key").alias("parties"))
 
