@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrowgrid.functions.predicates import col
+from sparrowgrid.functions.predicates import col, let
 from sparrowgrid.functions.text import proper_case, shouted_words
 
 #: The rungs from the best to the last.
@@ -21,9 +21,8 @@ def clean_title(c: str | Column) -> Column:
     """A title without numbering, instruments and field blocks, not shouted, cut at a word; null if nothing is left."""
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(col(c), r"\s+", " "), CHROME, ""), FIELDS, "")
     text = F.regexp_replace(F.trim(text), r"^[\"'“”\s]+|[\"'“”\s,;:.-]+$", "")
-    words = F.size(F.split(text, " "))
-    quiet = F.when(2 * shouted_words(text) >= words, proper_case(text)).otherwise(text)
-    return F.nullif(cut_at_word(quiet, MOST_NAME), F.lit(""))
+    quiet = let(text, lambda t: F.when(2 * shouted_words(t) >= F.size(F.split(t, " ")), proper_case(t)).otherwise(t))
+    return let(let(quiet, lambda q: cut_at_word(q, MOST_NAME)), lambda name: F.nullif(name, F.lit("")))
 
 
 def cut_at_word(c: str | Column, most: int) -> Column:
@@ -41,18 +40,19 @@ def project_names(records: DataFrame, project: str, at: str) -> DataFrame:
     titles are cleaned and the first that is long enough wins.  An applicant is
     named with its venue where a record states one.
     """
-    title = clean_title("title")
+    title = let(clean_title("title"), lambda t: F.when(F.length(t) >= LEAST_TITLE, t))
     given = {
         "target": F.col("target"), "source": F.col("source"), "programme": F.col("programme"),
         "applicant": F.when(F.trim(F.coalesce("applicant", F.lit(""))) != "", F.concat_ws(" ", F.trim("applicant"), "venue")),
-        "address": F.col("address"), "title": F.when(F.length(title) >= LEAST_TITLE, title),
+        "address": F.col("address"), "title": title,
     }
     told = F.array(*[F.struct(F.lit(k).alias("place"), F.trim(given[r]).alias("name")) for k, r in enumerate(RUNGS)])
-    rows = records.select(project, at, F.inline(told)).where("name <> ''")
+    # a record that names nothing stays as a row behind all rungs, so that records are read once
+    last = F.array(F.struct(F.lit(len(RUNGS)).alias("place"), F.lit(None).cast("string").alias("name")))
+    some = let(F.filter(told, lambda t: t["name"] != ""), lambda found: F.when(F.size(found) > 0, found).otherwise(last))
+    rows = records.select(project, at, F.inline(some))
     counts = rows.groupBy(project, "place", "name").agg(F.count("*").alias("n"), F.min(at).alias("first"))
     weight = F.when(F.col("place") == RUNGS.index("title"), 0).otherwise(-F.col("n"))
     best = counts.groupBy(project).agg(F.min_by(F.struct("name", "place"), F.struct("place", weight, "first", "name")).alias("b"))
-    rung = F.element_at(F.array(*map(F.lit, RUNGS)), F.col("b.place") + 1)
-    named = best.select(project, F.col("b.name").alias("name"), rung.alias("rung"))
-    every = records.select(project).distinct().join(named, project, "left")
-    return every.select(project, F.coalesce("name", F.concat(F.lit("Project "), F.col(project))).alias("name"), F.coalesce("rung", F.lit("fallback")).alias("rung"))
+    rung = F.get(F.array(*map(F.lit, (*RUNGS, "fallback"))), F.col("b.place"))
+    return best.select(project, F.coalesce("b.name", F.concat(F.lit("Project "), F.col(project))).alias("name"), rung.alias("rung"))
