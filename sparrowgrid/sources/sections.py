@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparrowgrid.functions.predicates import let
+
 # Pages that may hold an outline, the pages it has without an end of its own, its end, and headings that are no item.
 OUTLINE_PAGES, OUTLINE_DEFAULT, OUTLINE_END, LEAST_TITLE = 6, 3, r"(?i)\badjourn\b", 6
 PROCEDURAL = (
@@ -39,12 +41,19 @@ def outline(packets: DataFrame, id: str, pages: str) -> DataFrame:
     are empty, a packet without items has no row.
     """
     texts = F.transform(F.slice(pages, F.lit(1), outline_end(F.col(pages))), lambda x: F.coalesce(x, F.lit("")))
-    parts = packets.where(F.size(pages) > 0).select(id, F.posexplode(F.split(F.array_join(texts, "\n"), rf"(?m)^(?=\s*{_MARKER})")).alias("place", "__item"))
-    items = parts.withColumn("__item", F.regexp_replace("__item", r"^\s+", "")).where(F.col("__item").rlike(f"^{_MARKER}"))
-    num = F.regexp_replace(F.regexp_extract("__item", f"^{_MARKER}", 1), r"\.$", "")
-    found = items.select(id, "place", num.alias("num"), _one_line(F.regexp_replace("__item", rf"^{_MARKER}\s*", "")).alias("title"))
-    plain = F.trim(F.regexp_replace(F.lower("title"), r"\s+", " "))
-    return found.where((F.length(plain) >= LEAST_TITLE) & ~plain.isin(*PROCEDURAL))
+    plain = lambda title: F.trim(F.regexp_replace(F.lower(title), r"\s+", " "))
+    is_item = lambda title: let(plain(title), lambda p: (F.length(p) >= LEAST_TITLE) & ~p.isin(*PROCEDURAL))
+
+    def item(said: Column) -> Column:
+        num = F.regexp_replace(F.regexp_extract(said, f"^{_MARKER}", 1), r"\.$", "")
+        found = let(_one_line(F.regexp_replace(said, rf"^{_MARKER}\s*", "")), lambda title: F.when(is_item(title), F.struct(num.alias("num"), title.alias("title"))))
+        return F.when(said.rlike(f"^{_MARKER}"), found)
+
+    # items are made in the array, so that no filter on a row makes them again
+    parts = F.split(F.array_join(texts, "\n"), rf"(?m)^(?=\s*{_MARKER})")
+    items = F.transform(parts, lambda x: let(F.regexp_replace(x, r"^\s+", ""), item))
+    each = packets.where(F.size(pages) > 0).select(id, F.posexplode(items).alias("place", "__item")).where("__item is not null")
+    return each.select(id, "place", "__item.num", "__item.title")
 
 
 def heading_tree(headings: DataFrame, id: str, place: str, level: str, title: str) -> DataFrame:
