@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparrowgrid.functions.predicates import col
+from sparrowgrid.functions.predicates import col, let
 
 
 @dataclass(frozen=True)
@@ -20,16 +22,18 @@ class Kind:
     most: float = 1e18
     #: A number without a scale must reach this.
     bare: float = 0.0
+    #: Lower-case parts one of which every match holds: other sentences needn't be searched.
+    holds: tuple[str, ...] = ()
 
 
 # Patterns and bounds of the kinds, and the scales.
 KINDS = {
-    "rooms": Kind(r"(?i)\b([\d,]{1,7})[\s-]?(?:(?:guest|hotel|luxury|resort|new|additional|branded|keyed)[\s-]?){0,2}(?:rooms?|keys)()\b", 2, 20_000),
-    "floors": Kind(r"(?i)\b([\d,]{1,4})[\s-]?(?:storey|story|stories|storeys|floors?|levels?)()\b", 2, 250),
-    "sqft": Kind(r"(?i)\b([\d,.]+)\s*(million|thousand)?\s*(?:square[\s-]?f(?:ee|oo)t|square[\s-]?foot|sq\.?\s?ft\.?)\b"),
-    "seats": Kind(r"(?i)\b(?:capacity\s+of\s+)?([\d,]{2,9})[\s-]?(?:seats?|capacity)()\b", 10),
-    "money": Kind(r"(?:US)?\$\s?([\d,.]+)[\s-]*(billion|million|trillion|thousand|bn|mm|[BMKT])?\b", bare=1e6),
-    "acres": Kind(r"(?i)\b([\d,.]+)[\s-]acres?()\b"),
+    "rooms": Kind(r"(?i)\b([\d,]{1,7})[\s-]?(?:(?:guest|hotel|luxury|resort|new|additional|branded|keyed)[\s-]?){0,2}(?:rooms?|keys)()\b", 2, 20_000, holds=("room", "keys")),
+    "floors": Kind(r"(?i)\b([\d,]{1,4})[\s-]?(?:storey|story|stories|storeys|floors?|levels?)()\b", 2, 250, holds=("stor", "floor", "level")),
+    "sqft": Kind(r"(?i)\b([\d,.]+)\s*(million|thousand)?\s*(?:square[\s-]?f(?:ee|oo)t|square[\s-]?foot|sq\.?\s?ft\.?)\b", holds=("sq",)),
+    "seats": Kind(r"(?i)\b(?:capacity\s+of\s+)?([\d,]{2,9})[\s-]?(?:seats?|capacity)()\b", 10, holds=("seat", "capacity")),
+    "money": Kind(r"(?:US)?\$\s?([\d,.]+)[\s-]*(billion|million|trillion|thousand|bn|mm|[BMKT])?\b", bare=1e6, holds=("$",)),
+    "acres": Kind(r"(?i)\b([\d,.]+)[\s-]acres?()\b", holds=("acre",)),
 }
 SCALES = {"thousand": 1e3, "k": 1e3, "million": 1e6, "mm": 1e6, "m": 1e6, "billion": 1e9, "bn": 1e9, "b": 1e9, "trillion": 1e12, "t": 1e12}
 # Words that identify no project by themselves.
@@ -64,14 +68,19 @@ def _facts_of(parts: Column, name: str, kind: Kind) -> Column:
 
     def in_sentence(s: Column) -> Column:
         def fact(m: Column) -> Column:
-            scale = F.element_at(scale_of, F.lower(F.regexp_extract(m, kind.pattern, 2)))
-            base = _number(F.regexp_extract(m, kind.pattern, 1))
-            ok = base.between(kind.least, kind.most) & (scale.isNotNull() | (base >= kind.bare))
-            value = base * F.coalesce(scale, F.lit(1.0))
-            return F.when(ok, F.struct(F.lit(name).alias("kind"), F.trim(m).alias("display"), value.alias("value"), s.alias("sentence")))
+            read = F.struct(_number(F.regexp_extract(m, kind.pattern, 1)).alias("base"), F.element_at(scale_of, F.lower(F.regexp_extract(m, kind.pattern, 2))).alias("scale"))
+
+            def made(r: Column) -> Column:
+                ok = r["base"].between(kind.least, kind.most) & (r["scale"].isNotNull() | (r["base"] >= kind.bare))
+                value = r["base"] * F.coalesce(r["scale"], F.lit(1.0))
+                return F.when(ok, F.struct(F.lit(name).alias("kind"), F.trim(m).alias("display"), value.alias("value"), s.alias("sentence")))
+
+            return let(read, made)
 
         return F.array_compact(F.transform(F.regexp_extract_all(s, F.lit(kind.pattern), 0), fact))
 
+    if kind.holds:
+        parts = F.filter(parts, lambda s: let(F.lower(s), lambda t: reduce(or_, [F.contains(t, F.lit(w)) for w in kind.holds])))
     return F.flatten(F.transform(parts, in_sentence))
 
 
@@ -80,18 +89,23 @@ def stated_facts(c: str | Column, kinds: dict[str, Kind] = KINDS) -> Column:
     return F.concat(*[_facts_of(sentences(c), n, k) for n, k in kinds.items()])
 
 
-def fact_rows(df: DataFrame, id: str, text: str, most: int = 6, kinds: dict[str, Kind] = KINDS) -> DataFrame:
-    """(id, kind, place, display, value, sentence): each row's facts, one of each wording, ``most`` of a kind.
+def fact_rows(df: DataFrame, id: str, text: str, most: int = 6, kinds: dict[str, Kind] = KINDS, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, kind, place, display, value, sentence): each row's facts, one of each wording, ``most`` of a kind, behind the columns ``keep`` of their row.
 
     A text's facts are one row until the end, so nothing travels: sentences with
     a digit are cut once, and wordings are told apart inside the row.
     """
-    parts = df.select(id, F.filter(sentences(text), lambda x: x.rlike("[0-9]")).alias("__parts")).where(F.size("__parts") > 0)
-    found = parts.select(id, *[_facts_of(F.col("__parts"), n, k).alias(f"__{n}") for n, k in kinds.items()])
-    said = found.select("*", *[F.transform(f"__{n}", lambda f: F.lower(f["display"])).alias(f"__{n}_said") for n in kinds])
-    first = lambda n: F.slice(F.filter(f"__{n}", lambda f, i: F.array_position(F.col(f"__{n}_said"), F.lower(f["display"])) == i + 1), 1, most)
-    numbered = [F.transform(first(n), lambda f, i: F.struct((i + 1).alias("place"), f.alias("f"))) for n in kinds]
-    return said.select(id, F.explode(F.concat(*numbered)).alias("x")).select(id, "x.f.kind", "x.place", "x.f.display", "x.f.value", "x.f.sentence")
+
+    def of_kind(parts: Column, n: str, k: Kind) -> Column:
+        def first(found: Column) -> Column:
+            said = F.transform(found, lambda f: F.lower(f["display"]))
+            own = let(said, lambda w: F.slice(F.filter(found, lambda f, i: F.array_position(w, F.get(w, i)) == i + 1), 1, most))
+            return F.transform(F.when(F.size(found) > 1, own).otherwise(F.slice(found, 1, most)), lambda f, i: F.struct((i + 1).alias("place"), f.alias("f")))
+
+        return let(_facts_of(parts, n, k), first)
+
+    numbered = let(F.filter(sentences(text), lambda x: x.rlike("[0-9]")), lambda parts: F.concat(*[of_kind(parts, n, k) for n, k in kinds.items()]))
+    return df.select(id, *keep, F.explode(numbered).alias("x")).select(id, *keep, "x.f.kind", "x.place", "x.f.display", "x.f.value", "x.f.sentence")
 
 
 def invented(facts: DataFrame, text: str) -> DataFrame:
@@ -112,14 +126,18 @@ def attribution_terms(name: str | Column, *parties: str | Column) -> Column:
     """
     said = lambda c: F.lower(F.coalesce(col(c), F.lit("")))
     bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(said(c), PARTY_SUFFIX, ""), r"[\s,;:.]+$", ""))
-    phrases = F.concat(F.transform(F.split(said(name), PARTS), lambda x: F.trim(x)), F.array(*map(bare, parties)).cast("array<string>"))
-    words = F.flatten(F.transform(phrases, lambda x: F.split(x, r"[^a-z0-9']+")))
+    told = F.concat(F.transform(F.split(said(name), PARTS), lambda x: F.trim(x)), F.array(*map(bare, parties)).cast("array<string>"))
     long = lambda xs: F.filter(xs, lambda x: F.length(x) >= LEAST_OF_TERM)
-    return F.array_distinct(F.concat(long(phrases), F.filter(long(words), lambda w: ~w.isin(*PLAIN_WORDS))))
+
+    def terms(phrases: Column) -> Column:
+        words = F.flatten(F.transform(phrases, lambda x: F.split(x, r"[^a-z0-9']+")))
+        return F.array_distinct(F.concat(long(phrases), F.filter(long(words), lambda w: ~w.isin(*PLAIN_WORDS))))
+
+    return let(told, terms)
 
 
 def attributed(sentence: str | Column, terms: str | Column) -> Column:
-    return F.exists(col(terms), lambda t: F.contains(F.lower(col(sentence)), t))
+    return let(F.lower(col(sentence)), lambda s: F.exists(col(terms), lambda t: F.contains(s, t)))
 
 
 def entry_facts(facts: DataFrame, id: str, terms: str) -> DataFrame:
@@ -138,11 +156,11 @@ def labelled_lines(c: str | Column, labels: dict[str, Sequence[str]]) -> Column:
         pattern = r"(?i)^(" + "|".join(names) + r")\s*[:#]\s*(.+)$"
 
         def fact(line: Column, kind=kind, pattern=pattern) -> Column:
-            display = F.trim(F.regexp_extract(line, pattern, 2))
-            return F.struct(F.lit(kind).alias("kind"), F.regexp_extract(line, pattern, 1).alias("label"), display.alias("display"), _number(F.regexp_extract(display, r"^\$?([\d,.]+)", 1)).alias("value"), line.alias("line"))
+            told = lambda d: F.struct(F.lit(kind).alias("kind"), F.regexp_extract(line, pattern, 1).alias("label"), d.alias("display"), _number(F.regexp_extract(d, r"^\$?([\d,.]+)", 1)).alias("value"), line.alias("line"))
+            return let(F.trim(F.regexp_extract(line, pattern, 2)), told)
 
-        found.append(_matching(lines, pattern, fact))
-    return F.concat(*found)
+        found.append((pattern, fact))
+    return let(lines, lambda xs: F.concat(*[_matching(xs, pattern, fact) for pattern, fact in found]))
 
 
 def _matching(lines: Column, pattern: str, fact) -> Column:
@@ -173,15 +191,19 @@ def contacts(c: str | Column) -> Column:
     the labelled lines only.
     """
     labels = {"applicant": ("applicant", "owner", "owner/applicant", "property owner"), "representative": ("representative", "agent", "attorney", "contact"), "presenter": ("presented by", "presenter")}
-    lines = labelled_lines(c, labels)
-    said = {k: F.get(F.filter(lines, _of_kind(k)), 0)["display"] for k in labels}
-    block = F.concat_ws("\n", *said.values())
-    mails = F.filter(F.regexp_extract_all(block, F.lit(r"([\w.+-]+@[\w-]+\.[\w.-]*\w)"), 1), lambda m: ~F.split(m, "@")[1].rlike(AGENCY_HOST) & ~F.split(m, "@")[0].rlike(OFFICE_MAILBOX))
-    phones = F.regexp_extract_all(block, F.lit(r"(\(?\b\d{3}\)?[\s.-]?\d{3}[.-]\d{4}\b)"), 1)
-    return F.struct(
-        said["applicant"].alias("applicant"), F.when(said["applicant"].isNotNull(), said["representative"]).alias("representative"), said["presenter"].alias("presenter"),
-        F.get(mails, 0).alias("email"), F.get(phones, 0).alias("phone"),
-    )
+
+    def told(said: Column) -> Column:
+        def found(block: Column) -> Column:
+            mails = F.filter(F.regexp_extract_all(block, F.lit(r"([\w.+-]+@[\w-]+\.[\w.-]*\w)"), 1), lambda m: ~F.split(m, "@")[1].rlike(AGENCY_HOST) & ~F.split(m, "@")[0].rlike(OFFICE_MAILBOX))
+            phones = F.regexp_extract_all(block, F.lit(r"(\(?\b\d{3}\)?[\s.-]?\d{3}[.-]\d{4}\b)"), 1)
+            return F.struct(
+                said["applicant"].alias("applicant"), F.when(said["applicant"].isNotNull(), said["representative"]).alias("representative"), said["presenter"].alias("presenter"),
+                F.get(mails, 0).alias("email"), F.get(phones, 0).alias("phone"),
+            )
+
+        return let(F.concat_ws("\n", *[said[k] for k in labels]), found)
+
+    return let(let(labelled_lines(c, labels), lambda lines: F.struct(*[F.get(F.filter(lines, _of_kind(k)), 0)["display"].alias(k) for k in labels])), told)
 
 
 def cpv_codes(c: str | Column) -> Column:
