@@ -90,7 +90,7 @@ def contact_lines(spark, sf_dir):
         F.when(k == 1, "Agent: Jane Doe, clerk@city.gov 702-555-0100").otherwise("Agent: Jane Doe, jane@doe-law.com 702-555-0100"),
         F.lit("\nClerk mail clerk@city.gov"),
     )
-    rows = read(spark, sf_dir, "customer").select("c_custkey", said.alias("said"))
+    rows = read_spread(spark, sf_dir, "customer").select("c_custkey", said.alias("said"))
     found = X.contacts("said")
     return rows.select("c_custkey", found.alias("c")).select("c_custkey", "c.applicant", "c.representative", "c.email", "c.phone")
 
