@@ -47,8 +47,8 @@ def entry_facts(spark, sf_dir):
     """Facts that are about the project: their sentence names it or one of its parties."""
     articles = _articles(spark, sf_dir)
     name = F.when(F.col("o_orderkey") % 2 == 0, "The Acme Towers Hotel Project").otherwise("North River Park, LLC")
-    terms = articles.select("o_orderkey", X.attribution_terms(name, F.when(F.col("o_orderkey") % 2 == 0, F.lit("Acme Towers, LLC"))).alias("terms"))
-    facts = X.fact_rows(articles, "o_orderkey", "said").join(terms, "o_orderkey")
+    terms = articles.withColumn("terms", X.attribution_terms(name, F.when(F.col("o_orderkey") % 2 == 0, F.lit("Acme Towers, LLC"))))
+    facts = X.fact_rows(terms, "o_orderkey", "said", keep=["terms"])
     kept = X.entry_facts(facts, "o_orderkey", "terms").groupBy("o_orderkey").agg(F.count("*").alias("n"))
     return articles.select("o_orderkey").join(kept, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0)).cast("int").alias("facts"))
 
