@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowgrid.functions.predicates import fold
 
+# The most neighbours in a list that travels, and into how many parts a value's ids and all pairs are dealt.
+LIST, PARTS, ROUNDS = 256, 24, 4
+
 
 def holding(parents: DataFrame, children: DataFrame, key: str, where: Column) -> DataFrame:
     """Parents that have a child for which the predicate holds."""
@@ -46,10 +49,41 @@ def related(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(a, other, shared, links): two-hop neighbours over shared ``b``; ``links`` counts edge rows, ``shared`` distinct ones.
 
     Edges are counted by (a, b) first, so a hub with many repeated edges is one row a neighbour.
+    Neighbours travel to ``a`` in lists of ``LIST`` at most, not one by one, and are counted there.
+    """
+    counted = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("w"))
+    nth = F.row_number().over(Window.partitionBy(b).orderBy(a)) - 1
+    lists = counted.withColumn("__list", F.floor(nth / LIST)).groupBy(b, "__list").agg(F.sort_array(F.collect_list(F.struct(F.col(a).alias("x"), "w"))).alias("__of"))
+    lists = lists.select(b, F.col("__of.x").alias("__x"), F.col("__of.w").alias("__w"))
+    met = counted.select(a, b).hint("merge").join(lists, b).select(a, "__x", "__w").repartition(a)
+    each = met.select(a, F.inline(F.arrays_zip("__x", "__w"))).select(a, F.col("__x").alias("other"), F.col("__w").alias("w2"))
+    return each.where(F.col(a) != F.col("other")).groupBy(a, "other").agg(F.count("*").alias("shared"), F.sum("w2").alias("links"))
+
+
+def related_by(rows: DataFrame, id: str, axes: Sequence[str]) -> DataFrame:
+    """(id, other, reasons): pairs of ids that share a value of one of the ``axes``, with all axes on which they do, in order.
+
+    A pair is made once, at the first value of the first axis that both have, so
+    pairs are never shuffled; a value's ids are dealt to ``PARTS`` tasks, each of
+    which meets all of them.
     """
-    counted = edges.groupBy(a, b).agg(F.count("*").alias("w"))
-    other = counted.select(F.col(a).alias("other"), b, F.col("w").alias("w2"))
-    return counted.join(other, b).where(F.col(a) != F.col("other")).groupBy(a, "other").agg(F.count("*").alias("shared"), F.sum("w2").alias("links"))
+    sets = rows.where(F.col(id).isNotNull()).groupBy(id).agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in axes])
+    mine = sets.select(F.col(id).alias("a"), *[F.col(c).alias(f"a_{k}") for k, c in enumerate(axes)])
+    yours = sets.select(F.col(id).alias("b"), *[F.col(c).alias(f"b_{k}") for k, c in enumerate(axes)])
+    met = lambda k: F.arrays_overlap(f"a_{k}", f"b_{k}")
+    out = None
+    for k in range(len(axes)):
+        part = F.pmod(F.xxhash64("a"), F.lit(PARTS)).cast("int")
+        left = mine.withColumn("v", F.explode(f"a_{k}")).withColumn("part", part).repartition(ROUNDS * PARTS, "v", "part")
+        right = yours.withColumn("v", F.explode(f"b_{k}")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).repartition(ROUNDS * PARTS, "v", "part")
+        first = F.when((F.size(f"a_{k}") == 1) | (F.size(f"b_{k}") == 1), F.lit(True)).otherwise(F.array_min(F.array_intersect(f"a_{k}", f"b_{k}")) == F.col("v"))
+        pairs = left.hint("merge").join(right, ["v", "part"]).where((F.col("a") != F.col("b")) & first)
+        for j in range(k):
+            pairs = pairs.where(~met(j))
+        why = F.concat_ws(",", *[F.lit(axes[k])], *[F.when(met(j), F.lit(axes[j])) for j in range(k + 1, len(axes))])
+        pairs = pairs.select(F.col("a").alias(id), F.col("b").alias("other"), why.alias("reasons"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
 
 
 def history(edges: DataFrame, project: str, party: str) -> DataFrame:
