@@ -92,9 +92,7 @@ def related_suppliers_shared(spark, sf_dir):
 def related_reasons(spark, sf_dir):
     """Related by one of two reasons, reasons gathered."""
     s = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("nation"), F.floor(F.col("s_acctbal") / 500).alias("rank"))
-    one = lambda c: S.related(s.select("s_suppkey", c), "s_suppkey", c).select("s_suppkey", "other", F.lit(c).alias("reason"))
-    both = one("nation").unionByName(one("rank"))
-    return both.groupBy("s_suppkey", "other").agg(F.array_join(F.sort_array(F.collect_set("reason")), ",").alias("reasons"))
+    return S.related_by(s, "s_suppkey", ("nation", "rank"))
 
 
 @query(
