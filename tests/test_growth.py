@@ -60,3 +60,28 @@ def test_pieces_of_pieces_miss_no_pair(spark):
                 if like >= 0.8:
                     want[min(a, b), max(a, b)] = round(like, 9)
     assert {(r.a, r.b): round(r.similarity, 9) for r in got} == want and len(got) == len(want) > 0
+
+
+def test_patterns_are_asked_of_few_and_find_the_same(spark):
+    from sparrowgrid.functions import text
+    from sparrowgrid.operators import signals
+
+    said = [
+        "A CITY-INITIATED plan", "Location: CityWide", "city initiated", "initiated by a city", "the annual budget", "Annual  budget", "appropriations limits", "an appropriation",
+        "Adopting the fiscal year 2020 budget", "apn: 123-45-678-901 and APN 1234-56789", "Project: Old Mill", "project : no", "at 12 north elm street today", "at 1 elm street",
+        "at 100\tmain st and 200 oak ave, city hall", "packets and a PACKET", "The following matters have been scheduled", "BL2020-1234 and Z-1-A, rs2021-001", "", None,
+    ]
+    rows = spark.createDataFrame([(x, m) for x in said for m in ("Nashville", "Phoenix", None)], "title string, market string")
+    rows = rows.selectExpr("*", "cast(null as string) as body", "title as url", "'x' as source", "'' as representative", "'' as presented_by")
+    held = [(signals.CITYWIDE, signals.IN_CITYWIDE), (signals.FISCAL, signals.IN_FISCAL), (signals.CONTAINER_TITLE, signals.IN_CONTAINER)]
+    for pattern, words in held:
+        assert rows.where(~signals._holds(F.col("title"), pattern, words).eqNullSafe(F.col("title").rlike(pattern))).count() == 0
+    got = {(r.title, r.market): (r.roots, r.sites) for r in rows.select("title", "market", signals.case_roots().alias("roots"), signals.site_keys().alias("sites")).collect()}
+    assert got["BL2020-1234 and Z-1-A, rs2021-001", "Nashville"][0] == ["bl2020-1234", "rs2021-001"] and got["BL2020-1234 and Z-1-A, rs2021-001", None][0] == []
+    assert got["apn: 123-45-678-901 and APN 1234-56789", None][1] == ["apn:123-45-678-901", "apn:1234-56789"] and got["Project: Old Mill", None][1] == ["proj:old mill"]
+    assert got["at 12 north elm street today", None][1] == ["addr:12 north elm street"] and got["at 1 elm street", None][1] == [] and got[None, "Phoenix"] == ([], [])
+    names = {"A & B Holdings LLC": "a b", "The Group Holdings": "the", "Sand, LLC and Stone, Inc.": "sand", "LLC": "llc", "Partners Trust": "partners", "Andover Co Group": "andover"}
+    keys = spark.createDataFrame([(n,) for n in names], "n string").select("n", text.entity_key("n").alias("k")).collect()
+    assert {r.n: r.k for r in keys} == names
+    # with no watched project nothing is searched for one
+    assert "ballot" not in spark._jvm.PythonSQLUtils.explainString(signals.emit(rows.selectExpr("*", "1L as id", "'' as location", "'' as stream", "'' as applicant"))._jdf.queryExecution(), "simple")
