@@ -5,6 +5,10 @@ and its classes; a word's probability is its class's times its own inside the
 class, both normalised by batched matrix products.  Words beyond the vocabulary
 share one class, in which a word has its smoothed share of the counts.
 
+Texts are cut and looked up once; training and scoring read the ranks of their
+words.  A softmax's sum is taken once for all tokens of a slice that have the
+same context.
+
 Training is dealt to shards by a hash of the document, as many as the tokens
 ask for and none that depends on how the input is partitioned.  In every round
 each shard trains a copy of the model (numpy) on its next part, and Spark
@@ -25,15 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm.common import bounded, drop, release, written
+from sparrowgrid.llm.common import bounded, release, written
 
 END = ""  # no word is empty
 #: Distinct words a counting task holds before it passes its counts on.
 HELD = 500_000
+#: Bytes of coded text, two a token, that are scored at a time.
+SCORED_BYTES = 2 << 20
 
 
-#: Noise words kept for each class, and cells of a softmax held at a time.
-POOL, CELLS = 1024, 2_000_000
+#: Noise words kept for each class, and cells of a softmax held at a time (they stay in a core's cache).
+POOL, CELLS = 1024, 64_000
 
 
 @dataclass(frozen=True)
@@ -112,14 +118,14 @@ class Model:
         share = np.append(sums, other + 0.5)
         self.noise = share / share.sum()
         inner = counts / sums[self.class_of[:n]]
-        #: Parameters by name; the last column of c and q is the bias.
+        #: Parameters by name; c and q end with a bias.
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         self.p = {
             "c": np.hstack([small(k + 1, s.dim), np.log(self.noise)[:, None].astype(np.float32)]),
             "q": np.hstack([small(n, s.dim), np.log(inner)[:, None].astype(np.float32)]),
-            "r": np.hstack([small(n + 2, s.dim), np.zeros((n + 2, 1), np.float32)]),
-            "a": np.hstack([np.eye(s.dim, dtype=np.float32), np.zeros((s.dim, 1), np.float32)]),
-            "b": np.hstack([np.eye(s.dim, dtype=np.float32), np.zeros((s.dim, 1), np.float32)]),
+            "r": small(n + 2, s.dim),
+            "a": np.eye(s.dim, dtype=np.float32),
+            "b": np.eye(s.dim, dtype=np.float32),
         }
         #: Adagrad's sums, one a row.
         self.squares = {name: np.full(len(x), 1e-6, np.float32) for name, x in self.p.items()}
@@ -144,66 +150,86 @@ class Model:
 
     def train(self, words: np.ndarray, begins: np.ndarray, rng: np.random.Generator, touched: dict[str, np.ndarray]) -> None:
         """One pass of noise-contrastive steps over a stretch of tokens; ``touched`` counts the rows' updates."""
-        before, before2 = self.contexts(words, begins)
+        around = np.stack(self.contexts(words, begins), axis=1)
         s, p, d = self.s, self.p, self.s.dim
         cumulative = np.cumsum(self.noise)
-        wrong = lambda x: 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+        every, pool = self.class_of.take(words), self.pool.ravel()
+        hidden = np.ones((s.batch, d + 1), np.float32)  # ends with the biases' one
         for i in range(0, len(words), s.batch):
-            w, at, bt = words[i : i + s.batch], before[i : i + s.batch], before2[i : i + s.batch]
-            kinds = self.class_of[w]
+            w, kinds, near = words[i : i + s.batch], every[i : i + s.batch], around[i : i + s.batch].ravel()
+            m, h = len(w), hidden[: len(w)]
             drawn = np.minimum(np.searchsorted(cumulative, rng.random(s.noise)), len(cumulative) - 1)
-            ra, rb = p["r"][at, :d], p["r"][bt, :d]
-            h = ra @ p["a"][:, :d].T + rb @ p["b"][:, :d].T
+            r, both = p["r"].take(near, axis=0).reshape(m, 2 * d), np.concatenate([p["a"], p["b"]], axis=1)
+            h[:, :d] = r @ both.T
             # classes: noise is shared by the batch
-            c, cn = p["c"][kinds], p["c"][drawn]
-            g_real = -wrong(-(np.einsum("ij,ij->i", h, c[:, :d]) + c[:, d] - self.log_noise[kinds]))
-            g_fake = wrong(h @ cn[:, :d].T + cn[:, d] - self.log_noise[drawn])
-            g_h = g_real[:, None] * c[:, :d] + g_fake @ cn[:, :d]
-            self._step("c", np.concatenate([kinds, drawn]), np.vstack([_biased(g_real, h), np.hstack([g_fake.T @ h, g_fake.sum(axis=0)[:, None]])]), len(w), touched)
+            c, cn = p["c"].take(kinds, axis=0), p["c"].take(drawn, axis=0)
+            g_real = -_wrong(self.log_noise.take(kinds) - np.einsum("ij,ij->i", h, c))
+            g_fake = _wrong(h @ cn.T - self.log_noise.take(drawn))
+            g_h = g_fake @ cn
+            c *= g_real[:, None]
+            g_h += c
+            self._step("c", np.concatenate([kinds, drawn]), np.concatenate([g_real[:, None] * h, g_fake.T @ h]), m, touched)
             # words inside classes of two or more: noise of their own class
-            some = np.flatnonzero(~self.single[kinds])
+            some = np.flatnonzero(~self.single.take(kinds))
             if len(some):
-                hs, one = h[some], w[some]
-                fake = self.pool[kinds[some][:, None], rng.integers(0, POOL, (len(some), s.inner))]
-                q, qn = p["q"][one], p["q"][fake]
-                g_real = -wrong(-(np.einsum("ij,ij->i", hs, q[:, :d]) + q[:, d] - self.log_inner[one]))
-                g_fake = wrong(np.einsum("id,ijd->ij", hs, qn[:, :, :d]) + qn[:, :, d] - self.log_inner[fake])
-                g_h[some] += g_real[:, None] * q[:, :d] + np.einsum("ij,ijd->id", g_fake, qn[:, :, :d])
-                grads = np.vstack([_biased(g_real, hs), _biased(g_fake.ravel(), np.repeat(hs, s.inner, axis=0))])
-                self._step("q", np.concatenate([one, fake.ravel()]), grads, 1, touched)
-            back = np.vstack([g_h @ p["a"][:, :d], g_h @ p["b"][:, :d]])
-            self._step("r", np.concatenate([at, bt]), back, 1, touched)
-            for name, r in (("a", ra), ("b", rb)):
-                g = g_h.T @ r / len(w)
+                k = len(some)
+                places = kinds.take(some)[:, None] * POOL + rng.integers(0, POOL, (k, s.inner))
+                asked, by = np.concatenate([w.take(some), pool.take(places.ravel())]), np.concatenate([some, np.repeat(some, s.inner)])
+                q, hs = p["q"].take(asked, axis=0), h.take(by, axis=0)
+                x = np.einsum("ij,ij->i", hs, q) - self.log_inner.take(asked)
+                x[:k] *= -1
+                g = _wrong(x)
+                g[:k] *= -1
+                q *= g[:, None]
+                hs *= g[:, None]
+                back = g_h.take(some, axis=0)
+                back += q[:k]
+                for j in range(s.inner):
+                    back += q[k + j :: s.inner]
+                _put(g_h, some, back)
+                self._step("q", asked, hs, 1, touched)
+            g_h = np.ascontiguousarray(g_h[:, :d])
+            self._step("r", near, (g_h @ both).reshape(2 * m, d), 1, touched)
+            sides = g_h.T @ r / m
+            for name, g in (("a", sides[:, :d]), ("b", sides[:, d:])):
                 self.squares[name] += np.einsum("ij,ij->i", g, g) / d
-                p[name][:, :d] -= self.s.rate * g / np.sqrt(self.squares[name])[:, None]
+                p[name] -= s.rate * g / np.sqrt(self.squares[name])[:, None]
                 touched[name] += 1
 
     def _step(self, name: str, rows: np.ndarray, grads: np.ndarray, scale: int, touched: dict[str, np.ndarray]) -> None:
         """One Adagrad step on the named rows, gradients of equal rows summed."""
-        order = np.argsort(rows, kind="stable")
-        ordered = rows[order]
-        begins = np.empty(len(ordered), bool)
-        begins[0] = True
-        np.not_equal(ordered[1:], ordered[:-1], out=begins[1:])
+        order = _sorting(rows)
+        ordered = rows.take(order)
+        begins = _changes(ordered)
         first = np.flatnonzero(begins)
-        at, wide = ordered[first], grads.shape[1]
-        g = np.add.reduceat(grads[order], first, axis=0)
-        g *= 1.0 / scale if scale > 1 else (1.0 / np.sqrt(np.diff(first, append=len(ordered))))[:, None].astype(np.float32)
-        squares = self.squares[name][at] + np.einsum("ij,ij->i", g, g) / wide
+        at, wide = ordered.take(first), grads.shape[1]
+        times = np.concatenate([first[1:], [len(rows)]]) - first
+        g = grads.take(order.take(first), axis=0)
+        several = np.flatnonzero(times > 1)
+        if len(several):  # rows named once are their own sums
+            again = np.repeat(times > 1, times)
+            some = grads.take(order[again], axis=0)
+            if wide % 2 == 0:  # pairs of floats are added at once
+                some = some.view(np.complex64)
+            _put(g, several, np.add.reduceat(some, np.flatnonzero(begins[again]), axis=0).view(np.float32))
+        if scale > 1:
+            g *= 1.0 / scale
+        else:
+            g /= np.sqrt(times.astype(np.float32))[:, None]
+        squares = self.squares[name].take(at) + np.einsum("ij,ij->i", g, g) / wide
         self.squares[name][at] = squares
         g *= (self.s.rate / np.sqrt(squares))[:, None]
-        table = self.p[name]
-        if wide == table.shape[1]:
-            table[at] -= g
-        else:
-            table[at, :wide] -= g
+        _put(self.p[name], at, self.p[name].take(at, axis=0) - g)
         touched[name][at] += 1
 
     def rows(self, touched: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(numbers, weights, values) of the rows that were updated; values end with Adagrad's sum."""
+        """(numbers, weights, values) of the rows that were updated; values are of one width and end with Adagrad's sum."""
         weights = np.concatenate([touched[name] for name in self.p])
-        values = np.vstack([np.hstack([self.p[name], self.squares[name][:, None]]) for name in self.p])
+        values = np.zeros((len(weights), self.s.dim + 2), np.float32)
+        base = 0
+        for name, x in self.p.items():
+            values[base : base + len(x), : x.shape[1]], values[base : base + len(x), -1] = x, self.squares[name]
+            base += len(x)
         some = np.flatnonzero(weights)
         return some, weights[some], values[some]
 
@@ -213,7 +239,7 @@ class Model:
         for name, x in self.p.items():
             here = (numbers >= base) & (numbers < base + len(x))
             at = numbers[here] - base
-            x[at] = values[here, :-1]
+            x[at] = values[here, : x.shape[1]]
             self.squares[name][at] = values[here, -1]
             base += len(x)
 
@@ -221,79 +247,144 @@ class Model:
         """Natural log-probabilities of the tokens; of other words, that of their class."""
         before, before2 = self.contexts(words, begins)
         d, p = self.s.dim, self.p
-        ha, hb = p["r"][:, :d] @ p["a"][:, :d].T, p["r"][:, :d] @ p["b"][:, :d].T
-        kinds, out = self.class_of[words], np.empty(len(words))
-        order = np.argsort(kinds, kind="stable")
-        bounds = np.searchsorted(kinds[order], np.arange(len(self.edges) + 1))
-
-        one = np.ones((len(words), 1), np.float32)
-
-        def softmax(at: np.ndarray, table: np.ndarray, targets: np.ndarray) -> np.ndarray:
-            found = np.empty(len(at))
-            step = max(1, CELLS // max(1, len(table)))
-            columns, sums = np.ascontiguousarray(table.T), np.ones(len(table), np.float32)
-            for i in range(0, len(at), step):
-                j = at[i : i + step]
-                context = np.hstack([ha[before[j]] + hb[before2[j]], one[: len(j)]])
-                logits = context @ columns
-                chosen = logits[np.arange(len(j)), targets[i : i + step]].astype(np.float64)
-                with np.errstate(over="ignore"):
-                    total = np.exp(logits, out=logits) @ sums
-                if np.isfinite(total).all() and total.all():
-                    found[i : i + step] = chosen - np.log(total, dtype=np.float64)
-                else:  # out of a float's range: from the greatest down
-                    logits = context @ columns
-                    top = logits.max(axis=1)
-                    found[i : i + step] = chosen - top - np.log(np.exp(logits - top[:, None]).sum(axis=1, dtype=np.float64))
-            return found
-
-        every = np.arange(len(words))
-        out = softmax(every, p["c"], kinds)
-        for k in np.flatnonzero(~self.single):
-            at = order[bounds[k] : bounds[k + 1]]
-            if len(at):
-                a, b = self.edges[k], self.edges[k + 1]
-                out[at] += softmax(at, p["q"][a:b], words[at] - a)
+        # a softmax's sum belongs to its context: equal contexts, and equal ones inside a class, are summed over once
+        keys = before.astype(np.int64) * len(p["r"]) + before2
+        order = np.argsort(keys)
+        new = _changes(keys.take(order))
+        context = np.cumsum(new, dtype=np.int32) - 1
+        at = order[new]
+        h = (p["r"] @ p["a"].T).take(before.take(at), axis=0)
+        h += (p["r"] @ p["b"].T).take(before2.take(at), axis=0)
+        sums = _log_sums(h, p["c"])
+        kinds = self.class_of.take(words.take(order)).astype(np.uint16)
+        by_kind = np.argsort(kinds, kind="stable")
+        order, context = order.take(by_kind), context.take(by_kind)
+        bounds = np.searchsorted(kinds.take(by_kind), np.arange(len(self.edges) + 1))
+        found = np.empty(len(words))
+        for k in np.flatnonzero(np.diff(bounds)):
+            a, b = bounds[k], bounds[k + 1]
+            here = context[a:b]
+            near = h.take(here, axis=0)
+            found[a:b] = near @ p["c"][k, :d] + p["c"][k, d] - sums.take(here)
+            if not self.single[k]:
+                new = _changes(here)
+                inside = _log_sums(near[new], p["q"][self.edges[k] : self.edges[k + 1]])
+                chosen = p["q"].take(words.take(order[a:b]), axis=0)
+                found[a:b] += np.einsum("ij,ij->i", near, chosen[:, :d]) + chosen[:, d] - inside.take(np.cumsum(new) - 1)
+        out = np.empty(len(words))
+        out[order] = found
         return out
 
 
-def _biased(g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Gradients of rows with a bias: g h, then g."""
-    return np.hstack([g[:, None] * h, g[:, None]])
+def _wrong(x: np.ndarray) -> np.ndarray:
+    """The logistic function."""
+    with np.errstate(over="ignore"):
+        return 1.0 / (1.0 + np.exp(-x))
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before it."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
+def _log_sums(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For each row of ``h`` the log of the sum of exp(row . vector + bias) over the table's rows."""
+    d = h.shape[1]
+    vectors, weights = np.ascontiguousarray(table[:, :d].T), np.exp(table[:, d])
+    sums = np.empty(len(h), np.float32)
+    step = max(1, CELLS // len(table))
+    held = np.empty((min(step, len(h)), len(table)), np.float32)
+    with np.errstate(all="ignore"):
+        for i in range(0, len(h), step):
+            part = h[i : i + step]
+            logits = np.matmul(part, vectors, out=held[: len(part)])
+            np.matmul(np.exp(logits, out=logits), weights, out=sums[i : i + step])
+    logs = np.log(np.maximum(sums, 1e-30), dtype=np.float64)
+    bad = np.flatnonzero(~(np.isfinite(sums) & (sums > 1e-30)))  # out of a float's range: from the greatest down
+    for i in range(0, len(bad), step):
+        at = bad[i : i + step]
+        logits = h[at].astype(np.float64) @ vectors + table[:, d]
+        top = logits.max(axis=1)
+        logs[at] = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    return logs
+
+
+def _put(table: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """table[at] = values, each row moved as one value."""
+    whole = f"V{table.shape[1] * table.itemsize}"
+    table.view(whole).reshape(-1).put(at, values.view(whole).reshape(-1))
+
+
+def _sorting(rows: np.ndarray) -> np.ndarray:
+    """The stable order of row numbers below 2^24, by radix passes."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    if len(rows) and rows.max() > 0xFFFF:
+        order = order.take(np.argsort((rows >> 16).astype(np.uint8).take(order), kind="stable"))
+    return order
+
+
+def _stretch(texts: list[str | None], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(ranks of all tokens, -1 for words not in the index; where each text begins, and the last ends; the tokens)."""
+    tokens, bounds = [], [0]
+    for text in texts:
+        tokens += words_of(text)
+        tokens.append(b"")
+        bounds.append(len(tokens))
+    return np.fromiter(map(index.get, tokens, repeat(-1)), np.int32, len(tokens)), np.array(bounds), tokens
+
+
+def _rare(ranks: np.ndarray, bounds: np.ndarray, tokens: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """Each text's words that have no rank, and how often it has them."""
+    lost, seen = np.flatnonzero(ranks < 0), {}
+    numbers = np.fromiter((seen.setdefault(tokens[i], len(seen)) for i in lost.tolist()), np.int64, len(lost))
+    pairs, times = np.unique((np.searchsorted(bounds, lost, side="right") - 1) * max(1, len(seen)) + numbers, return_counts=True)
+    texts, numbers = np.divmod(pairs, max(1, len(seen)))
+    ends = pa.array(np.searchsorted(texts, np.arange(len(bounds))), pa.int32())
+    names = pa.array([w.decode() for w in seen], pa.string()).take(pa.array(numbers))
+    return pa.ListArray.from_arrays(ends, names), pa.ListArray.from_arrays(ends, pa.array(times, pa.int64()))
+
+
+def encoded(rows: DataFrame, index, unknown: int, total: int, s: Settings) -> DataFrame:
+    """``rows`` (id, held_out, text) with a number, their place in the training, their tokens' ranks (16 bits each) and their other words."""
+    shards = max(1, -(-total // s.shard))
+    place = F.xxhash64(F.col("id").cast("string"), "text")
+    kept = ["row", "id", "held_out", "shard", "round", "place"]
 
+    def run(batches):
+        for part in bounded(batches, "text"):
+            ranks, bounds, tokens = _stretch(part.column(part.schema.get_field_index("text")).to_pylist(), index.value)
+            codes = np.where(ranks < 0, unknown, ranks).astype(np.uint16)
+            ends = bounds.tolist()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(part.column(part.schema.get_field_index(c)) for c in kept),
+                    pa.array([codes[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary()),
+                    *_rare(ranks, bounds, tokens),
+                ],
+                names=[*kept, "codes", "rare", "times"],
+            )
 
-def _stretch(texts: list[str | None], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """(ranks of all tokens, -1 for words not in the index; whether a token begins a text; each text's words)."""
-    words = [words_of(x) for x in texts]
-    end = index.get(b"", -1)
-    ranks = np.empty(sum(map(len, words)) + len(words), np.int32)
-    begins = np.zeros(len(ranks), bool)
-    at = 0
-    for w in words:
-        begins[at] = True
-        ranks[at : at + len(w)] = np.fromiter(map(index.get, w, repeat(-1)), np.int32, len(w))
-        at += len(w) + 1
-        ranks[at - 1] = end
-    return ranks, begins, words
+    dealt = rows.select(
+        F.monotonically_increasing_id().alias("row"), "id", "held_out", F.pmod(place, F.lit(shards)).alias("shard"),
+        F.pmod(F.shiftright(place, 32), F.lit(s.rounds)).alias("round"), place.alias("place"), "text",
+    )
+    schema = f"row long, id {dict(rows.dtypes)['id']}, held_out boolean, shard long, round long, place long, codes binary, rare array<string>, times array<long>"
+    return dealt.mapInArrow(run, schema)
 
 
-def fit(training: DataFrame, model: Model, index, total: int, s: Settings) -> Model:
-    """The model after all rounds over ``training`` (id, text) with ``total`` tokens."""
-    spark = training.sparkSession
-    shards = max(1, -(-total // s.shard))
-    place = F.xxhash64(F.col("id").cast("string"), "text")
+def _joined(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(the texts' ranks, one after the other; whether each begins a text)."""
+    words = np.frombuffer(b"".join(codes), np.uint16).astype(np.int32)
+    begins = np.zeros(len(words), bool)
+    begins[np.cumsum([0, *map(len, codes[:-1])]) // 2] = True
+    return words, begins
 
-    def encode(batches):
-        for part in bounded(batches, "text"):
-            columns = [part.column(part.schema.get_field_index(c)) for c in ("shard", "round", "place")]
-            ranks, begins, _ = _stretch(part.column(part.schema.get_field_index("text")).to_pylist(), index.value)
-            codes = np.where(ranks < 0, model_unknown, ranks).astype(np.uint16)
-            bounds = np.append(np.flatnonzero(begins), len(codes)).tolist()
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([codes[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], names=["shard", "round", "place", "codes"])
-
-    model_unknown = model.unknown
-    dealt = training.select("text", F.pmod(place, F.lit(shards)).alias("shard"), F.pmod(F.shiftright(place, 32), F.lit(s.rounds)).alias("round"), place.alias("place"))
-    coded = written(dealt.mapInArrow(encode, "shard long, round long, place long, codes binary"), "coded")
+
+def fit(coded: DataFrame, model: Model, total: int, s: Settings) -> Model:
+    """The model after all rounds over the training rows of ``coded``, which have ``total`` tokens."""
+    spark = coded.sparkSession
     wide = s.dim + 2
     for number in range(s.rounds if total else 0):
         shared = spark.sparkContext.broadcast(model)
@@ -302,24 +393,19 @@ def fit(training: DataFrame, model: Model, index, total: int, s: Settings) -> Mo
             copy = deepcopy(shared.value)
             touched = {name: np.zeros(len(x), np.int64) for name, x in copy.p.items()}
             codes = table.column("codes").to_pylist()
-            order = sorted(range(len(codes)), key=list(zip(table.column("place").to_pylist(), codes, strict=True)).__getitem__)
-            ends = np.cumsum([len(codes[i]) // 2 for i in order])
-            words = np.frombuffer(b"".join(codes[i] for i in order), np.uint16).astype(np.int32)
-            begins = np.zeros(len(words), bool)
-            begins[np.append(0, ends[:-1])] = True
+            words, begins = _joined([c for _, c in sorted(zip(table.column("place").to_pylist(), codes, strict=True))])
             copy.train(words, begins, np.random.default_rng((s.seed, number, table.column("shard")[0].as_py())), touched)
             at, weights, values = copy.rows(touched)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(values.astype(np.float32).ravel()), wide).cast(pa.list_(pa.float32()))
             return pa.table({"row": pa.array(at), "weight": pa.array(weights.astype(np.float64)), "v": flat})
 
-        copies = coded.where(F.col("round") == number).groupBy("shard").applyInArrow(learn, "row long, weight double, v array<float>")
+        copies = coded.where(~F.col("held_out") & (F.col("round") == number)).select("shard", "place", "codes").groupBy("shard").applyInArrow(learn, "row long, weight double, v array<float>")
         sums = [(F.sum(F.col("v")[i] * F.col("weight")) / F.sum("weight")).cast("float") for i in range(wide)]
         merged = copies.groupBy("row").agg(F.array(*sums).alias("v")).toArrow()
         if merged.num_rows:
             values = merged.column("v").combine_chunks().flatten().to_numpy().reshape(-1, wide)
             model.put(merged.column("row").to_numpy(), values)
         shared.destroy()
-    drop(coded)
     release(spark)
     return model
 
@@ -336,55 +422,37 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", s: Settings = S
     """
     spark = df.sparkSession
     rows = df.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).withColumn("held_out", ~is_training(F.col("id")))
-    training = rows.where(~F.col("held_out")).select("id", "text")
-    counts = written(word_counts(training), "counts")
+    counts = written(word_counts(rows.where(~F.col("held_out"))), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = counts.orderBy(F.desc("n"), "word").limit(min(s.words, 65_535)).toArrow()
     names, tops = frequent.column("word").to_pylist(), frequent.column("n").to_numpy()
     index = spark.sparkContext.broadcast({w.encode(): i for i, w in enumerate(names)})
-    log_counts = np.log10(tops + 0.5)
     k, in_words = len(tops), int(tops.sum())
+    log_counts = np.append(np.log10(tops + 0.5), 0.0)  # other words' are joined
     base_norm = log10(total + 0.5 * (distinct + 1))
     other_norm = log10(total - in_words + 0.5 * (distinct - k + 1))
-    model = fit(training, Model(tops, total - in_words, s), index, total, s)
+    coded = written(encoded(rows, index, k, total, s), "coded")
+    model = fit(coded, Model(tops, total - in_words, s), total, s)
     shared = spark.sparkContext.broadcast(model)
 
     def apply(batches):
-        for part in bounded(batches, "text"):
-            ranks, begins, words = _stretch(part.column(part.schema.get_field_index("text")).to_pylist(), index.value)
-            known = ranks >= 0
-            logs = np.where(known, log_counts[np.maximum(ranks, 0)] if k else 0.0, 0.0)
-            lm = shared.value.log_probs(np.where(known, ranks, k), begins) / np.log(10)
-            starts = np.flatnonzero(begins)
-            sums = [np.add.reduceat(x, starts) for x in (logs, lm, known.astype(np.int64), (~known).astype(np.int64), np.ones(len(ranks), np.int64))]
-            rare = []
-            for w, i in zip(words, starts, strict=True):
-                lost = np.flatnonzero(~known[i : i + len(w)])
-                rare.append(list(Counter(w[j].decode() for j in lost).items()))
-            # without training rows the end itself is unknown
-            ends = [("", 1)] if not k else []
-            rare = [r + ends for r in rare]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(part.column(part.schema.get_field_index(c)) for c in ("row", "id", "held_out")),
-                    *(pa.array(x) for x in sums),
-                    pa.array([[x for x, _ in r] for r in rare], pa.list_(pa.string())),
-                    pa.array([[n for _, n in r] for r in rare], pa.list_(pa.int64())),
-                ],
-                names=[*names_out],
-            )
-
-    names_out = ["row", "id", "held_out", "logs", "lm", "n_known", "n_other", "n_tokens", "rare", "times"]
-    kind = dict(rows.dtypes)["id"]
-    schema = f"row long, id {kind}, held_out boolean, logs double, lm double, n_known long, n_other long, n_tokens long, rare array<string>, times array<long>"
-    scored = written(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "held_out", "text").mapInArrow(apply, schema), "scored")
-    each = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+        for part in bounded(batches, "codes", SCORED_BYTES):
+            words, begins = _joined(part.column(part.schema.get_field_index("codes")).to_pylist())
+            lm = shared.value.log_probs(words, begins) / np.log(10)
+            known = (words != k).astype(np.int64)
+            sums = [np.add.reduceat(x, np.flatnonzero(begins)) for x in (log_counts.take(words), lm, known, 1 - known, np.ones(len(words), np.int64))]
+            kept = [part.column(part.schema.get_field_index(c)) for c in ("row", "id", "held_out")]
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, sums)], names=["row", "id", "held_out", "logs", "lm", "n_known", "n_other", "n_tokens"])
+
+    schema = f"row long, id {dict(rows.dtypes)['id']}, held_out boolean, logs double, lm double, n_known long, n_other long, n_tokens long"
+    scored = written(coded.select("row", "id", "held_out", "codes").mapInArrow(apply, schema), "scored")
+    each = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     joined = each.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_logs"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
     )
     rare_logs = F.coalesce("rare_logs", F.lit(0.0))
-    return scored.drop("rare", "times").join(joined, "row", "left").select(
+    return scored.join(joined, "row", "left").select(
         F.col("id").alias(id),
         "held_out",
         "n_tokens",
