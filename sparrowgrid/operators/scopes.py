@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from sparrowgrid.functions.predicates import fold
 
@@ -48,16 +49,34 @@ def included(parents: DataFrame, membership: DataFrame, key: str, status: str =
 def related(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(a, other, shared, links): two-hop neighbours over shared ``b``; ``links`` counts edge rows, ``shared`` distinct ones.
 
-    Edges are counted by (a, b) first, so a hub with many repeated edges is one row a neighbour.
-    Neighbours travel to ``a`` in lists of ``LIST`` at most, not one by one, and are counted there.
+    Edges are dealt by ``b`` once, and counted by (a, b) there, so a hub with many repeated edges is one row a neighbour.
+    A pair is counted once for both its directions, at the smaller of the two: the larger ones of a value
+    travel there in lists of ``LIST`` at most, as distances of two bytes where those do; counts travel unless all are 1.
     """
-    counted = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("w"))
-    nth = F.row_number().over(Window.partitionBy(b).orderBy(a)) - 1
-    lists = counted.withColumn("__list", F.floor(nth / LIST)).groupBy(b, "__list").agg(F.sort_array(F.collect_list(F.struct(F.col(a).alias("x"), "w"))).alias("__of"))
-    lists = lists.select(b, F.col("__of.x").alias("__x"), F.col("__of.w").alias("__w"))
-    met = counted.select(a, b).hint("merge").join(lists, b).select(a, "__x", "__w").repartition(a)
-    each = met.select(a, F.inline(F.arrays_zip("__x", "__w"))).select(a, F.col("__x").alias("other"), F.col("__w").alias("w2"))
-    return each.where(F.col(a) != F.col("other")).groupBy(a, "other").agg(F.count("*").alias("shared"), F.sum("w2").alias("links"))
+    kind = edges.schema[a].dataType
+    counted = edges.select(F.col(a).alias("x"), F.col(b).alias("b")).where("x is not null and b is not null").repartition("b").groupBy("b", "x").agg(F.count("*").alias("w"))
+    nth = F.row_number().over(Window.partitionBy("b").orderBy("x")) - 1
+    lists = counted.withColumn("i", F.floor(nth / LIST)).groupBy("b", "i").agg(F.sort_array(F.collect_list(F.struct("x", "w"))).alias("of")).select("b", "i", "of.x", "of.w")
+    base, near, steps = F.lit(None).cast(kind), F.lit(False), F.lit(None).cast("array<short>")
+    if isinstance(kind, IntegralType):
+        base = F.col("x")[0]
+        near = F.coalesce(F.call_function("try_subtract", F.element_at("x", -1), base) < 1 << 15, F.lit(False))
+        steps = F.transform("x", lambda x: (x - F.col("x")[0]).cast("short"))
+    several = F.when(F.array_max("w") > 1, F.col("w"))
+    lists = lists.select("b", "i", "x", several.alias("w"), F.when(near, base).alias("base"), F.when(near, steps).alias("near"), F.when(~near, F.col("x")).alias("far"))
+    mine = lists.select("b", F.col("i").alias("at"), F.col("x").alias("a"), F.col("w").alias("wa"))
+    both = mine.hint("merge").join(lists.drop("x"), "b").where("at <= i").select("*", F.posexplode("a").alias("n", "one"))
+    # in its own list a value meets those behind it, in later lists all
+    behind = lambda c: F.slice(c, F.when(F.col("at") == F.col("i"), F.col("n") + 2).otherwise(1), LIST)
+    far, w, wa = behind("far"), behind("w"), F.get("wa", "n")
+    rest = F.when(far.isNotNull() | w.isNotNull() | wa.isNotNull(), F.struct(far.alias("far"), w.alias("w"), wa.alias("wa")))
+    met = both.select(F.col("one").alias("a"), "base", behind("near").alias("near"), rest.alias("rest")).where("size(coalesce(near, array())) > 0 or size(coalesce(rest.far, array())) > 0").repartition("a")
+    each = met.select("a", "base", F.col("rest.wa").alias("wa"), F.inline(F.arrays_zip(*[F.coalesce(c, F.array().cast(of)).alias(c.split(".")[-1]) for c, of in (("near", "array<short>"), ("rest.far", f"array<{kind.simpleString()}>"), ("rest.w", "array<long>"))])))
+    x = F.coalesce("far", F.col("base") + F.col("near")).cast(kind) if isinstance(kind, IntegralType) else F.col("far")
+    each = each.select("a", F.coalesce("wa", F.lit(1)).alias("wa"), x.alias("x"), F.coalesce("w", F.lit(1)).alias("w"))
+    pairs = each.groupBy("a", "x").agg(F.count("*").alias("shared"), F.sum("w").alias("links"), F.sum("wa").alias("back"))
+    way = lambda p, q, n: F.struct(F.col(p).alias(a), F.col(q).alias("other"), "shared", F.col(n).alias("links"))
+    return pairs.select(F.inline(F.array(way("a", "x", "links"), way("x", "a", "back"))))
 
 
 def related_by(rows: DataFrame, id: str, axes: Sequence[str]) -> DataFrame:
