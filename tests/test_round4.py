@@ -32,6 +32,11 @@ def test_arrivals_read_texts_once(spark, monkeypatch):
     assert longest_plan(spark, monkeypatch, "arrived_clusters") < 100
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_press_is_read_once(spark, monkeypatch):
+    assert longest_plan(spark, monkeypatch, "watched_clusters") < 100
+
+
 def shuffled(spark):
     """Bytes that all shuffles so far have written."""
     sc = spark.sparkContext._jsc.sc()
